@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import ring, simhash
+from narrata.llm import ring, sentencepiece_bpe, simhash
 from narrata.llm.common import table
 
 
+def piece_model() -> str:
+    """The vocabulary file of the encoding queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; each distinct word is checked against the library."""
+    rows = sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), piece_model(), check=True, outputs=("digests",))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 40 shards whose row counts are at most one apart."""
     rows = ring.ring_shards(table(spark, sf_dir, "documents"), shards=40, load_factor=1.0)
@@ -23,6 +36,6 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_ring_shards, op9_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_sentencepiece, op6_ring_shards, op9_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
