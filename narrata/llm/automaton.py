@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from operator import or_
 
 import numpy as np
 
@@ -178,7 +179,8 @@ def compile_patterns(patterns: list[Pattern], anywhere: bool, reverse: bool = Fa
     byte_class = np.array([kinds.setdefault(tuple(m >> b & 1 for m in masks), len(kinds)) for b in range(256)], np.int32)
     sample = [int(np.argmax(byte_class == c)) for c in range(len(kinds))]
 
-    closures: list[frozenset[int]] = []
+    # sets of states are integers: bit s stands for state s
+    closures: list[int] = []
     for s in range(len(nfa.empty)):
         seen, todo = {s}, [s]
         while todo:
@@ -186,25 +188,33 @@ def compile_patterns(patterns: list[Pattern], anywhere: bool, reverse: bool = Fa
                 if t not in seen:
                     seen.add(t)
                     todo.append(t)
-        closures.append(frozenset(x for x in seen if nfa.moves[x] or x in ends))
-    steps = [[[t for m, t in nfa.moves[s] if m >> b & 1] for b in sample] for s in range(len(nfa.moves))]
-
-    first = closures[start]
-    names, todo, rows = {first: 0}, [first], []
-    while todo:
-        here, row = todo.pop(0), []
-        for c in range(len(kinds)):
-            to = frozenset().union(*(closures[t] for s in here for t in steps[s][c]))
-            if to not in names:
-                names[to] = len(names)
-                todo.append(to)
-            row.append(names[to])
-        rows.append(row)
+        closures.append(sum(1 << x for x in seen if nfa.moves[x] or x in ends))
+    steps = []
+    for row in nfa.moves:
+        to = [0] * len(kinds)
+        for m, t in row:
+            for c, b in enumerate(sample):
+                if m >> b & 1:
+                    to[c] |= closures[t]
+        steps.append(to)
+
+    names, order_found, rows, bits = {closures[start]: 0}, [closures[start]], [], []
+    for here in order_found:
+        to, got, rest = [0] * len(kinds), 0, here
+        while rest:
+            low = rest & -rest
+            s = low.bit_length() - 1
+            to = list(map(or_, to, steps[s]))
+            got |= ends.get(s, 0)
+            rest ^= low
+        for x in to:
+            if x not in names:
+                names[x] = len(names)
+                order_found.append(x)
+        rows.append([names[x] for x in to])
+        bits.append(got)
     moves = np.array(rows, np.int32)
-    accepts = np.zeros(len(names), np.int64)
-    for states, i in names.items():
-        for s in states:
-            accepts[i] |= ends.get(s, 0)
+    accepts = np.array(bits, np.int64)
 
     # Moore's refinement: states are merged while they accept alike and lead to merged states alike
     part = np.unique(accepts, return_inverse=True)[1]

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import ring, sentencepiece_bpe, simhash
+from narrata.llm import ring, secrets, sentencepiece_bpe, simhash, warc
 from narrata.llm.common import table
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC files and read back."""
+    path = warc.new_archive(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.archived(spark, path)
+
+
 def piece_model() -> str:
     """The vocabulary file of the encoding queries."""
     import public_tokenizers
@@ -36,6 +43,22 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_sentencepiece, op6_ring_shards, op9_simhash_near_dedup)}
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all kinds of secrets in every document."""
+    rows = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.array(*(F.lit(r.kind) for r in secrets.BASE_RULES))
+
+    def shown(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    first = F.filter("spans", lambda s: F.array_contains(base, s["kind"]))
+    counts = [count(r.kind) for r in secrets.BASE_RULES]
+    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(shown(first).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_warc, op5_sentencepiece, op6_ring_shards, op7_secret_scan, op9_simhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

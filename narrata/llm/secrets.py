@@ -31,7 +31,7 @@ _ASSIGN_HEAD = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["'
 #: The base kinds in their fixed order.
 BASE_RULES = (
     Rule("assign", _ASSIGN_HEAD + r"[A-Za-z0-9+/_.=-]+", 6, _ASSIGN_HEAD, True),
-    Rule("access", r"AKIA[A-Z0-9]{16,}", 20),
+    Rule("access", r"AKIA[A-Z0-9]+", 20),
     Rule("hex", r"[0-9a-f]{24,}", 24),
 )
 #: Further kinds by their public formats.
@@ -40,7 +40,7 @@ MORE_RULES = (
     Rule("github", r"gh[opsur]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abeprs]-[A-Za-z0-9-]+", 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
+    Rule("stripe", r"sk_live_[A-Za-z0-9]+", 24),
 )
 RULES = BASE_RULES + MORE_RULES
 
