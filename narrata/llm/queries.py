@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import ring, secrets, sentencepiece_bpe, simhash, warc
-from narrata.llm.common import table
+from narrata.llm import ring, secrets, sentencepiece_bpe, simhash, toxicity, warc
+from narrata.llm.common import hashed_fold, table
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(shown(first).cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_warc, op5_sentencepiece, op6_ring_shards, op7_secret_scan, op9_simhash_near_dedup)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a third of the ids are held out of the training."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"), folds=3, held_out=1)
+    rows = toxicity.score_toxicity(docs, model)
+    held_out = hashed_fold(F.col("id"), 3) == 1
+    return rows.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic_words", F.to_json("spans").alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_warc, op5_sentencepiece, op6_ring_shards, op7_secret_scan, op9_simhash_near_dedup, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
