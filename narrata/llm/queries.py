@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import html_text, ring, secrets, sentencepiece_bpe, simhash, toxicity, warc
+from narrata.llm import html_text, ring, secrets, sentencepiece_bpe, simhash, toxicity, vector_graph, warc
 from narrata.llm.common import hashed_fold, table
 
 
@@ -16,6 +16,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest other vectors of each vector whose id is divisible by 100."""
+    return vector_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC files and read back."""
     path = warc.new_archive(spark)
@@ -73,6 +78,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic_words", F.to_json("spans").alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op4_warc, op5_sentencepiece, op6_ring_shards, op7_secret_scan, op9_simhash_near_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_vector_graph, op4_warc, op5_sentencepiece, op6_ring_shards, op7_secret_scan, op9_simhash_near_dedup, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
