@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +60,27 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
 def hashed_fold(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
+
+
+def tree_sum(parts: DataFrame, fan_in: int = 16) -> np.ndarray:
+    """The sum of the float64 arrays in the binary column `part`, an array a row.
+
+    Rows are added in tasks of about fan_in of them, level by level, until the driver gets fan_in rows at most; how
+    large one row is doesn't depend on the data.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for raw in batch.column(0):
+                x = np.frombuffer(raw.as_buffer(), np.float64)
+                total = x.copy() if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    parts = staged(parts, "sums")
+    n = parts.count()
+    while n > fan_in:
+        n = -(-n // fan_in)
+        parts = staged(parts.repartition(n).mapInArrow(add, "part binary"), "sums")
+    return sum(np.frombuffer(r.part, np.float64) for r in parts.collect()) if n else np.zeros(0)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import html_text, ring, secrets, sentencepiece_bpe, simhash, toxicity, vector_graph, warc
+from narrata.llm import html_text, quality, ring, secrets, sentencepiece_bpe, simhash, toxicity, vector_graph, warc
 from narrata.llm.common import hashed_fold, table
 
 
@@ -47,6 +47,13 @@ def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a quarter of the ids are held out of the training."""
+    rows = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held_out=2)
+    held_out = hashed_fold(F.col("id"), 4) == 2
+    return rows.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=2)
@@ -78,6 +85,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic_words", F.to_json("spans").alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_vector_graph, op4_warc, op5_sentencepiece, op6_ring_shards, op7_secret_scan, op9_simhash_near_dedup, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_vector_graph, op4_warc, op5_sentencepiece, op6_ring_shards, op7_secret_scan, op8_quality, op9_simhash_near_dedup, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
