@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gzip
 import re
+import struct
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -95,7 +96,7 @@ class WarcReader(DataSourceReader):
             return [WarcFile(self.path)]
         manifest = f"{path}/{MANIFEST}"
         if system.get_file_info(manifest).type == fs.FileType.File:
-            with system.open_input_stream(manifest) as f:
+            with system.open_input_stream(manifest, compression=None) as f:
                 names = f.read().decode().split()
         else:
             names = sorted(x.base_name for x in system.get_file_info(fs.FileSelector(path)) if re.search(r"\.warc(\.gz)?$", x.base_name))
@@ -116,20 +117,16 @@ class WarcReader(DataSourceReader):
             return
         system, path = _open(partition.path)
         with system.open_input_file(path) as raw:
-            stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else Buffered(raw)
+            records = gzip_records if path.endswith(".gz") else plain_records
             rows: list[list] = []
             size = 0
-            while (header := read_header(stream)) is not None:
-                length = int(header.get("content-length", 0))
+            for header, block in records(Buffered(raw)):
                 if not self.wanted(header):
-                    stream.seek(length, 1)
                     continue
                 body = None
                 if self.payload and header.get("warc-type") in ("response", "resource"):
-                    body = payload_of(header, stream.read(length))
+                    body = payload_of(header, block())
                     size += len(body)
-                else:
-                    stream.seek(length, 1)
                 rows.append([_value(c, header) for c in HEADER] + [body])
                 if size > BATCH_BYTES or len(rows) >= 10_000:
                     yield batch_of(rows)
@@ -168,27 +165,105 @@ class Buffered:
         self.at += len(out)
         return out
 
-    def seek(self, n: int, whence: int = 1) -> None:
+    def peek(self, n: int) -> bytes:
+        while len(self.buffer) - self.at < n and self._fill():
+            pass
+        return self.buffer[self.at : self.at + n]
+
+    def unread(self, data: bytes) -> None:
+        self.buffer, self.at = data + self.buffer[self.at :], 0
+
+    def seek(self, n: int) -> None:
         inside = min(n, len(self.buffer) - self.at)
         self.at += inside
         if n > inside:
             self.raw.seek(self.raw.tell() + n - inside)
 
 
-def read_header(stream: object) -> dict[str, str] | None:
-    """The next record's header fields by lower-case name, or None at the end; the stream then stands at its block."""
-    line = stream.readline()
-    while line in (b"\r\n", b"\n"):
+def parse_header(lines: list[bytes]) -> dict[str, str]:
+    """A record's header fields by lower-case name."""
+    if not lines or not lines[0].startswith(b"WARC/"):
+        raise ValueError(f"not a WARC record: {lines[:1]!r}")
+    pairs = (line.decode("utf-8", "replace").partition(":") for line in lines[1:])
+    return {name.strip().lower(): value.strip() for name, _, value in pairs}
+
+
+def plain_records(stream: Buffered) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
+    """(header, function that reads the block) of each record; a block that isn't asked for is sought over."""
+    while True:
         line = stream.readline()
-    if not line:
-        return None
-    if not line.startswith(b"WARC/"):
-        raise ValueError(f"not a WARC record: {line[:40]!r}")
-    header = {}
-    while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-        name, _, value = line.decode("utf-8", "replace").partition(":")
-        header[name.strip().lower()] = value.strip()
-    return header
+        while line in (b"\r\n", b"\n"):
+            line = stream.readline()
+        if not line:
+            return
+        lines = []
+        while line not in (b"\r\n", b"\n", b""):
+            lines.append(line)
+            line = stream.readline()
+        header = parse_header(lines)
+        left = [int(header.get("content-length", 0))]
+
+        def block() -> bytes:
+            data = stream.read(left[0])  # noqa: B023
+            left[0] = 0  # noqa: B023
+            return data
+
+        yield header, block
+        stream.seek(left[0])
+
+
+#: A gzip header whose extra field "sl" holds the sizes of the member, compressed and not.
+GZIP_HEAD = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff"
+
+
+def gzip_member(data: bytes, level: int) -> bytes:
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -zlib.MAX_WBITS)
+    body = deflate.compress(data) + deflate.flush()
+    extra = b"sl" + struct.pack("<HII", 8, 22 + 2 + len(body) + 8, len(data))
+    return GZIP_HEAD + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def gzip_records(stream: Buffered) -> Iterator[tuple[dict[str, str], Callable[[], bytes]]]:
+    """As plain_records for one gzip member a record.
+
+    Of a member that tells its size only the beginning is inflated for the header; the rest is inflated when the block
+    is asked for, and sought over otherwise. Members of other writers are inflated to find their end.
+    """
+    while head := stream.peek(24):
+        size = 0
+        if head[:3] == b"\x1f\x8b\x08" and head[3] == 4 and head[12:14] == b"sl":
+            size = struct.unpack("<I", head[16:20])[0]
+        inflate = zlib.decompressobj(31)
+        data, read = b"", 0
+        while b"\r\n\r\n" not in data and not inflate.eof:
+            piece = inflate.unconsumed_tail or stream.read(min(2048, size - read) if size else 1 << 16)
+            if not piece:
+                raise ValueError("a gzip member does not end")
+            read += 0 if inflate.unconsumed_tail else len(piece)
+            data += inflate.decompress(piece, 4096)
+        start, _, rest = data.partition(b"\r\n\r\n")
+        header = parse_header(start.split(b"\r\n"))
+        parts = [rest]
+
+        def finish() -> None:
+            nonlocal read
+            while not inflate.eof:  # noqa: B023
+                piece = inflate.unconsumed_tail or stream.read(size - read if size else 1 << 16)  # noqa: B023
+                if not piece:
+                    raise ValueError("a gzip member does not end")
+                read += 0 if inflate.unconsumed_tail else len(piece)  # noqa: B023
+                parts.append(inflate.decompress(piece, 1 << 24))  # noqa: B023
+
+        def block() -> bytes:
+            finish()  # noqa: B023
+            return b"".join(parts)[: int(header.get("content-length", 0))]  # noqa: B023
+
+        yield header, block
+        if size:
+            stream.seek(size - read)
+        else:
+            finish()
+            stream.unread(inflate.unused_data)
 
 
 def payload_of(header: dict[str, str], block: bytes) -> bytes:
@@ -237,7 +312,8 @@ class WarcWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict[str, str]):
         self.path = options["path"].rstrip("/")
-        self.limit = int(options.get("maxFileBytes", 256_000_000))
+        self.limit = int(options.get("maxfilebytes", 256_000_000))
+        self.level = int(options.get("level", 3))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = _open(self.path)
@@ -249,9 +325,11 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None or size > self.limit:
                     if out is not None:
                         out.close()
-                    names.append(f"part-{uuid.uuid4().hex}.warc")
-                    out, size = system.open_output_stream(f"{path}/{names[-1]}", buffer_size=1 << 20), 0
+                    names.append(f"part-{uuid.uuid4().hex}.warc" + ".gz" * (self.level > 0))
+                    out, size = system.open_output_stream(f"{path}/{names[-1]}", compression=None, buffer_size=1 << 20), 0
                 data = record(row)
+                if self.level:
+                    data = gzip_member(data, self.level)
                 out.write(data)
                 size += len(data)
         if out is not None:
@@ -261,7 +339,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         system, path = _open(self.path)
         system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path}/{MANIFEST}") as f:
+        with system.open_output_stream(f"{path}/{MANIFEST}", compression=None) as f:
             f.write("\n".join(n for m in messages if m for n in m.names).encode())
 
     def abort(self, messages: list) -> None:
@@ -271,7 +349,8 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """format("warc"): option payload=false leaves all blocks unread, maxFileBytes bounds a file that is written."""
+    """format("warc"): option payload=false leaves all blocks unread; maxFileBytes bounds a file that is written, and level
+    is that of gzip, 0 for plain files."""
 
     @classmethod
     def name(cls) -> str:
