@@ -63,10 +63,10 @@ def hashed_fold(key: Column, n: int) -> Column:
 
 
 def tree_sum(parts: DataFrame, fan_in: int = 16) -> np.ndarray:
-    """The sum of the float64 arrays in the binary column `part`, an array a row.
+    """The sum of the float64 arrays in the binary column `part`, an array a row; empty if there is no row.
 
-    Rows are added in tasks of about fan_in of them, level by level, until the driver gets fan_in rows at most; how
-    large one row is doesn't depend on the data.
+    Rows are added in tasks of about fan_in of them, one row at a time, level by level, until one is left for the driver.
+    How large a row is doesn't depend on the data.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,9 +78,15 @@ def tree_sum(parts: DataFrame, fan_in: int = 16) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
+    spark, key = parts.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     parts = staged(parts, "sums")
     n = parts.count()
-    while n > fan_in:
-        n = -(-n // fan_in)
-        parts = staged(parts.repartition(n).mapInArrow(add, "part binary"), "sums")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        while n > 1:
+            n = -(-n // fan_in)
+            parts = staged(parts.repartition(n).mapInArrow(add, "part binary"), "sums")
+    finally:
+        spark.conf.set(key, before)
     return sum(np.frombuffer(r.part, np.float64) for r in parts.collect()) if n else np.zeros(0)
