@@ -268,3 +268,19 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(sizes, pa.int64()), pa.array(total), pa.array(found, kind)], names=["id", "score", "n_words", "toxic_words", "spans"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, score double, n_words long, toxic_words double, spans array<struct<start:int,end:int,marginal:double>>")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text scores below threshold, in one pass without a shuffle; all of them without a model."""
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence_of = _Words(model)
+        for batch in slices(batches, text_col):
+            words, owner, sentence = sequences(texts_of(batch, text_col))
+            stats = document_features(model.chain.marginals(evidence_of(words), sentence), owner, len(batch))
+            scores = sigmoid(model.document[0] + ((stats - model.centre) / model.spread) @ model.document[1:])
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
