@@ -62,8 +62,8 @@ def hashed_fold(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
-def tree_sum(parts: DataFrame, fan_in: int = 16) -> np.ndarray:
-    """The sum of the float64 arrays in the binary column `part`, an array a row; empty if there is no row.
+def tree_sum(parts: DataFrame, fan_in: int = 16, kind: type = np.float64) -> np.ndarray:
+    """The sum of the arrays of the given kind in the binary column `part`, an array a row; empty if there is no row.
 
     Rows are added in tasks of about fan_in of them, one row at a time, level by level, until one is left for the driver.
     How large a row is doesn't depend on the data.
@@ -73,10 +73,10 @@ def tree_sum(parts: DataFrame, fan_in: int = 16) -> np.ndarray:
         total = None
         for batch in batches:
             for raw in batch.column(0):
-                x = np.frombuffer(raw.as_buffer(), np.float64)
-                total = x.copy() if total is None else total + x
+                x = np.frombuffer(raw.as_buffer(), kind).astype(np.float64)
+                total = x if total is None else total + x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(kind).tobytes()], pa.binary())], names=["part"])
 
     spark, key = parts.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     parts = staged(parts, "sums")
@@ -89,4 +89,4 @@ def tree_sum(parts: DataFrame, fan_in: int = 16) -> np.ndarray:
             parts = staged(parts.repartition(n).mapInArrow(add, "part binary"), "sums")
     finally:
         spark.conf.set(key, before)
-    return sum(np.frombuffer(r.part, np.float64) for r in parts.collect()) if n else np.zeros(0)
+    return sum(np.frombuffer(r.part, kind).astype(np.float64) for r in parts.collect()) if n else np.zeros(0)

@@ -17,28 +17,35 @@ from narrata.llm.common import SLICE_BYTES, slices, staged, texts_of, tree_sum
 WORD = re.compile(r"[^\W_]+")
 #: Words are hashed to this many columns of the term matrix.
 TERMS = 1 << 15
+#: A task that adds up passages should have this many words at least, so that its sum is small beside them.
+TASK_WORDS = 6_000_000
 #: A passage is two blocks of this many words, and starts at every block.
 BLOCK = 16
 KEPT_WORDS = 400_000
 
 
+class _Columns(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = column = crc32(word.encode("utf-8", "surrogatepass")) % TERMS
+        return column
+
+
 class Terms:
     """Columns of words, with a bounded store of those met before."""
 
     def __init__(self) -> None:
-        self.kept: dict[str, int] = {}
+        self.kept = _Columns()
 
-    def __call__(self, text: str) -> list[int]:
-        kept, words = self.kept, WORD.findall(text.lower())
-        try:
-            return [kept[w] for w in words]
-        except KeyError:
-            if len(kept) > KEPT_WORDS:
-                kept.clear()
-            for w in words:
-                if w not in kept:
-                    kept[w] = crc32(w.encode("utf-8", "surrogatepass")) % TERMS
-            return [kept[w] for w in words]
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The columns of all words of the texts, one text after the other, and each text's number of words."""
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
+        words: list[str] = []
+        ends = []
+        for t in texts:
+            words += WORD.findall(t.lower())
+            ends.append(len(words))
+        return np.fromiter(map(self.kept.__getitem__, words), np.int16, len(words)), np.diff(ends, prepend=0)
 
 
 def passages(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,19 +124,21 @@ def _pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int) -> Iterato
 
 
 def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, terms) per row: the columns of the text's words in order."""
+    """(id, n, terms) per row: the columns of the text's words in order, and their number."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in slices(batches, "text", SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(terms(t), np.int16) for t in texts_of(batch, "text")], pa.list_(pa.int16()))], names=["id", "terms"])
+            flat, sizes = terms(texts_of(batch, "text"))
+            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "n", "terms"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, terms array<short>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, n long, terms array<short>")
 
 
-def _summed(terms: DataFrame, part: object) -> np.ndarray:
-    """Sum over all rows of part(terms, sizes), an array of a fixed size; each task adds up its rows first."""
+def _summed(terms: DataFrame, tasks: int, part: object) -> np.ndarray:
+    """Sum over all rows of part(terms, sizes), an array of a fixed size; each of the tasks adds up its rows first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -139,9 +148,9 @@ def _summed(terms: DataFrame, part: object) -> np.ndarray:
                 x = part(flat, sizes).ravel()
                 total = x if total is None else total + x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part"])
 
-    return tree_sum(terms.select("terms").mapInArrow(run, "part binary"))
+    return tree_sum(terms.select("terms").coalesce(tasks).mapInArrow(run, "part binary"), kind=np.float32)
 
 
 def latent_space(terms: DataFrame, rank: int = 72, extra: int = 8, skip: int = 8, seed: int = 5) -> LatentSpace | None:
@@ -154,14 +163,16 @@ def latent_space(terms: DataFrame, rank: int = 72, extra: int = 8, skip: int = 8
     passages share counts for little.
     """
 
+    words = terms.agg(F.sum("n")).first()[0]
+    if not words:
+        return None
+    tasks = -(-words // TASK_WORDS)
+
     def frequencies(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        of_word, owner, _ = passages(sizes)
-        seen = np.unique(of_word.astype(np.int64) * TERMS + flat) % TERMS
-        return np.r_[np.bincount(seen, minlength=TERMS), len(owner)].astype(np.float64)
+        table = block_terms(flat, passages(sizes)[0])
+        return np.r_[np.bincount(table.ravel(), minlength=TERMS + 1)[:TERMS], len(table)].astype(np.float64)
 
-    counts = _summed(terms, frequencies)
-    if not len(counts):
-        return None
+    counts = _summed(terms, tasks, frequencies)
     idf = np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 0.1
 
     def product(start: np.ndarray) -> np.ndarray:
@@ -175,14 +186,14 @@ def latent_space(terms: DataFrame, rank: int = 72, extra: int = 8, skip: int = 8
             i = np.flatnonzero(paired)
             around = z.copy()
             around[i + 1] += z[i]  # a block's words are in its own passage and in the one before
-            places = table.ravel()
-            owner = np.repeat(np.arange(len(table)), BLOCK)
+            owner, slot = np.nonzero(table < TERMS)
+            places = table[owner, slot]
             out = np.empty((z.shape[1], TERMS))
             for k, column in enumerate(np.ascontiguousarray(around.T, np.float64)):
-                out[k] = np.bincount(places, column[owner], TERMS + 1)[:TERMS]
+                out[k] = np.bincount(places, column[owner], TERMS)
             return out
 
-        return _summed(terms, part).reshape(-1, TERMS).T * idf[:, None]
+        return _summed(terms, tasks, part).reshape(-1, TERMS).T * idf[:, None]
 
     start = np.random.default_rng(seed).normal(size=(TERMS, rank + extra)) / np.sqrt(TERMS)
     sketch = product(start)
@@ -269,9 +280,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, least: fl
     of = Terms()
     for group in range(groups):
         rows = wanted.where(F.col("group") == group).select("item_id", "text").collect()  # about items_at_once rows
-        items = [Item(r.item_id, x) for r in rows if (x := of(r.text))]
+        flat, sizes = of([r.text for r in rows])
+        items = [Item(r.item_id, x.tolist()) for r, x in zip(rows, np.split(flat, np.cumsum(sizes)[:-1]), strict=True) if len(x)] if rows else []
         if items:
-            out = out.union(terms.mapInArrow(_search(space, items, cosine, least, answer_least), f"id {id_type}, item_id long, similarity double, cosine double"))
+            out = out.union(terms.select("id", "terms").mapInArrow(_search(space, items, cosine, least, answer_least), f"id {id_type}, item_id long, similarity double, cosine double"))
     return out
 
 
@@ -289,7 +301,8 @@ def _search(space: LatentSpace, items: list[Item], cosine: float, least: float,
             for start in range(0, len(z), 8192):
                 near = z[start : start + 8192] @ transposed
                 at, col = np.nonzero(near >= cosine)
-                for p, i, c in zip((at + start).tolist(), owner[col].tolist(), near[at, col].tolist(), strict=True):
+                pair, where = np.unique((at + start) * len(items) + owner[col], return_index=True)
+                for p, i, c in zip((pair // len(items)).tolist(), (pair % len(items)).tolist(), near[at[where], col[where]].tolist(), strict=True):
                     t = int(text[p])
                     seen = best.get((t, i))
                     if seen and seen[0] == 1.0:
