@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from narrata.plans import book_queries, text_queries
+
+MODULES = [text_queries, book_queries]
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
