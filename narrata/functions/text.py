@@ -22,6 +22,11 @@ FOOTNOTE_SYMBOLS = "*†‡§¶‖"
 SUPERSCRIPTS = "¹²³⁴⁵⁶⁷⁸⁹⁰"
 
 
+def let(value: Column, body: object) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs, text)
 

@@ -42,5 +42,6 @@ def difference(spark, con, query, sql, sf_dir) -> str:
     a, b = rows_of(df.columns, ours), rows_of(names, theirs)
     if a == b:
         return ""
-    only_a, only_b = [x for x in a if x not in set(b)][:2], [x for x in b if x not in set(a)][:2]
+    in_a, in_b = set(a), set(b)
+    only_a, only_b = [x for x in a if x not in in_b][:2], [x for x in b if x not in in_a][:2]
     return f"{len(a)} and {len(b)} rows; {only_a} and {only_b}"
