@@ -14,11 +14,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import slices, texts_of
+from narrata.llm.common import SLICE_BYTES, slices, texts_of
 
 SPACE = "▁"
 #: Segments kept by a worker, and the longest one kept.
-KEPT_SEGMENTS, KEPT_LENGTH = 400_000, 48
+KEPT_SEGMENTS, KEPT_LENGTH = 150_000, 48
 #: Widths of the tables in which short segments are merged side by side.
 WIDTHS = (6, 9, 12, 16, 24, 40)
 NEVER = np.int32(2**31 - 1)
@@ -224,7 +224,7 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = tokenizer(model_file)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES // 2):
             split = [tool.segments(t) for t in texts_of(batch, "text")]
             known = tool.of_segments(set().union(*split), check)
             columns: dict[str, list] = {"n_tokens": [], **{name: [] for name, _, _ in chosen}}
@@ -234,13 +234,15 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                 joined = ",".join([r[1] for r in rows])
                 text = "".join([r[2] for r in rows])[1:]
                 if "ids" in columns:
-                    columns["ids"].append([int(x) for x in joined.split(",")] if joined else [])
+                    columns["ids"].append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
                 if "decoded" in columns:
                     columns["decoded"].append(text)
                 if "ids_sha256" in columns:
                     columns["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
                     columns["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
+            del known
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns["n_tokens"], pa.int64()), *(pa.array(columns[n], kind) for n, kind, _ in chosen)], names=["id", "n_tokens", *(n for n, _, _ in chosen)])
+        tool.kept.clear()  # a worker may go on to other work
 
     schema = ", ".join([f"id {id_type}", "n_tokens long", *(f"{n} {sql}" for n, _, sql in chosen)])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

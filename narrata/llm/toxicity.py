@@ -22,9 +22,14 @@ DIMENSIONS, PREFIXES = 1 << 18, (3, 4, 5, 6, 7)
 KEPT_WORDS = 400_000
 
 
+def checksums(word: str) -> list[int]:
+    """Checksums of the word and of its beginnings, 0 for beginnings longer than the word."""
+    return [crc32(f"={word}".encode()), *(crc32(f"{n}{word[:n]}".encode()) if len(word) >= n else 0 for n in PREFIXES)]
+
+
 def features(word: str) -> list[int]:
-    """Places of a word's features in the weight vector; a beginning as long as the word is marked as a whole word."""
-    return [crc32(f"={word}".encode()) % DIMENSIONS, *(crc32(f"{n}{word[:n]}".encode()) % DIMENSIONS if len(word) >= n else 0 for n in PREFIXES)]
+    """Places of a word's features in the weight vector."""
+    return [x % DIMENSIONS for x in checksums(word)]
 
 
 def sequences(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -110,27 +115,23 @@ def token_labels(words: list[str], owner: np.ndarray, toxic: np.ndarray, least:
     its rate in clean ones or more, in at least `least` different toxic texts, and the log-likelihood ratio of the two
     rates is at least `surprise`.
     """
-    distinct, codes = np.unique(np.array(words, dtype=object), return_inverse=True) if words else (np.array([], object), np.array([], int))
-    dirty = toxic[owner] if len(owner) else np.array([], bool)
-    counts = [np.bincount(codes[dirty == k], minlength=len(distinct)) for k in (False, True)]
-    totals = [max(1, int(c.sum())) for c in counts]
-    texts = np.bincount(np.unique(np.stack([codes[dirty], owner[dirty]]), axis=1)[0], minlength=len(distinct)) if dirty.any() else np.zeros(len(distinct), int)
-    rows: dict[str, list[int]] = {}
-    for w, c, d, t in zip(distinct, counts[0].tolist(), counts[1].tolist(), texts.tolist(), strict=True):
-        for key in ("=" + w, *(w[:n] for n in PREFIXES if len(w) >= n)):
-            got = rows.setdefault(key, [0, 0, 0])
-            got[0] += c
-            got[1] += d
-            got[2] = max(got[2], t) if key[0] == "=" else got[2] + t
-    marked = set()
-    for key, (c, d, t) in rows.items():
-        if t >= least and d / totals[1] >= ratio * (c + 0.5) / totals[0]:
-            p = (c + d) / sum(totals)
-            gain = 2 * (d * np.log(d / totals[1] / p) + (c * np.log(c / totals[0] / p) if c else 0))
-            if gain >= surprise:
-                marked.add(key)
-    hit = np.array([("=" + w) in marked or any(w[:n] in marked for n in PREFIXES if len(w) >= n) for w in distinct], bool)
-    return hit[codes] & dirty if len(codes) else np.array([], bool)
+    if not words:
+        return np.zeros(0, bool)
+    distinct, codes = np.unique(np.array(words, dtype=object), return_inverse=True)
+    dirty = toxic[owner]
+    clean, foul = (np.bincount(codes[dirty == k], minlength=len(distinct)) for k in (False, True))
+    totals = max(1, int(clean.sum())), max(1, int(foul.sum()))
+    texts = np.bincount(np.unique(codes[dirty].astype(np.int64) * len(toxic) + owner[dirty]) // len(toxic), minlength=len(distinct))
+    keys = np.array([checksums(w) for w in distinct], np.int64)
+    _, at = np.unique(keys, return_inverse=True)
+    at = at.reshape(keys.shape)
+    c, d, t = (np.bincount(at.ravel(), np.repeat(x, keys.shape[1])) for x in (clean, foul, texts))
+    p = (c + d) / sum(totals)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = 2 * (np.where(d > 0, d * np.log(d / totals[1] / p), 0) + np.where(c > 0, c * np.log(c / totals[0] / p), 0))
+    marked = (t >= least) & (d / totals[1] >= ratio * (c + 0.5) / totals[0]) & (gain >= surprise)
+    hit = (marked[at] & (keys > 0)).any(axis=1)
+    return hit[codes] & dirty
 
 
 def document_features(marginals: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -193,7 +194,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: in
     return texts, marks
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
     """A model fitted on at most `most` labelled documents of each class whose crc32(id) modulo folds isn't held_out; None without both classes."""
     texts, marks = labelled_sample(docs, labels, folds, held_out, most, id_col, text_col, label_col)
     return fit(texts, marks) if len(set(marks)) == 2 else None
