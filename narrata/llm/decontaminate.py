@@ -122,13 +122,17 @@ class LatentSpace:
 
 
 def _arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(column.flatten(), np.int64), np.asarray(pa.compute.list_value_length(column), np.int64)
+    """All terms of a column of texts' terms, one text after the other, and each text's number of them."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // 2
+    flat = np.frombuffer(data, np.int16, len(data) // 2)[ends[0] : ends[-1]] if data and len(ends) else np.zeros(0, np.int16)
+    return flat.astype(np.int64), np.diff(ends).astype(np.int64)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows of the batches in pieces of about limit items of the list column, one row at least."""
+    """Rows of the batches in pieces of about limit terms, one row at least."""
     for batch in batches:
-        total = np.cumsum(np.asarray(pa.compute.list_value_length(batch.column(batch.schema.names.index(name)))))
+        total = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(batch.schema.names.index(name))))) // 2
         start = 0
         while start < len(batch):
             base = total[start - 1] if start else 0
@@ -138,17 +142,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int) -> Iterato
 
 
 def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, terms) per row: the columns of the text's words in order, and their number."""
+    """(id, n, terms) per row: the columns of the text's words in order, two bytes each, and their number."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in slices(batches, "text", SLICE_BYTES):
             flat, sizes = terms(texts_of(batch, "text"))
-            offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "n", "terms"])
+            offsets = (2 * np.r_[0, np.cumsum(sizes)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), packed], names=["id", "n", "terms"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, n long, terms array<short>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, n long, terms binary")
 
 
 def _summed(terms: DataFrame, tasks: int, part: object) -> np.ndarray:
@@ -211,14 +216,16 @@ def latent_space(terms: DataFrame, rank: int = 64, extra: int = 4, skip: int = 8
 
     start = np.random.default_rng(seed).normal(size=(TERMS, rank + extra)) / np.sqrt(TERMS)
     sketch = product(start)
-    sketch += np.sqrt(TERMS) * np.finfo(np.float64).eps * np.linalg.norm(sketch) * start  # keeps the factor definite
     middle = start.T @ sketch
-    half = np.linalg.solve(np.linalg.cholesky((middle + middle.T) / 2), sketch.T).T
+    weights, axes = np.linalg.eigh((middle + middle.T) / 2)
+    sound = weights > 1e-6 * weights.max()  # few different passages have a lower rank
+    half = sketch @ (axes[:, sound] / np.sqrt(weights[sound]))
     values, turn = np.linalg.eigh(half.T @ half)
     best = np.argsort(-values)[:rank]
     singular = np.sqrt(np.maximum(values[best], 1e-9 * values.max()))
     vectors = half @ turn[:, best] / singular
-    return LatentSpace(idf, padded((vectors * idf[:, None] * (singular[0] / singular))[:, skip:]), singular)
+    first = skip if len(singular) > 2 * skip else 0
+    return LatentSpace(idf, padded((vectors * idf[:, None] * (singular[0] / singular))[:, first:]), singular)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
