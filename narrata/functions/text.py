@@ -197,7 +197,7 @@ def duration_label(seconds: Column) -> Column:
 
 
 def escape_metadata(value: Column) -> Column:
-    return replace_all(value, [("\\", "\\\\"), ("=", "\\="), (";", "\;"), ("#", "\\#"), ("\n", " ")])
+    return replace_all(value, [("\\", "\\\\"), ("=", "\\="), (";", "\\;"), ("#", "\\#"), ("\n", " ")])
 
 
 def cache_key(text: Column, mode: Column, speaker: Column) -> Column:

@@ -156,7 +156,7 @@ add_values("u04_common_words", [], {"common": (lambda t: Q.common_words(t).cast(
 add_values(
     "t29_escape_metadata",
     [(" the ", " a=b;c#d\\e ")],
-    {"digest": (lambda t: F.md5(T.escape_metadata(t)), "md5(" + replace_sql("{t}", [("\\", "\\\\"), ("=", "\\="), (";", "\;"), ("#", "\\#"), ("\n", " ")]) + ")")},
+    {"digest": (lambda t: F.md5(T.escape_metadata(t)), "md5(" + replace_sql("{t}", [("\\", "\\\\"), ("=", "\\="), (";", "\\;"), ("#", "\\#"), ("\n", " ")]) + ")")},
 )
 add_values(
     "t30_cache_keys",

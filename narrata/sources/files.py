@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,17 +107,19 @@ def read_epub(files: DataFrame) -> DataFrame:
     Entries that the manifest doesn't have are left out; the last title that the contents give a file counts.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.strip().split(" ")[0] for f in EPUB_SCHEMA.split(",")]
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
+    names = [f.strip().split(" ")[0] for f in EPUB_SCHEMA.split(",")]
+    schema = pa.schema([(n, pa.int32() if n == "spine_seq" else pa.string()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows = list(_epub_rows(path, bytes(content)))
+                    rows = list(_epub_rows(path, content))
                 except Exception as e:  # noqa: BLE001  a broken file is a row, not the end of the job
                     rows = [{"path": path, "error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame(rows, columns=names)
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("path", "content").mapInPandas(run, EPUB_SCHEMA)
+    return files.select("path", "content").mapInArrow(run, EPUB_SCHEMA)
 
 
 def linear_spine(entries: DataFrame) -> DataFrame:
