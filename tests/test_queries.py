@@ -1,7 +1,7 @@
 """Every query of the library's own operators against its SQL; those without SQL must run and are tested elsewhere."""
 
 import pytest
-from compare import connect, difference
+from tests.compare import connect, difference
 
 from narrata.plans import registry
 
