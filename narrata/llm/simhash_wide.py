@@ -16,7 +16,7 @@ from narrata.llm.graph import connected_components
 
 #: 64-bit words of a fingerprint; blocks cut from its first bits, their width, and the bits of each that are tried both ways.
 LANES, BLOCKS, WIDTH, WEAK = 8, 16, 24, 2
-PAIR_BUCKET = 64
+PAIR_BUCKET = 8
 COMPARED = 2048
 _POWERS = 1 << np.arange(WIDTH, dtype=np.int64)
 _BLOCK = np.arange(BLOCKS, dtype=np.int64) << WIDTH
