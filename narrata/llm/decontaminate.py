@@ -172,7 +172,7 @@ def _summed(terms: DataFrame, tasks: int, part: object) -> np.ndarray:
     return tree_sum(terms.select("terms").coalesce(tasks).mapInArrow(run, "part binary"), kind=np.float32)
 
 
-def latent_space(terms: DataFrame, rank: int = 64, extra: int = 4, skip: int = 8, seed: int = 5) -> LatentSpace | None:
+def latent_space(terms: DataFrame, rank: int = 72, extra: int = 8, skip: int = 8, seed: int = 5) -> LatentSpace | None:
     """Randomised singular value decomposition of the TF-IDF matrix of all passages of all rows; None if there are none.
 
     With A the unit rows of the passages by terms and a random start W, one pass sums a'(aW) over the
@@ -276,7 +276,7 @@ class Item:
         return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, least: float = 0.7, answer_least: float = 0.5, rank: int = 64, items_at_once: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, least: float = 0.7, answer_least: float = 0.5, rank: int = 72, items_at_once: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, similarity, cosine) for each row of docs and benchmark item whose passage it holds.
 
     A latent space is fitted on all passages of all documents. Every passage is compared with every passage of the
@@ -319,6 +319,8 @@ def _search(space: LatentSpace, items: list[Item], cosine: float, least: float,
             z, text, number = space.place(flat, sizes)
             ends = np.cumsum(sizes)
             best: dict[tuple[int, int], list[float]] = {}
+            held: dict[int, set[int]] = {}
+            hopeful: dict[tuple[int, int], bool] = {}
             for start in range(0, len(z), 8192):
                 near = z[start : start + 8192] @ transposed
                 at, col = np.nonzero(near >= cosine)
@@ -330,6 +332,12 @@ def _search(space: LatentSpace, items: list[Item], cosine: float, least: float,
                         continue
                     low, m = int(number[p]) * BLOCK, len(items[i].terms)
                     base = ends[t] - sizes[t]
+                    if (t, i) not in hopeful:  # a text without that many of the item's words has no such subsequence
+                        if t not in held:
+                            held[t] = set(flat[base : ends[t]].tolist())
+                        hopeful[t, i] = sum([x in held[t] for x in items[i].terms]) >= least * m
+                    if not hopeful[t, i]:
+                        continue
                     region = flat[base + max(0, low - m) : min(ends[t], base + low + 2 * BLOCK + m)]
                     share = items[i].found_in(region.tolist(), least, answer_least)
                     if share and (not seen or share > seen[0]):
