@@ -93,4 +93,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_vector_graph, op3_decontamination, op4_warc, op5_sentencepiece, op6_ring_shards, op7_secret_scan, op8_quality, op9_simhash_near_dedup, op10_toxicity)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators' results can't be written in SQL; they are tested against brute force, libraries or held-out labels.
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """with p as (select page_id, coalesce(html, '') as html from pages),
+w as (select page_id, cast(strlen(html) as bigint) as payload_bytes, sha256(html) as payload_digest, min(page_id) over (partition by html) as first from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 and page_id > first then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id > first then first end as refers_to from w""",
+}
