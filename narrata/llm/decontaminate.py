@@ -1,4 +1,5 @@
-"""Benchmark decontamination: latent semantic search for passages, checked by longest common subsequences."""
+"""Benchmark decontamination: latent semantic search for passages, and rare words of the items for what it dilutes, checked
+by longest common subsequences."""
 
 from __future__ import annotations
 
@@ -276,12 +277,60 @@ class Item:
         return best
 
 
+def words_needed(m: int, least: float) -> int:
+    """How many words of an item of m words must be there in order."""
+    return m if m < 8 else next(n for n in range(m + 1) if n / m >= least)
+
+
+class Anchors:
+    """The rarer half of each item's words, by term: a stretch that has all but `missing` of an item's words has all but that
+    many of these, so no stretch that counts is without them, however short the item is."""
+
+    def __init__(self, items: list[Item], idf: np.ndarray, least: float) -> None:
+        pairs = []
+        self.needed, self.room = np.ones(len(items), np.int64), np.ones(len(items), np.int64)
+        for i, item in enumerate(items):
+            m = len(item.terms)
+            missing = m - words_needed(m, least)
+            rare = sorted(item.terms, key=lambda x: -idf[x])[: max(-(-m // 2), missing + 1)]
+            self.needed[i], self.room[i] = len(rare) - missing, m + max(2, m // 8)
+            pairs += [(x, i) for x in set(rare)]
+        table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.items = table[:, 1]
+        self.starts = np.searchsorted(table[:, 0], np.arange(TERMS + 1))
+
+    def places(self, terms: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, from, to) for the stretches of the texts that hold enough of an item's anchors closely enough, with
+        an item's room around; the places count from the start of all texts."""
+        n = np.diff(self.starts)[terms]
+        at = np.repeat(np.arange(len(terms)), n)
+        item = self.items[np.repeat(self.starts[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        text = np.repeat(np.arange(len(sizes)), sizes)[at]
+        order = np.argsort(item, kind="stable")  # the places of an item stay in order, and so do its texts
+        at, item, text = at[order], item[order], text[order]
+        last = np.arange(len(at)) + self.needed[item] - 1
+        fits = last < len(at)
+        end = np.where(fits, last, 0)
+        i = np.flatnonzero(fits & (item[end] == item) & (text[end] == text) & (at[end] - at < self.room[item]))
+        if not len(i):
+            return
+        first, stop, item, text = at[i], at[end[i]], item[i], text[i]
+        new = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (first[1:] - stop[:-1] > self.room[item[1:]])])
+        close = np.r_[new[1:], len(i)] - 1
+        ends = np.cumsum(sizes)
+        room = self.room[item[new]]
+        low = np.maximum(ends[text[new]] - sizes[text[new]], first[new] - room)
+        high = np.minimum(ends[text[new]], stop[close] + room + 1)
+        yield from zip(text[new].tolist(), item[new].tolist(), low.tolist(), high.tolist(), strict=True)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, least: float = 0.7, answer_least: float = 0.5, rank: int = 72, items_at_once: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item_id, similarity, cosine) for each row of docs and benchmark item whose passage it holds.
 
     A latent space is fitted on all passages of all documents. Every passage is compared with every passage of the
-    items there; pairs of a cosine of at least `cosine` are candidates, and a candidate counts if the longest common
-    subsequence has `least` of the item's words and `answer_least` of its closing words; similarity is that share.
+    items there; pairs of a cosine of at least `cosine` are candidates. A passage of 32 words dilutes a short or changed
+    item, so stretches with enough of an item's rarer words are candidates as well, whatever their cosine: `Anchors` leaves
+    out none that can count. A candidate counts if the longest common subsequence has `least` of the item's words and `answer_least` of its closing words; similarity is that share.
     Case, punctuation and marks around words don't matter. The items go in groups of items_at_once, so what a task holds
     of them is bounded, and a larger benchmark takes more passes over the terms.
 
@@ -312,6 +361,8 @@ def _search(space: LatentSpace, items: list[Item], cosine: float, least: float,
     flat = np.array([x for i in items for x in i.terms], np.int64)
     vectors, owner, _ = space.place(flat, np.array([len(i.terms) for i in items], np.int64))
     transposed = np.ascontiguousarray(vectors.T)
+    anchors = Anchors(items, space.idf, least)
+    of_item = np.searchsorted(owner, np.arange(len(items) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, "terms", 200_000):
@@ -342,6 +393,16 @@ def _search(space: LatentSpace, items: list[Item], cosine: float, least: float,
                     share = items[i].found_in(region.tolist(), least, answer_least)
                     if share and (not seen or share > seen[0]):
                         best[t, i] = [share, c]
+            first = np.searchsorted(text, np.arange(len(sizes)))
+            for t, i, low, high in anchors.places(flat, sizes):
+                seen = best.get((t, i))
+                if seen and seen[0] == 1.0:
+                    continue
+                share = items[i].found_in(flat[low:high].tolist(), least, answer_least)
+                if share and (not seen or share > seen[0]):
+                    base = ends[t] - sizes[t]
+                    here = z[first[t] + (low - base) // BLOCK : first[t] + (high - 1 - base) // BLOCK + 1]
+                    best[t, i] = [share, float((here @ vectors[of_item[i] : of_item[i + 1]].T).max())]
             ids = batch.column(0)
             keys = sorted(best)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array([t for t, _ in keys], pa.int64())), pa.array([items[i].item_id for _, i in keys], pa.int64()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([best[k][1] for k in keys], pa.float64())], names=["id", "item_id", "similarity", "cosine"])

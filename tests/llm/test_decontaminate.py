@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from narrata.llm import decontaminate as D
 
 
@@ -41,3 +43,47 @@ def test_planted_passages(spark, odd_docs, no_docs):
     assert all(got[500 + i, i] == 1.0 for i, _ in items) and 0.9 < got[600, 11] < 1.0
     assert D.leaks(no_docs, bench).count() == 0 and D.leaks(odd_docs, bench.limit(0)).count() == 0
     assert D.leaks(odd_docs, bench).count() == 0
+
+
+def test_short_and_changed_items_are_found(spark):
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 7))) for _ in range(3000)]
+    weights = [1 / (k + 5) for k in range(len(vocab))]
+    prose = lambda n: rnd.choices(vocab, weights, k=n)
+    items, docs, wanted = [], [(i, " ".join(prose(300))) for i in range(100)], set()
+    for i in range(240):
+        words = prose((5, 9, 15, 16, 17, 18, 22, 30)[i % 8])
+        items.append((i, " ".join(words)))
+        m, copy = len(words), list(words)
+        changed = 0 if i % 3 == 0 or m < 8 else int(0.28 * m)  # the rule accepts 0.7 of the words
+        for k in rnd.sample(range(m - 3), changed):
+            copy[k] = "".join(rnd.choice("klmnop") for _ in range(8))
+        docs.append((1000 + i, " ".join([*prose(rnd.randrange(100)), *copy, *prose(rnd.randrange(100))])))
+        wanted.add((1000 + i, i))
+    found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.id, r.item_id): r for r in found}
+    assert not wanted - set(got)
+    assert all(got[1000 + i, i].similarity == 1.0 for i in range(0, 240, 3)) and min(r.cosine for r in found) < 0.45
+
+
+def test_anchors_leave_out_no_stretch(spark):
+    rnd = random.Random(4)
+    idf = np.random.default_rng(1).random(D.TERMS)
+    for _ in range(60):
+        items = [D.Item(i, [rnd.randrange(60) for _ in range(rnd.randint(1, 24))]) for i in range(6)]
+        texts = [[rnd.randrange(60) for _ in range(rnd.randrange(50))] for _ in range(5)]
+        for t in texts[:3]:
+            words = [x if rnd.random() < 0.8 else rnd.randrange(60) for x in rnd.choice(items).terms]
+            t[len(t) // 2 : len(t) // 2] = words
+        sizes = np.array([len(t) for t in texts])
+        flat = np.array([x for t in texts for x in t])
+        places = list(D.Anchors(items, idf, 0.7).places(flat, sizes))
+        starts = [sum(sizes[:k]) for k in range(len(texts))]
+        for k, t in enumerate(texts):
+            for i, item in enumerate(items):
+                m = len(item.terms)
+                room = m + max(2, m // 8)
+                for s in range(max(1, len(t) - room + 1)):
+                    if lcs(item.terms, t[s : s + room]) >= D.words_needed(m, 0.7):
+                        lo, hi = starts[k] + s, starts[k] + min(len(t), s + room)
+                        assert any(a == k and b == i and c <= lo and hi <= d for a, b, c, d in places)
