@@ -1,4 +1,5 @@
-"""SimHash near-duplicates at a lower similarity: long fingerprints, blocks with their weakest bits tried both ways."""
+"""SimHash near-duplicates at a lower similarity: long fingerprints, blocks with their weakest bits tried both ways, and
+an exact comparison of the shingles of every proposed pair."""
 
 from __future__ import annotations
 
@@ -15,25 +16,39 @@ from narrata.llm.common import slices, staged, texts_of
 from narrata.llm.graph import connected_components
 
 #: 64-bit words of a fingerprint; blocks cut from its first bits, their width, and the bits of each that are tried both ways.
-LANES, BLOCKS, WIDTH, WEAK = 8, 16, 24, 2
+LANES, BLOCKS, WIDTH, WEAK = 12, 32, 24, 2
 PAIR_BUCKET = 8
+#: Texts of so few shingles are proposed at any distance, as theirs scatter more than the formula says.
+FEW = 16
+#: In a large bucket, partners in another component that a text is first verified against.
+NEAREST = 4
 COMPARED = 2048
 _POWERS = 1 << np.arange(WIDTH, dtype=np.int64)
 _BLOCK = np.arange(BLOCKS, dtype=np.int64) << WIDTH
 _STEPS = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
 
 
+def shingle_set(text: str, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted 64-bit hashes of the text's distinct shingles; a text with fewer words is one shingle."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(parts)] if len(parts) <= words else map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], np.uint64))
+
+
 def sketch(text: str, words: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprint as LANES signed words, and its block keys; all zero and no key for a text without words.
 
-    As in the short fingerprint a bit is set if it is set in over half of the shingles' hashes. Each block gives 2^WEAK
-    keys: its bits, with those whose counts are nearest to a half taken both ways.
+    As in the short fingerprint a bit is set if it is set in over half of the hashes, here of the distinct shingles. Each
+    block gives 2^WEAK keys: its bits, with those whose counts are nearest to a half taken both ways.
     """
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
+    return sketch_of(shingle_set(text, words, seed))
+
+
+def sketch_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(h):
         return np.zeros(LANES, np.int64), np.zeros(0, np.int64)
-    shingles = [b" ".join(parts)] if len(parts) <= words else map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
-    h = np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], np.uint64)
     ones = np.empty((LANES, 64), np.int64)
     for lane, step in enumerate(_STEPS):  # further hashes of a shingle by a public 64-bit mixer
         z = h + step
@@ -53,10 +68,10 @@ def sketch(text: str, words: int = 5, seed: int = 42) -> tuple[np.ndarray, np.nd
 
 
 def radius(similarity: float) -> int:
-    """Differing bits of fingerprints of texts whose shingle sets have this Jaccard similarity: the mean and one deviation."""
+    """Differing bits of fingerprints of texts whose shingle sets have this Jaccard similarity: the mean and three deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * LANES
-    return round(n * p + math.sqrt(n * p * (1 - p)))
+    return round(n * p + 3 * math.sqrt(n * p * (1 - p)))
 
 
 def _differing(a: list[Column], b: list[Column]) -> Column:
@@ -66,78 +81,124 @@ def _differing(a: list[Column], b: list[Column]) -> Column:
     return total
 
 
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of pairs(a, b) whose sets(node, shingles) have a Jaccard similarity of `similarity` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hold = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                hold.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(hold, pa.bool_()))
+
+    of_a, of_b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
 def wide_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) per row of docs: the smallest id that can be reached over links of `similarity` or more.
 
-    Fingerprints are joined on blocks and verified by Hamming distance. Equal ones are first counted as one. In a bucket
-    of up to PAIR_BUCKET fingerprints all pairs are verified. In a larger one each is verified against the bucket's first;
-    after that, only links between different components are missing, so the fingerprints outside the first's component
-    are compared with all of the bucket, block by block, and just the components that meet are emitted: no link
-    that joins components is lost, and no group emits its pairs. Cases: texts without words are one group; rows that repeat
-    an id each get a row; a null id is chosen only where a component has no other; an empty table gives no rows; other
-    columns are ignored.
+    Fingerprints are joined on blocks, which proposes pairs; those whose Hamming distance and numbers of shingles leave
+    the similarity possible are verified by the Jaccard similarity of their shingle sets, and only pairs that have it
+    are links. Texts with equal sets are first counted as one. In a bucket of up to PAIR_BUCKET sets all pairs are
+    verified. In a larger one each is verified against the bucket's first; after that, only links between
+    different components are missing, so the sets outside the first's component are compared with all of the bucket,
+    block by block, and verified against those in other components: first the NEAREST of each component, then all that
+    are still apart. No proposed link that joins components is lost, and a group of near copies doesn't verify its
+    pairs. Cases: texts without words are one group; rows that repeat an id each get a row; a null id is chosen only where
+    a component has no other; an empty table gives no rows; other columns are ignored.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     lanes = [f"f{i}" for i in range(LANES)]
+    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [sketch(t, words) for t in texts_of(batch, "text")]
+            sets = [shingle_set(t, words) for t in texts_of(batch, "text")]
+            found = [sketch_of(h) for h in sets]
             fps = np.array([fp for fp, _ in found], np.int64).reshape(-1, LANES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in fps.T), pa.array([k for _, k in found], pa.list_(pa.int64()))], names=["id", *lanes, "keys"])
+            digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), digests, pa.array([len(h) for h in sets], pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in fps.T), pa.array([k.astype(np.int32) for _, k in found], pa.list_(pa.int32()))], names=["id", "text_hash", "digest", "m", *lanes, "keys"])
+
+    def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in texts_of(batch, "text")], pa.binary())], names=["node", "shingles"])
 
     limit = radius(similarity)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, {', '.join(f'{c} long' for c in lanes)}, keys array<long>")
+    rows = given.mapInArrow(run, f"id {id_type}, text_hash long, digest binary, m int, {', '.join(f'{c} long' for c in lanes)}, keys array<int>")
     rows = staged(rows, "sketches")
-    heads = rows.groupBy(*lanes).agg(F.min("id").alias("head"), F.min("keys").alias("keys"))
+    heads = rows.groupBy("digest").agg(F.min("id").alias("head"), F.min("text_hash").alias("text_hash"), F.min("m").alias("m"), *(F.min(c).alias(c) for c in lanes), F.min("keys").alias("keys"))
     heads = staged(heads.withColumn("node", F.monotonically_increasing_id()), "heads")
-    prints = heads.select("node", *lanes)
-    keyed = heads.select("node", F.explode("keys").alias("key")).distinct()
+    prints = heads.select("node", "m", *lanes)
+    keyed = heads.select("node", F.explode("keys").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     shared = staged(keyed.join(crowded, "key"), "blocks")
     other = [f"g{i}" for i in range(LANES)]
-    near = _differing([F.col(c) for c in lanes], [F.col(c) for c in other]) <= limit
-    as_other = prints.select(F.col("node").alias("b"), *(F.col(c).alias(o) for c, o in zip(lanes, other, strict=True)))
+    close = (_differing([F.col(c) for c in lanes], [F.col(c) for c in other]) <= limit) | (F.least("m", "m_b") <= FEW)
+    near = close & (F.least("m", "m_b") >= similarity * F.greatest("m", "m_b") - 1e-9)
+    as_other = prints.select(F.col("node").alias("b"), F.col("m").alias("m_b"), *(F.col(c).alias(o) for c, o in zip(lanes, other, strict=True)))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs, "pairs")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = heads.select("node", "text_hash").join(nodes, "node")
+        texts = given.select("text_hash", "text").join(wanted, "text_hash").select("node", "text").dropDuplicates(["node"])
+        return similar(pairs, staged(texts.mapInArrow(read_sets, "node long, shingles binary"), "sets"), similarity)
 
     small = shared.where(F.col("n") <= PAIR_BUCKET)
     met = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
     large = shared.where(F.col("n") > PAIR_BUCKET)
     spokes = large.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     offered = met.union(spokes).distinct()
-    edges = staged(offered.join(prints.withColumnRenamed("node", "a"), "a").join(as_other, "b").where(near).select("a", "b"), "links")
+    edges = staged(verified(offered.join(prints.withColumnRenamed("node", "a"), "a").join(as_other, "b").where(near).select("a", "b")), "links")
     parts = connected_components(edges)
-
-    of_node = large.join(parts, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("part"))
-    of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_part"))
-    placed = staged(of_node.join(of_hub, "hub", "left").withColumn("hub_part", F.coalesce("hub_part", "hub")).join(prints, "node"), "large")
-    block = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("size") / COMPARED))).cast("int")
-    outside = placed.where("part <> hub_part")
-    sizes = placed.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("part") != F.col("hub_part")).alias("apart")).where("apart > 0")
-    blocks_all = F.greatest(F.lit(1), F.ceil(F.col("size") / COMPARED)).cast("int")
-    blocks_out = F.greatest(F.lit(1), F.ceil(F.col("apart") / COMPARED)).cast("int")
-    some = outside.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("node"), blocks_out).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks_all - 1)))
-    full = placed.join(sizes, "key").withColumn("y", block).withColumn("x", F.explode(F.sequence(F.lit(0), blocks_out - 1)))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = (np.column_stack([np.asarray(t[c], np.int64) for c in lanes]).view(np.uint64) if len(t) else np.zeros((0, LANES), np.uint64) for t in (left, right))
-        pa_, pb = np.asarray(left["part"], np.int64), np.asarray(right["part"], np.int64)
-        found: set[tuple[int, int]] = set()
-        for i in range(0, len(a), 32):
-            apart = np.bitwise_count(a[i : i + 32, None, :] ^ b[None, :, :]).sum(axis=2)
-            r, c = np.nonzero((apart <= limit) & (pa_[i : i + 32, None] != pb[None, :]))
-            found |= set(zip(pa_[i + r].tolist(), pb[c].tolist(), strict=True))
-        return pa.table([[x for x, _ in sorted(found)], [y for _, y in sorted(found)]], schema=schema)
-
     group = ["key", "x", "y"]
-    some, full = (staged(x.select(*group, "part", *lanes), "compared") for x in (some, full))
-    joins = some.groupBy(*group).cogroup(full.groupBy(*group)).applyInArrow(compare, "a long, b long")
-    merged = connected_components(joins.distinct())
-    named = heads.select("node", "head", *lanes).join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    named = named.join(merged.select(F.col("node").alias("part"), "component"), "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+
+    def comparison(most: int | None) -> object:
+        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            a, b = (np.column_stack([np.asarray(t[c], np.int64) for c in lanes]).view(np.uint64) if len(t) else np.zeros((0, LANES), np.uint64) for t in (left, right))
+            (na, pa_, ma), (nb, pb, mb) = ([np.asarray(t[c], np.int64) for c in ("node", "part", "m")] for t in (left, right))
+            out = [np.zeros((0, 2), np.int64)]
+            for i in range(0, len(a), 32):
+                apart = np.bitwise_count(a[i : i + 32, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+                less, more = np.minimum(ma[i : i + 32, None], mb), np.maximum(ma[i : i + 32, None], mb)
+                r, c = np.nonzero(((apart <= limit) | (less <= FEW)) & (less >= similarity * more - 1e-9) & (pa_[i : i + 32, None] != pb[None, :]))
+                if most is not None and len(r):
+                    order = np.lexsort((apart[r, c], pb[c], r))
+                    r, c = r[order], c[order]
+                    first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (pb[c[1:]] != pb[c[:-1]])])
+                    place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
+                    r, c = r[place < most], c[place < most]
+                out.append(np.sort(np.column_stack([na[i + r], nb[c]]), axis=1))
+            found = np.concatenate(out)
+            return pa.table([found[:, 0], found[:, 1]], schema=schema)
+
+        return compare
+
+    for most in (NEAREST, None):
+        of_node = large.join(parts, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("part"))
+        of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_part"))
+        placed = staged(of_node.join(of_hub, "hub", "left").withColumn("hub_part", F.coalesce("hub_part", "hub")), "large")
+        outside = placed.where("part <> hub_part")
+        sizes = staged(placed.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("part") != F.col("hub_part")).alias("apart")).where("apart > 0"), "sizes")
+        if sizes.isEmpty():
+            break
+        blocks_all = F.greatest(F.lit(1), F.ceil(F.col("size") / COMPARED)).cast("int")
+        blocks_out = F.greatest(F.lit(1), F.ceil(F.col("apart") / COMPARED)).cast("int")
+        some = outside.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("node"), blocks_out).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks_all - 1)))
+        full = placed.join(sizes, "key").withColumn("y", F.pmod(F.xxhash64("node"), blocks_all).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks_out - 1)))
+        some, full = (staged(x.select(*group, "node", "part").join(prints, "node"), "compared") for x in (some, full))
+        joins = some.groupBy(*group).cogroup(full.groupBy(*group)).applyInArrow(comparison(most), "a long, b long").distinct()
+        edges = staged(edges.union(verified(joins)), "links")
+        parts = connected_components(edges)
+
+    named = heads.select("digest", "node", "head").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     least = named.groupBy("part").agg(F.min("head").alias("component_id"))
-    final = named.join(least, "part").select(*lanes, "component_id")
-    return rows.select("id", *lanes).join(final, lanes).select("id", "component_id")
+    final = named.join(least, "part").select("digest", "component_id")
+    return rows.select("id", "digest").join(final, "digest").select("id", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

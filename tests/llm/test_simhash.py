@@ -108,3 +108,33 @@ def test_radius_follows_the_similarity():
     assert W.radius(0.9) < W.radius(0.8) < 64 * W.LANES / 2
     fp, keys = W.sketch("one two three four five six seven")
     assert fp.dtype == np.int64 and len(set(keys.tolist())) == W.BLOCKS << W.WEAK
+
+
+def jaccard(a, b):
+    a, b = ({tuple(p[i : i + 5]) for i in range(max(1, len(p) - 4))} for p in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_wide_links_equal_exact_jaccard(spark, monkeypatch):
+    rnd = random.Random(11)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    rows, wanted = [], []
+    for size in (30, 60, 150, 400):
+        for k in range(60):
+            base = [rnd.choice(vocab) for _ in range(size)]
+            cut = round(size * (0.03 + 0.17 * k / 60))  # a changed end: similarities of about 0.65 to 0.95
+            copy = base[: size - cut] + [rnd.choice(vocab) for _ in range(cut)]
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+            wanted.append((len(rows) - 2, jaccard(rows[-2][1], rows[-1][1])))
+    line = " ".join(rnd.choice(vocab) for _ in range(12))  # a repeated line doesn't make texts alike
+    rows += [(len(rows), f"{line}\n" * 80 + " ".join(rnd.choice(vocab) for _ in range(12)))]
+    rows += [(len(rows), f"{line}\n" * 80 + " ".join(rnd.choice(vocab) for _ in range(12)))]
+    wanted.append((len(rows) - 2, jaccard(rows[-2][1], rows[-1][1])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cap in (8, 1):
+        monkeypatch.setattr(W, "PAIR_BUCKET", cap)
+        part = {r.id: r.component_id for r in W.wide_near_duplicates(df).collect()}
+        linked = {i for i, _ in wanted if part[i] == part[i + 1]}
+        assert not {i for i, j in wanted if j < 0.8} & linked
+        true = {i for i, j in wanted if j >= 0.8}
+        assert len(true) > 60 and len(true - linked) <= 1
