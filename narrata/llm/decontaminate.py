@@ -4,7 +4,7 @@ by longest common subsequences."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import SLICE_BYTES, slices, staged, texts_of, tree_sum
+from narrata.llm.common import SLICE_BYTES, SUMS, Recent, partial_sum, releasing, slices, staged, texts_of, tree_sum
 
 WORD = re.compile(r"[^\W_]+")
 #: Words are hashed to this many columns of the term matrix.
@@ -22,8 +22,12 @@ TERMS = 1 << 15
 TASK_WORDS = 6_000_000
 #: A passage is two blocks of this many words, and starts at every block.
 BLOCK = 16
-KEPT_WORDS = 400_000
-
+#: Words whose columns a worker keeps.
+KEPT_WORDS = 100_000
+#: Numbers in a table of cosines.
+COSINES = 1 << 22
+#: Rows of candidates that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 #: Bytes that can belong to something else than a Latin letter, and ASCII without letters and digits as blanks.
 _OTHER = re.compile(rb"[\xc2\xc4-\xff]|\xc3[\x97\xb7]")
@@ -39,22 +43,19 @@ def words_of(text: str) -> list[bytes]:
     return data.translate(_BLANKED).split()
 
 
-class _Columns(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = column = crc32(word) % TERMS
-        return column
+def column_of(word: bytes) -> int:
+    return crc32(word) % TERMS
 
 
 class Terms:
     """Columns of words, with a bounded store of those met before."""
 
     def __init__(self) -> None:
-        self.kept = _Columns()
+        self.kept = Recent(column_of, KEPT_WORDS)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The columns of all words of the texts, one text after the other, and each text's number of words."""
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
+        self.kept.tidy()
         words: list[bytes] = []
         ends = []
         for t in texts:
@@ -142,35 +143,45 @@ def _pieces(batches: Iterator[pa.RecordBatch], name: str, limit: int) -> Iterato
             start = end
 
 
+def named_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, text_hash) per row, null texts as empty ones."""
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+
+
 def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, terms) per row: the columns of the text's words in order, two bytes each, and their number."""
+    """(id, text_hash, n, terms) per row: the columns of the text's words in order, two bytes each, and their number."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for batch in slices(batches, "text", SLICE_BYTES):
+        for batch in slices(batches, "text", SLICE_BYTES // 2):
             flat, sizes = terms(texts_of(batch, "text"))
             offsets = (2 * np.r_[0, np.cumsum(sizes)]).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), packed], names=["id", "n", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), packed], names=["id", "text_hash", "n", "terms"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, n long, terms binary")
+    return named_texts(docs, id_col, text_col).mapInArrow(run, f"id {id_type}, text_hash long, n long, terms binary")
 
 
 def _summed(terms: DataFrame, tasks: int, part: object) -> np.ndarray:
     """Sum over all rows of part(terms, sizes), an array of a fixed size; each of the tasks adds up its rows first."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in _pieces(batches, "terms", 200_000):
             flat, sizes = _arrays(batch.column(0))
             if len(flat):
                 x = part(flat, sizes).ravel()
-                total = x if total is None else total + x
+                if total is None:
+                    total = x
+                else:
+                    total += x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part"])
+            yield partial_sum(total, np.float32)
 
-    return tree_sum(terms.select("terms").coalesce(tasks).mapInArrow(run, "part binary"), kind=np.float32)
+    return tree_sum(terms.select("terms").coalesce(tasks).mapInArrow(run, SUMS), kind=np.float32)
 
 
 def latent_space(terms: DataFrame, rank: int = 72, extra: int = 8, skip: int = 8, seed: int = 5) -> LatentSpace | None:
@@ -229,9 +240,9 @@ def latent_space(terms: DataFrame, rank: int = 72, extra: int = 8, skip: int = 8
     return LatentSpace(idf, padded((vectors * idf[:, None] * (singular[0] / singular))[:, first:]), singular)
 
 
-def common_subsequence(a: list[int], b: list[int]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, a bit of an integer for each item of a."""
-    masks: dict[int, int] = {}
+    masks: dict = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -244,10 +255,12 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 @dataclass
 class Item:
+    """An item's words in order, as words or as their columns."""
+
     item_id: int
-    terms: list[int]
+    terms: list
 
-    def found_in(self, region: list[int], least: float, answer_least: float) -> float:
+    def found_in(self, region: list, least: float, answer_least: float) -> float:
         """The share of the item's words that the region has in order, or 0.
 
         `least` of all words must be there, and of its answer, the closing fifth of the item, `answer_least`; a short
@@ -330,15 +343,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, least: fl
     A latent space is fitted on all passages of all documents. Every passage is compared with every passage of the
     items there; pairs of a cosine of at least `cosine` are candidates. A passage of 32 words dilutes a short or changed
     item, so stretches with enough of an item's rarer words are candidates as well, whatever their cosine: `Anchors` leaves
-    out none that can count. A candidate counts if the longest common subsequence has `least` of the item's words and `answer_least` of its closing words; similarity is that share.
-    Case, punctuation and marks around words don't matter. The items go in groups of items_at_once, so what a task holds
-    of them is bounded, and a larger benchmark takes more passes over the terms.
+    out none that can count. A candidate counts if the longest common subsequence has `least` of the item's words and
+    `answer_least` of its closing words; similarity is that share. This is first checked on the words' columns, where it can
+    only come out too high, as some words share one, and then on the words themselves of the texts that are left.
+    Case, punctuation and marks around words don't matter. The items go in groups of items_at_once, so what a task and the
+    driver hold of them is bounded, and a larger benchmark takes more passes over the terms.
 
     Cases: null and empty texts hold nothing; an item without words matches nothing; rows that repeat an id give their
     rows each; items with equal texts are each reported; empty tables give no rows; other columns are ignored.
     """
+    return _leaks(docs, benchmark, cosine, least, answer_least, rank, items_at_once, id_col, text_col, item_col, item_text_col).select("id", "item_id", "similarity", "cosine")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, least: float = 0.7, answer_least: float = 0.5, rank: int = 72, items_at_once: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that hold no passage of the benchmark, with all their columns.
+
+    Rows are told apart by id and text, so a row that shares its id, or a missing one, with a row that goes stays.
+    """
+    found = staged(_leaks(docs, benchmark, cosine, least, answer_least, rank, items_at_once, id_col, text_col, item_col, item_text_col).select("id", "text_hash").distinct(), "leaked")
+    digest = "__text_hash"
+    named = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return named.join(found, named[id_col].eqNullSafe(found["id"]) & (named[digest] == found["text_hash"]), "left_anti").drop(digest)
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, cosine: float, least: float, answer_least: float, rank: int, items_at_once: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     id_type = docs.schema[id_col].dataType.simpleString()
-    empty = docs.sparkSession.createDataFrame([], f"id {id_type}, item_id long, similarity double, cosine double")
+    schema = f"id {id_type}, text_hash long, item_id long, similarity double, cosine double"
+    out = empty = docs.sparkSession.createDataFrame([], schema)
     terms = staged(term_table(docs, id_col, text_col), "terms")
     space = latent_space(terms, rank)
     if space is None:
@@ -346,65 +377,94 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, least: fl
     wanted = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
     groups = -(-max(1, wanted.count()) // items_at_once)
     wanted = wanted.withColumn("group", F.pmod(F.xxhash64("item_id"), F.lit(groups)))
-    out = empty
-    of = Terms()
+    texts = named_texts(docs, id_col, text_col)
     for group in range(groups):
         rows = wanted.where(F.col("group") == group).select("item_id", "text").collect()  # about items_at_once rows
-        flat, sizes = of([r.text for r in rows])
-        items = [Item(r.item_id, x.tolist()) for r, x in zip(rows, np.split(flat, np.cumsum(sizes)[:-1]), strict=True) if len(x)] if rows else []
-        if items:
-            out = out.union(terms.select("id", "terms").mapInArrow(_search(space, items, cosine, least, answer_least), f"id {id_type}, item_id long, similarity double, cosine double"))
+        items = [i for r in rows if (i := Item(r.item_id, words_of(r.text))).terms]
+        if not items:
+            continue
+        places = terms.select("id", "text_hash", "terms").mapInArrow(_search(space, items, cosine, least, answer_least), f"id {id_type}, text_hash long, {PLACES}")
+        places = staged(places.dropDuplicates(["id", "text_hash"]).withColumnsRenamed({"id": "of_id", "text_hash": "of_hash"}), "places")
+        few = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
+        met = texts.join(few, texts["id"].eqNullSafe(places["of_id"]) & (texts["text_hash"] == places["of_hash"]))
+        checked = met.select("id", "text_hash", "text", "places").mapInArrow(_check(items, least, answer_least), schema)
+        out = out.union(checked if groups == 1 else staged(checked, "leaks"))
     return out
 
 
-def _search(space: LatentSpace, items: list[Item], cosine: float, least: float, answer_least: float) -> object:
-    flat = np.array([x for i in items for x in i.terms], np.int64)
-    vectors, owner, _ = space.place(flat, np.array([len(i.terms) for i in items], np.int64))
+#: Stretches of a text, from word to word, that may hold an item, which is given by its place in its group.
+PLACES = "places array<struct<item:int,low:int,high:int,cosine:double>>"
+
+
+def _search(space: LatentSpace, items: list[Item], cosine: float, least: float, answer_least: float) -> Callable:
+    by_column = [Item(i.item_id, [column_of(w) for w in i.terms]) for i in items]
+    vectors, owner, _ = space.place(np.array([x for i in by_column for x in i.terms], np.int64), np.array([len(i.terms) for i in items], np.int64))
     transposed = np.ascontiguousarray(vectors.T)
-    anchors = Anchors(items, space.idf, least)
+    anchors = Anchors(by_column, space.idf, least)
     of_item = np.searchsorted(owner, np.arange(len(items) + 1))
+    rows_at_once = max(16, COSINES // len(vectors))
+    kind = pa.list_(pa.struct([("item", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("cosine", pa.float64())]))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, "terms", 200_000):
-            flat, sizes = _arrays(batch.column(1))
+            flat, sizes = _arrays(batch.column(2))
             z, text, number = space.place(flat, sizes)
             ends = np.cumsum(sizes)
-            best: dict[tuple[int, int], list[float]] = {}
+            offered: dict[tuple[int, int, int, int], float] = {}  # text, item, from, to -> cosine
             held: dict[int, set[int]] = {}
             hopeful: dict[tuple[int, int], bool] = {}
-            for start in range(0, len(z), 8192):
-                near = z[start : start + 8192] @ transposed
+            for start in range(0, len(z), rows_at_once):
+                near = z[start : start + rows_at_once] @ transposed
                 at, col = np.nonzero(near >= cosine)
                 pair, where = np.unique((at + start) * len(items) + owner[col], return_index=True)
                 for p, i, c in zip((pair // len(items)).tolist(), (pair % len(items)).tolist(), near[at[where], col[where]].tolist(), strict=True):
                     t = int(text[p])
-                    seen = best.get((t, i))
-                    if seen and seen[0] == 1.0:
-                        continue
                     low, m = int(number[p]) * BLOCK, len(items[i].terms)
-                    base = ends[t] - sizes[t]
+                    base = int(ends[t] - sizes[t])
                     if (t, i) not in hopeful:  # a text without that many of the item's words has no such subsequence
                         if t not in held:
                             held[t] = set(flat[base : ends[t]].tolist())
-                        hopeful[t, i] = sum([x in held[t] for x in items[i].terms]) >= least * m
-                    if not hopeful[t, i]:
-                        continue
-                    region = flat[base + max(0, low - m) : min(ends[t], base + low + 2 * BLOCK + m)]
-                    share = items[i].found_in(region.tolist(), least, answer_least)
-                    if share and (not seen or share > seen[0]):
-                        best[t, i] = [share, c]
+                        hopeful[t, i] = sum([x in held[t] for x in by_column[i].terms]) >= least * m
+                    if hopeful[t, i]:
+                        offered[t, i, base + max(0, low - m), min(int(ends[t]), base + low + 2 * BLOCK + m)] = c
             first = np.searchsorted(text, np.arange(len(sizes)))
             for t, i, low, high in anchors.places(flat, sizes):
-                seen = best.get((t, i))
-                if seen and seen[0] == 1.0:
-                    continue
-                share = items[i].found_in(flat[low:high].tolist(), least, answer_least)
-                if share and (not seen or share > seen[0]):
+                if (t, i, low, high) not in offered:
                     base = ends[t] - sizes[t]
                     here = z[first[t] + (low - base) // BLOCK : first[t] + (high - 1 - base) // BLOCK + 1]
-                    best[t, i] = [share, float((here @ vectors[of_item[i] : of_item[i + 1]].T).max())]
-            ids = batch.column(0)
-            keys = sorted(best)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array([t for t, _ in keys], pa.int64())), pa.array([items[i].item_id for _, i in keys], pa.int64()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([best[k][1] for k in keys], pa.float64())], names=["id", "item_id", "similarity", "cosine"])
+                    offered[t, i, low, high] = float((here @ vectors[of_item[i] : of_item[i + 1]].T).max())
+            found: dict[int, list[dict]] = {}
+            for (t, i, low, high), c in sorted(offered.items()):
+                if by_column[i].found_in(flat[low:high].tolist(), least, answer_least):
+                    base = int(ends[t] - sizes[t])
+                    found.setdefault(t, []).append({"item": i, "low": low - base, "high": high - base, "cosine": c})
+            which = pa.array(list(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(list(found.values()), kind)], names=["id", "text_hash", "places"])
+
+    return run
+
+
+def _check(items: list[Item], least: float, answer_least: float) -> Callable:
+    """The items that the places of a text hold, by the words themselves."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES // 2):
+            rows, held, shares, cosines = [], [], [], []
+            for row, (text, places) in enumerate(zip(texts_of(batch, "text"), batch.column(3).to_pylist(), strict=True)):
+                words = words_of(text)
+                best: dict[int, tuple[float, float]] = {}
+                for p in places:
+                    share = items[p["item"]].found_in(words[p["low"] : p["high"]], least, answer_least)
+                    if share > best.get(p["item"], (0.0, 0.0))[0]:
+                        best[p["item"]] = (share, p["cosine"])
+                for i, (share, c) in sorted(best.items()):
+                    rows.append(row)
+                    held.append(items[i].item_id)
+                    shares.append(share)
+                    cosines.append(c)
+            which = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(held, pa.int64()), pa.array(shares, pa.float64()), pa.array(cosines, pa.float64())], names=["id", "text_hash", "item_id", "similarity", "cosine"])
 
     return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import staged
+from narrata.llm.common import discard, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,11 +25,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         of_a = parents.select(F.col("node").alias("a"), F.col("parent").alias("parent_a"))
         seen = both.join(of_b, "b").groupBy("a").agg(F.min("parent_b").alias("low"))
         offers = seen.join(of_a, "a").select(F.explode(F.array(F.struct(F.col("a").alias("node"), "low"), F.struct(F.col("parent_a").alias("node"), "low"))).alias("o")).select("o.node", F.col("o.low").alias("parent"))
-        hooked = offers.union(parents).groupBy("node").agg(F.min("parent").alias("parent"))
-        hooked = staged(hooked, "hooked")
+        hooked = staged(offers.union(parents).groupBy("node").agg(F.min("parent").alias("parent")), "hooked")
         up = hooked.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         halved = staged(hooked.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")), "parents")
         same = halved.join(parents.withColumnRenamed("parent", "before"), "node", "left").where("before IS NULL OR before <> parent").limit(1).count() == 0
+        discard(hooked, parents)
         parents = halved
         if same:
+            discard(both)
             return parents.withColumnRenamed("parent", "component")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import hashed_fold, slices, staged, texts_of, tree_sum
+from narrata.llm.common import SUMS, hashed_fold, partial_sum, releasing, slices, staged, texts_of, tree_sum
 
 _BYTES = np.arange(256)
 _UPPER, _LOWER, _DIGIT = ((lo <= _BYTES) & (hi >= _BYTES) for lo, hi in ((65, 90), (97, 122), (48, 57)))
@@ -83,6 +83,7 @@ def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id, stats) per row; a null text counts as an empty one."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = [statistics(t) for t in texts_of(batch, "text")]
@@ -98,6 +99,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _summed(rows: DataFrame, part: object) -> np.ndarray:
     """Sum over all rows of part(statistics, labels), an array of a fixed size; each task adds up its rows first."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
@@ -105,9 +107,9 @@ def _summed(rows: DataFrame, part: object) -> np.ndarray:
                 x = part(_matrix(batch.column(0)), np.asarray(batch.column(1), np.float64)).ravel()
                 total = x if total is None else total + x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+            yield partial_sum(total)
 
-    return tree_sum(rows.select("stats", "label").mapInArrow(run, "part binary"))
+    return tree_sum(rows.select("stats", "label").mapInArrow(run, SUMS))
 
 
 def isotonic(position: np.ndarray, mean: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,6 +166,7 @@ def score_quality(stats: DataFrame, model: QualityModel | None) -> DataFrame:
     """(id, score) per row of stats; without a model all scores are 0."""
     id_type = stats.schema["id"].dataType.simpleString()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = model.score(_matrix(batch.column(1))) if model and len(batch) else np.zeros(len(batch))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from narrata.llm.automaton import Dfa, Pattern, Scanner, compile_patterns, longest
-from narrata.llm.common import slices, texts_of
+from narrata.llm.common import releasing, slices, texts_of
 
 
 @dataclass(frozen=True)
@@ -112,6 +112,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = docs.schema[id_col].dataType.simpleString()
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in spans] for spans in scan_texts(texts_of(batch, "text"), rules)]
@@ -137,6 +138,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     """
     names = docs.columns
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             texts = texts_of(batch, text_col)

@@ -14,11 +14,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import SLICE_BYTES, slices, texts_of
+from narrata.llm.common import SLICE_BYTES, releasing, slices, texts_of
 
 SPACE = "▁"
-#: Segments kept by a worker, and the longest one kept.
-KEPT_SEGMENTS, KEPT_LENGTH = 150_000, 48
+#: Words kept by a worker in each of two generations, and the longest one kept.
+KEPT_WORDS, KEPT_LENGTH = 120_000, 32
 #: Widths of the tables in which short segments are merged side by side.
 WIDTHS = (6, 9, 12, 16, 24, 40)
 NEVER = np.int32(2**31 - 1)
@@ -44,7 +44,9 @@ class PieceTokenizer:
         self.bytes = {int(pieces[i][1:-1], 16): i for i in range(n) if self.library.is_byte(i)}
         self.raw = {i: b for b, i in self.bytes.items()}
         self.shown = {i: pieces[i].replace(SPACE, " ") for i in plain}
-        self.kept: dict[str, tuple[int, str, str]] = {}
+        self.digits = [str(i) for i in range(n)]
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
         self._pair_table()
 
     def _pair_table(self) -> None:
@@ -68,10 +70,13 @@ class PieceTokenizer:
             if self.symbol[b] == -2 and b in self.bytes:
                 self.symbol[b] = self.bytes[b]
 
-    def segments(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
+        """The text's segments, each without the mark that it begins with."""
         if not text:
             return []
-        return re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))
+        if text[0] != " " and "  " not in text and SPACE not in text:
+            return text.split(" ")
+        return [s[1:] for s in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment: an agenda of adjacent pairs gives the best score first, and of equal ones the leftmost."""
@@ -188,21 +193,49 @@ class PieceTokenizer:
         text = "".join(out)
         return text[1:] if start and text.startswith(" ") else text
 
-    def of_segments(self, wanted: set[str], check: bool) -> dict[str, tuple[int, str, str]]:
-        """segment -> (number of ids, ids joined by commas, decoded text); check: hold the new ones against the library."""
-        kept = {s: self.kept[s] for s in wanted if s in self.kept}
-        new = [s for s in wanted if s not in kept]
-        made = self.merge_all(new)
-        if check and new:
-            expected = self.library.encode([s[1:].replace(SPACE, " ") if len(s) > 1 else "" for s in new], num_threads=1)
-            for s, ids, other in zip(new, made, expected, strict=True):
-                if len(s) > 1 and ids != other:
-                    raise ValueError(f"segment {s!r}: {ids} here, {other} by the library")
-        found = {s: (len(ids), ",".join(map(str, ids)), self.decode(ids, start=False)) for s, ids in zip(new, made, strict=True)}
-        if len(self.kept) > KEPT_SEGMENTS:
-            self.kept.clear()
-        self.kept.update((s, x) for s, x in found.items() if len(s) <= KEPT_LENGTH)
-        return kept | found
+    def of_words(self, wanted: set[str], check: bool) -> tuple[dict[str, str], dict[str, str]]:
+        """word -> its ids joined by commas, for the words wanted, and of those whose ids decode to something else than a
+        space and the word, word -> what they decode to; check: hold new ones against the library.
+
+        A worker keeps words in two generations: a word that is met again moves to the young one, which becomes the old one
+        when it is full, so frequent words stay. Words of the second kind aren't kept.
+        """
+        known, young, old = {}, self.young, self.old
+        new = []
+        for w in wanted:
+            ids = young.get(w)
+            if ids is None and (ids := old.get(w)) is not None:
+                young[w] = ids
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        odd: dict[str, str] = {}
+        for start in range(0, len(new), 32768):
+            some = new[start : start + 32768]
+            made = self.merge_all([SPACE + w for w in some])
+            if check:
+                expected = self.library.encode([w.replace(SPACE, " ") for w in some], num_threads=1)
+                for w, ids, other in zip(some, made, expected, strict=True):
+                    if w and ids != other:
+                        raise ValueError(f"word {w!r}: {ids} here, {other} by the library")
+            for w, ids in zip(some, made, strict=True):
+                known[w] = joined = ",".join([self.digits[i] for i in ids])
+                try:
+                    text = "".join([self.shown[i] for i in ids])
+                except KeyError:  # byte pieces
+                    text = self.decode(ids, start=False)
+                if text[0] != " " or text[1:] != w:
+                    odd[w] = text
+                elif len(w) <= KEPT_LENGTH:
+                    young[w] = joined
+            if len(young) > KEPT_WORDS:
+                self.old, self.young = young, {}
+                young, old = self.young, self.old
+        return known, odd
+
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
 
 
 @lru_cache(maxsize=2)
@@ -213,8 +246,9 @@ def tokenizer(model_file: str) -> PieceTokenizer:
 def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", check: bool = True, outputs: tuple[str, ...] = ("ids", "decoded", "digests")) -> DataFrame:
     """(id, n_tokens[, ids array][, decoded][, ids_sha256, decoded_sha256]) per row, in one pass without a shuffle.
 
-    Texts are handled in slices of a few megabytes of an Arrow batch. The distinct segments of a slice are merged once,
-    a worker keeps a bounded number of them, and with check each newly merged one is held against the library.
+    Texts are handled in slices of a megabyte of an Arrow batch. The distinct words of a slice are merged and decoded once,
+    a worker keeps a bounded number of them, and with check each newly merged one is held against the library; one that
+    differs ends the job with a ValueError, as ids that aren't the library's would be wrong everywhere.
     model_file is read on the executors, so it must be at the same place there. Cases: a null text counts as an empty
     one, which has no ids; rows that repeat each get a row; an empty table gives no rows; other columns are ignored.
     """
@@ -222,17 +256,19 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     fields = {"ids": [("ids", pa.list_(pa.int32()), "array<int>")], "decoded": [("decoded", pa.string(), "string")], "digests": [("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]}
     chosen = [f for o in outputs for f in fields[o]]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = tokenizer(model_file)
-        for batch in slices(batches, "text", SLICE_BYTES // 2):
-            split = [tool.segments(t) for t in texts_of(batch, "text")]
-            known = tool.of_segments(set().union(*split), check)
+        for batch in slices(batches, "text", SLICE_BYTES // 4):
+            texts = texts_of(batch, "text")
+            split = [tool.words(t) for t in texts]
+            known, odd = tool.of_words(set().union(*split), check)
             columns: dict[str, list] = {"n_tokens": [], **{name: [] for name, _, _ in chosen}}
-            for segs in split:
-                rows = [known[s] for s in segs]
-                columns["n_tokens"].append(sum([r[0] for r in rows]))
-                joined = ",".join([r[1] for r in rows])
-                text = "".join([r[2] for r in rows])[1:]
+            for text, words in zip(texts, split, strict=True):
+                joined = ",".join([known[w] for w in words])
+                columns["n_tokens"].append(joined.count(",") + 1 if joined else 0)
+                if odd and not odd.keys().isdisjoint(words):
+                    text = "".join([odd.get(w, " " + w) for w in words])[1:]
                 if "ids" in columns:
                     columns["ids"].append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
                 if "decoded" in columns:
@@ -240,9 +276,9 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
                 if "ids_sha256" in columns:
                     columns["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
                     columns["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-            del known
+            del known, split
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns["n_tokens"], pa.int64()), *(pa.array(columns[n], kind) for n, kind, _ in chosen)], names=["id", "n_tokens", *(n for n, _, _ in chosen)])
-        tool.kept.clear()  # a worker may go on to other work
+        tool.forget()  # a worker may go on to other work
 
     schema = ", ".join([f"id {id_type}", "n_tokens long", *(f"{n} {sql}" for n, _, sql in chosen)])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

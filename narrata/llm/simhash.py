@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import slices, staged, texts_of
+from narrata.llm.common import releasing, slices, staged, texts_of
 from narrata.llm.graph import connected_components
 
 #: Buckets of more fingerprints than this are linked by common neighbours instead of pairs.
@@ -42,6 +42,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp) per row; fp is the fingerprint as a signed long. A null text counts as an empty one."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = np.array([fingerprint(t, words, seed) for t in texts_of(batch, "text")], np.uint64).view(np.int64)
@@ -111,8 +112,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
     heads = staged(found.groupBy("fp").agg(F.min("id").alias("head")), "heads")
-    components = connected_components(links(heads.select("fp"), bits, pair_bucket))
-    named = heads.join(components.withColumnRenamed("node", "fp"), "fp", "left")
-    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("head").alias("least"))
-    final = named.join(least, "component", "left").select("fp", F.coalesce("least", "head").alias("component_id"))
+    # a node is ordered by its smallest id, so a component's name holds the id that is wanted, and no join by component is needed
+    node = F.struct(F.col("head").isNull().alias("unnamed"), F.col("head").alias("id"), "fp")
+    edges = links(heads.select("fp"), bits, pair_bucket)
+    for end in ("a", "b"):
+        edges = edges.withColumnRenamed(end, "fp").join(heads.withColumn(end, node).drop("head"), "fp").drop("fp")
+    components = connected_components(edges).select("node.fp", F.col("component.id").alias("least"))
+    final = heads.join(components, "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id"))
     return found.join(final, "fp").select("id", "fp", "component_id")

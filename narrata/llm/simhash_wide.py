@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,20 +13,36 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import slices, staged, texts_of
+from narrata.llm.common import discard, releasing, slices, staged, texts_of
 from narrata.llm.graph import connected_components
 
-#: 64-bit words of a fingerprint; blocks cut from its first bits, their width, and the bits of each that are tried both ways.
-LANES, BLOCKS, WIDTH, WEAK = 12, 32, 24, 2
+#: Bits of each block that are tried both ways.
+WEAK = 2
 PAIR_BUCKET = 8
 #: Texts of so few shingles are proposed at any distance, as theirs scatter more than the formula says.
 FEW = 16
 #: In a large bucket, partners in another component that a text is first verified against.
 NEAREST = 4
 COMPARED = 2048
-_POWERS = 1 << np.arange(WIDTH, dtype=np.int64)
-_BLOCK = np.arange(BLOCKS, dtype=np.int64) << WIDTH
-_STEPS = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """A fingerprint is cut into `count` blocks of `width` bits; it has as many bits as these need."""
+
+    width: int = 24
+    count: int = 32
+
+    @property
+    def lanes(self) -> int:
+        return -(-self.width * self.count // 64)
+
+
+def blocks_for(texts: int) -> Blocks:
+    """Blocks for so many texts. Two unlike texts share a block's key by chance once in 2^width, so the width grows with the
+    number of texts and buckets stay small; wider blocks agree less often, so their number grows along with it."""
+    width = min(48, max(24, (max(1, texts) - 1).bit_length() + 1))
+    return Blocks(width, round(32 * 1.17 ** (width - 24)))
 
 
 def shingle_set(text: str, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -37,41 +54,36 @@ def shingle_set(text: str, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], np.uint64))
 
 
-def sketch(text: str, words: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint as LANES signed words, and its block keys; all zero and no key for a text without words.
+def sketch(h: np.ndarray, cut: Blocks) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of a shingle set as signed 64-bit words, and its block keys; all zero and no key for an empty set.
 
     As in the short fingerprint a bit is set if it is set in over half of the hashes, here of the distinct shingles. Each
     block gives 2^WEAK keys: its bits, with those whose counts are nearest to a half taken both ways.
     """
-    return sketch_of(shingle_set(text, words, seed))
-
-
-def sketch_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(h):
-        return np.zeros(LANES, np.int64), np.zeros(0, np.int64)
-    ones = np.empty((LANES, 64), np.int64)
-    for lane, step in enumerate(_STEPS):  # further hashes of a shingle by a public 64-bit mixer
-        z = h + step
+        return np.zeros(cut.lanes, np.int64), np.zeros(0, np.int64)
+    ones = np.empty((cut.lanes, 64), np.int64)
+    for lane in range(cut.lanes):  # further hashes of a shingle by a public 64-bit mixer
+        z = h + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
         ones[lane] = np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     lead = (2 * ones - len(h)).ravel()
-    bits = lead > 0
-    fp = np.packbits(bits).view(">i8").astype(np.int64)
-    cut = lead[: BLOCKS * WIDTH].reshape(BLOCKS, WIDTH)
-    keys = ((cut > 0) @ _POWERS)[:, None]
-    weakest = np.argsort(np.abs(cut), axis=1, kind="stable")[:, :WEAK]
+    fp = np.packbits(lead > 0).view(">i8").astype(np.int64)
+    counts = lead[: cut.count * cut.width].reshape(cut.count, cut.width)
+    powers = 1 << np.arange(cut.width, dtype=np.int64)
+    keys = ((counts > 0) @ powers)[:, None]
+    weakest = np.argsort(np.abs(counts), axis=1, kind="stable")[:, :WEAK]
     for k in range(WEAK):
-        keys = np.concatenate([keys, keys ^ _POWERS[weakest[:, k]][:, None]], axis=1)
-    return fp, (keys + _BLOCK[:, None]).ravel()
+        keys = np.concatenate([keys, keys ^ powers[weakest[:, k]][:, None]], axis=1)
+    return fp, (keys + (np.arange(cut.count, dtype=np.int64) << cut.width)[:, None]).ravel()
 
 
-def radius(similarity: float) -> int:
+def radius(similarity: float, bits: int) -> int:
     """Differing bits of fingerprints of texts whose shingle sets have this Jaccard similarity: the mean and three deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 64 * LANES
-    return round(n * p + 3 * math.sqrt(n * p * (1 - p)))
+    return round(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
 
 
 def _differing(a: list[Column], b: list[Column]) -> Column:
@@ -84,6 +96,7 @@ def _differing(a: list[Column], b: list[Column]) -> Column:
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The rows of pairs(a, b) whose sets(node, shingles) have a Jaccard similarity of `similarity` or more."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hold = []
@@ -110,32 +123,51 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     pairs. Cases: texts without words are one group; rows that repeat an id each get a row; a null id is chosen only where
     a component has no other; an empty table gives no rows; other columns are ignored.
     """
+    rows, heads = _grouped(docs, words, similarity, id_col, text_col)
+    least = heads.select(F.col("node").alias("part"), F.col("head.id").alias("component_id"))
+    named = heads.select("digest", "part").join(least, "part").select("digest", "component_id")
+    return rows.select("id", "digest").join(named, "digest").select("id", "component_id")
+
+
+def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, text_hash, digest), and for each digest of a shingle set (digest, node, head, part).
+
+    head is the set's first row, by (id is null, id, text_hash). Nodes are numbered in the order of their heads, so the
+    smallest node of a component, its part, is that of its first row.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
-    lanes = [f"f{i}" for i in range(LANES)]
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    cut = blocks_for(docs.count())
+    lanes = [f"f{i}" for i in range(cut.lanes)]
+    key_type, key_kind = ("int", np.int32) if cut.count << cut.width <= 1 << 31 else ("long", np.int64)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [shingle_set(t, words) for t in texts_of(batch, "text")]
-            found = [sketch_of(h) for h in sets]
-            fps = np.array([fp for fp, _ in found], np.int64).reshape(-1, LANES)
+            found = [sketch(h, cut) for h in sets]
+            fps = np.array([fp for fp, _ in found], np.int64).reshape(-1, cut.lanes)
             digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), digests, pa.array([len(h) for h in sets], pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in fps.T), pa.array([k.astype(np.int32) for _, k in found], pa.list_(pa.int32()))], names=["id", "text_hash", "digest", "m", *lanes, "keys"])
+            keys = np.concatenate([np.zeros(0, key_kind), *(k.astype(key_kind) for _, k in found)])
+            ends = np.cumsum([0, *(len(k) for _, k in found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), digests, pa.array([len(h) for h in sets], pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in fps.T), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["id", "text_hash", "digest", "m", *lanes, "keys"])
 
+    @releasing
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in texts_of(batch, "text")], pa.binary())], names=["node", "shingles"])
 
-    limit = radius(similarity)
-    rows = given.mapInArrow(run, f"id {id_type}, text_hash long, digest binary, m int, {', '.join(f'{c} long' for c in lanes)}, keys array<int>")
+    limit = radius(similarity, 64 * cut.lanes)
+    rows = given.mapInArrow(run, f"id {id_type}, text_hash long, digest binary, m int, {', '.join(f'{c} long' for c in lanes)}, keys array<{key_type}>")
     rows = staged(rows, "sketches")
-    heads = rows.groupBy("digest").agg(F.min("id").alias("head"), F.min("text_hash").alias("text_hash"), F.min("m").alias("m"), *(F.min(c).alias(c) for c in lanes), F.min("keys").alias("keys"))
-    heads = staged(heads.withColumn("node", F.monotonically_increasing_id()), "heads")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash"))
+    heads = rows.groupBy("digest").agg(first.alias("head"), F.min("text_hash").alias("text_hash"), F.min("m").alias("m"), *(F.min(c).alias(c) for c in lanes), F.min("keys").alias("keys"))
+    heads = staged(heads.orderBy("head").withColumn("node", F.monotonically_increasing_id()), "heads")
     prints = heads.select("node", "m", *lanes)
     keyed = heads.select("node", F.explode("keys").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     shared = staged(keyed.join(crowded, "key"), "blocks")
-    other = [f"g{i}" for i in range(LANES)]
+    other = [f"g{i}" for i in range(cut.lanes)]
     close = (_differing([F.col(c) for c in lanes], [F.col(c) for c in other]) <= limit) | (F.least("m", "m_b") <= FEW)
     near = close & (F.least("m", "m_b") >= similarity * F.greatest("m", "m_b") - 1e-9)
     as_other = prints.select(F.col("node").alias("b"), F.col("m").alias("m_b"), *(F.col(c).alias(o) for c, o in zip(lanes, other, strict=True)))
@@ -145,21 +177,24 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = heads.select("node", "text_hash").join(nodes, "node")
         texts = given.select("text_hash", "text").join(wanted, "text_hash").select("node", "text").dropDuplicates(["node"])
-        return similar(pairs, staged(texts.mapInArrow(read_sets, "node long, shingles binary"), "sets"), similarity)
+        sets = staged(texts.mapInArrow(read_sets, "node long, shingles binary"), "sets")
+        found = staged(similar(pairs, sets, similarity), "links")
+        discard(pairs, sets)
+        return found
 
     small = shared.where(F.col("n") <= PAIR_BUCKET)
     met = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
     large = shared.where(F.col("n") > PAIR_BUCKET)
     spokes = large.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     offered = met.union(spokes).distinct()
-    edges = staged(verified(offered.join(prints.withColumnRenamed("node", "a"), "a").join(as_other, "b").where(near).select("a", "b")), "links")
+    edges = verified(offered.join(prints.withColumnRenamed("node", "a"), "a").join(as_other, "b").where(near).select("a", "b"))
     parts = connected_components(edges)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     group = ["key", "x", "y"]
 
     def comparison(most: int | None) -> object:
         def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-            a, b = (np.column_stack([np.asarray(t[c], np.int64) for c in lanes]).view(np.uint64) if len(t) else np.zeros((0, LANES), np.uint64) for t in (left, right))
+            a, b = (np.column_stack([np.asarray(t[c], np.int64) for c in lanes]).view(np.uint64) if len(t) else np.zeros((0, cut.lanes), np.uint64) for t in (left, right))
             (na, pa_, ma), (nb, pb, mb) = ([np.asarray(t[c], np.int64) for c in ("node", "part", "m")] for t in (left, right))
             out = [np.zeros((0, 2), np.int64)]
             for i in range(0, len(a), 32):
@@ -185,6 +220,7 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         outside = placed.where("part <> hub_part")
         sizes = staged(placed.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("part") != F.col("hub_part")).alias("apart")).where("apart > 0"), "sizes")
         if sizes.isEmpty():
+            discard(placed, sizes)
             break
         blocks_all = F.greatest(F.lit(1), F.ceil(F.col("size") / COMPARED)).cast("int")
         blocks_out = F.greatest(F.lit(1), F.ceil(F.col("apart") / COMPARED)).cast("int")
@@ -192,23 +228,32 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         full = placed.join(sizes, "key").withColumn("y", F.pmod(F.xxhash64("node"), blocks_all).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks_out - 1)))
         some, full = (staged(x.select(*group, "node", "part").join(prints, "node"), "compared") for x in (some, full))
         joins = some.groupBy(*group).cogroup(full.groupBy(*group)).applyInArrow(comparison(most), "a long, b long").distinct()
-        edges = staged(edges.union(verified(joins)), "links")
+        edges = edges.union(verified(joins))
+        discard(placed, sizes, some, full)
         parts = connected_components(edges)
 
-    named = heads.select("digest", "node", "head").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    least = named.groupBy("part").agg(F.min("head").alias("component_id"))
-    final = named.join(least, "part").select("digest", "component_id")
-    return rows.select("id", "digest").join(final, "digest").select("id", "component_id")
+    return rows.select("id", "text_hash", "digest"), heads.join(parts, "node", "left").select("digest", "node", "head", F.coalesce("component", "node").alias("part"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each group of near copies: the one with the smallest id.
 
-    Rows that repeat an id count as one document, of which one row stays; a row without id is named by a hash of its text,
-    so equal texts without id are one document.
+    Rows are told apart by id and text, so different texts under one id, or without any, are documents of their own; of
+    rows equal in both one stays. Of a group's rows one without id stays only where there is no other. Null and empty texts
+    are one group; an empty table gives no rows; all columns stay as they are, whatever their names.
     """
-    name = "__document"
-    named = docs.withColumn(name, F.coalesce(F.col(id_col).cast("long"), F.lit(-1) - F.abs(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) % (1 << 62))))
-    groups = wide_near_duplicates(named, words, similarity, name, text_col)
-    stay = staged(groups.where("id = component_id").select(F.col("id").alias(name)).distinct(), "stay")
-    return named.join(stay, name, "left_semi").dropDuplicates([name]).drop(name)
+    rows, heads = _grouped(docs, words, similarity, id_col, text_col)
+    stay = heads.where("node = part").select("digest", "head")
+    met = rows.join(stay, "digest", "left").withColumn("stays", F.col("head.id").eqNullSafe(F.col("id")) & (F.col("head.text_hash") == F.col("text_hash")))
+    marks = staged(met.groupBy("id", "text_hash").agg(F.coalesce(F.bool_or("stays"), F.lit(False)).alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1"), "marks")
+    key, digest = "__id", "__text_hash"
+    named = docs.withColumns({key: F.col(id_col), digest: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+
+    def same(marked: DataFrame) -> Column:
+        return named[key].eqNullSafe(marked["id"]) & (named[digest] == marked["text_hash"])
+
+    once = named.join(marks, same(marks), "left_anti")
+    repeated = marks.where("stays")
+    if not repeated.isEmpty():
+        once = once.union(named.join(repeated, same(repeated), "left_semi").dropDuplicates([key, digest]))
+    return once.drop(key, digest)

@@ -9,16 +9,16 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from narrata.llm.common import hashed_fold, slices, texts_of
+from narrata.llm.common import SLICE_BYTES, Recent, hashed_fold, releasing, slices, texts_of
 
 WORD = re.compile(r"[^\W\d_]+|[.!?\n]+")
 #: Hashed feature weights, and the lengths of the word beginnings that are features besides the word itself.
 DIMENSIONS, PREFIXES = 1 << 18, (3, 4, 5, 6, 7)
-#: Scores of words kept by a worker.
-KEPT_WORDS = 400_000
+#: Scores of words kept by a worker, and the text bytes that it handles at once.
+KEPT_WORDS, TEXT_BYTES = 100_000, SLICE_BYTES // 2
 
 
 def checksums(word: str) -> list[int]:
@@ -31,6 +31,12 @@ def features(word: str) -> list[int]:
     return [x % DIMENSIONS for x in checksums(word)]
 
 
+def folded(text: str) -> str:
+    """The text in lower case, at the same length: letters whose lower case is longer stay as they are."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join([low if len(low := c.lower()) == 1 else c for c in text])
+
+
 def sequences(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Lower-case words of all texts, each word's text number and its sentence number."""
     words: list[str] = []
@@ -38,7 +44,7 @@ def sequences(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     s = 0
     for i, text in enumerate(texts):
         s += 1
-        for w in WORD.findall(text.lower()):
+        for w in WORD.findall(folded(text)):
             if w[0] in ".!?\n":
                 s += 1
             else:
@@ -179,53 +185,43 @@ def fit(texts: list[str], toxic: list[bool], rounds: int = 30, step: float = 0.5
     return ToxicityModel(weights.astype(np.float32), bias, chain, centre, spread, beta)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, most: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[bool]]:
-    """Texts and labels of at most `most` documents of each class, those of the smallest hashed ids outside the fold."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, most: int, most_bytes: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[bool]]:
+    """Texts and labels of at most `most` documents and most_bytes of each class, those of the smallest hashed ids outside the
+    fold; documents of over a thirtieth of most_bytes aren't taken."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     chosen = chosen.where(hashed_fold(F.col("id"), folds) != held_out).groupBy("id").agg(F.max("label").alias("label"))
-    texts, marks = [], []
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    for label in (0, 1):
-        ids = chosen.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most)
-        rows = named.join(F.broadcast(ids), "id").select("text").limit(most).collect()  # at most `most` short rows of ids are broadcast
-        texts += [r.text or "" for r in rows]
-        marks += [bool(label)] * len(rows)
-    return texts, marks
-
-
-def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
-    """A model fitted on at most `most` labelled documents of each class whose crc32(id) modulo folds isn't held_out; None without both classes."""
-    texts, marks = labelled_sample(docs, labels, folds, held_out, most, id_col, text_col, label_col)
+    of_label = [chosen.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most) for label in (0, 1)]
+    named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("size", F.octet_length("text"))
+    met = named.where(F.col("size") <= most_bytes // 30).join(F.broadcast(of_label[0].union(of_label[1])), "id")  # 2 * most ids are broadcast
+    in_order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "size", "text").rowsBetween(Window.unboundedPreceding, 0)  # as many rows, but for repeated ids
+    within = met.withColumn("n", F.count("*").over(in_order)).withColumn("bytes", F.sum("size").over(in_order))
+    rows = within.where((F.col("n") <= most) & (F.col("bytes") <= most_bytes)).select("text", "label").collect()  # 2 * most_bytes
+    rows.sort(key=lambda r: r.label)
+    return [r.text for r in rows], [bool(r.label) for r in rows]
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most: int = 1000, most_bytes: int = 12_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
+    """A model fitted on at most `most` labelled documents of each class, of most_bytes in all, whose crc32(id) modulo folds isn't
+    held_out; None without both classes."""
+    texts, marks = labelled_sample(docs, labels, folds, held_out, most, most_bytes, id_col, text_col, label_col)
     return fit(texts, marks) if len(set(marks)) == 2 else None
 
 
-class _Words:
-    """A worker's evidence of words, of a bounded number."""
-
-    def __init__(self, model: ToxicityModel):
-        self.model, self.kept = model, {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        kept, model = self.kept, self.model
-        new = [w for w in set(words) if w not in kept]
-        if new:
-            if len(kept) > KEPT_WORDS:
-                kept.clear()
-                new = list(set(words))
-            rows = np.array([features(w) for w in new], np.int64)
-            kept.update(zip(new, (model.bias + model.weights[rows].sum(axis=1)).tolist(), strict=True))
-        return np.array([kept[w] for w in words], float)
+def evidence_of(model: ToxicityModel) -> Recent:
+    """word -> its evidence, with a bounded store of those met before."""
+    weights, bias = memoryview(model.weights), model.bias
+    return Recent(lambda word: bias + sum([weights[x] for x in features(word)]), KEPT_WORDS)
 
 
 def spans_in(text: str, marginals: list[float], least: float) -> list[dict]:
     """Runs of words whose marginal is at least `least`, with their code-point offsets and largest marginal."""
     out: list[dict] = []
     k, joined = 0, False
-    for m in WORD.finditer(text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)):
+    for m in WORD.finditer(folded(text)):
         if m[0][0] in ".!?\n":
             joined = False
             continue
-        p = marginals[k] if k < len(marginals) else 0.0
+        p = marginals[k]
         k += 1
         if p >= least:
             if joined:
@@ -247,9 +243,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
     id_type = docs.schema[id_col].dataType.simpleString()
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence_of = _Words(model) if model else None
-        for batch in slices(batches, "text"):
+        evidence = evidence_of(model) if model else None
+        for batch in slices(batches, "text", TEXT_BYTES):
             texts = texts_of(batch, "text")
             n = len(texts)
             found: list[list[dict]] = [[] for _ in texts]
@@ -257,7 +254,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
             sizes = np.bincount(owner, minlength=n) if len(owner) else np.zeros(n, int)
             scores, total = np.zeros(n), np.zeros(n)
             if model:
-                marginals = model.chain.marginals(evidence_of(words), sentence)
+                evidence.tidy()
+                marginals = model.chain.marginals(np.fromiter(map(evidence.__getitem__, words), float, len(words)), sentence)
                 stats = document_features(marginals, owner, n)
                 scores = sigmoid(model.document[0] + ((stats - model.centre) / model.spread) @ model.document[1:])
                 total = np.bincount(owner, marginals, n) if len(owner) else total
@@ -275,11 +273,14 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float =
     if model is None:
         return docs
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence_of = _Words(model)
-        for batch in slices(batches, text_col):
+        evidence = evidence_of(model)
+        for batch in slices(batches, text_col, TEXT_BYTES):
+            evidence.tidy()
             words, owner, sentence = sequences(texts_of(batch, text_col))
-            stats = document_features(model.chain.marginals(evidence_of(words), sentence), owner, len(batch))
+            marginals = model.chain.marginals(np.fromiter(map(evidence.__getitem__, words), float, len(words)), sentence)
+            stats = document_features(marginals, owner, len(batch))
             scores = sigmoid(model.document[0] + ((stats - model.centre) / model.spread) @ model.document[1:])
             yield batch.filter(pa.array(scores < threshold))
 
