@@ -21,10 +21,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark; documents without id stay, as they can't be named."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    leaked = staged(found.select(found.id.alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "leaked")
-    return docs.join(leaked, "doc_id", "left_anti")
+    """Drops the rows that hold a passage of the benchmark."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
