@@ -30,8 +30,8 @@ COMPARED = 2048
 class Blocks:
     """A fingerprint is cut into `count` blocks of `width` bits; it has as many bits as these need."""
 
-    width: int = 24
-    count: int = 32
+    width: int
+    count: int
 
     @property
     def lanes(self) -> int:
@@ -41,8 +41,8 @@ class Blocks:
 def blocks_for(texts: int) -> Blocks:
     """Blocks for so many texts. Two unlike texts share a block's key by chance once in 2^width, so the width grows with the
     number of texts and buckets stay small; wider blocks agree less often, so their number grows along with it."""
-    width = min(48, max(24, (max(1, texts) - 1).bit_length() + 1))
-    return Blocks(width, round(32 * 1.17 ** (width - 24)))
+    width = min(48, max(26, (max(1, texts) - 1).bit_length() + 3))
+    return Blocks(width, round(44 * 1.17 ** (width - 26)))
 
 
 def shingle_set(text: str, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -115,12 +115,12 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     Fingerprints are joined on blocks, which proposes pairs; those whose Hamming distance and numbers of shingles leave
     the similarity possible are verified by the Jaccard similarity of their shingle sets, and only pairs that have it
-    are links. Texts with equal sets are first counted as one. In a bucket of up to PAIR_BUCKET sets all pairs are
-    verified. In a larger one each is verified against the bucket's first; after that, only links between
-    different components are missing, so the sets outside the first's component are compared with all of the bucket,
-    block by block, and verified against those in other components: first the NEAREST of each component, then all that
-    are still apart. No proposed link that joins components is lost, and a group of near copies doesn't verify its
-    pairs. Cases: texts without words are one group; rows that repeat an id each get a row; a null id is chosen only where
+    are links. Texts with equal sets are first counted as one. Only links between different components can change the
+    result, so each set is first verified against one partner, the first of the buckets that it shares most of; then, in
+    buckets that still hold several components, against the bucket's first; and then those outside the first's
+    component against all of the bucket in other components: in buckets of over PAIR_BUCKET sets block by block, first the
+    NEAREST of each component and then all that are still apart. No proposed link that joins components is lost, and a
+    group of near copies doesn't verify its pairs. Cases: texts without words are one group; rows that repeat an id each get a row; a null id is chosen only where
     a component has no other; an empty table gives no rows; other columns are ignored.
     """
     rows, heads = _grouped(docs, words, similarity, id_col, text_col)
@@ -182,13 +182,23 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
         discard(pairs, sets)
         return found
 
-    small = shared.where(F.col("n") <= PAIR_BUCKET)
-    met = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    large = shared.where(F.col("n") > PAIR_BUCKET)
-    spokes = large.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    offered = met.union(spokes).distinct()
-    edges = verified(offered.join(prints.withColumnRenamed("node", "a"), "a").join(as_other, "b").where(near).select("a", "b"))
+    def possible(pairs: DataFrame) -> DataFrame:
+        return pairs.join(prints.withColumnRenamed("node", "a"), "a").join(as_other, "b").where(near).select("a", "b")
+
+    def placed_now() -> DataFrame:
+        """The buckets' nodes with their component and that of the bucket's first."""
+        of_node = shared.join(parts, "node", "left").select("key", "node", "n", "hub", F.coalesce("component", "node").alias("part"))
+        of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_part"))
+        return staged(of_node.join(of_hub, "hub", "left").withColumn("hub_part", F.coalesce("hub_part", "hub")), "placed")
+
+    often = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
+    most_often = often.groupBy("node").agg(F.max(F.struct("times", (-F.col("hub")).alias("first"))).alias("best"))
+    edges = verified(possible(most_often.select((-F.col("best.first")).alias("a"), F.col("node").alias("b"))))
     parts = connected_components(edges)
+    placed = placed_now()
+    edges = edges.union(verified(possible(placed.where("part <> hub_part").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())))
+    parts = connected_components(edges)
+    discard(placed)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     group = ["key", "x", "y"]
 
@@ -214,21 +224,23 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
         return compare
 
     for most in (NEAREST, None):
-        of_node = large.join(parts, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("part"))
-        of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_part"))
-        placed = staged(of_node.join(of_hub, "hub", "left").withColumn("hub_part", F.coalesce("hub_part", "hub")), "large")
-        outside = placed.where("part <> hub_part")
-        sizes = staged(placed.groupBy("key").agg(F.count("*").alias("size"), F.count_if(F.col("part") != F.col("hub_part")).alias("apart")).where("apart > 0"), "sizes")
-        if sizes.isEmpty():
-            discard(placed, sizes)
+        placed = placed_now()
+        outside = placed.where("part <> hub_part AND n > 2")
+        if outside.isEmpty():
+            discard(placed)
             break
-        blocks_all = F.greatest(F.lit(1), F.ceil(F.col("size") / COMPARED)).cast("int")
+        few = outside.where(F.col("n") <= PAIR_BUCKET).select("key", "node", "part")
+        rest = placed.where((F.col("n") <= PAIR_BUCKET) & (F.col("node") != F.col("hub"))).select("key", F.col("node").alias("c"), F.col("part").alias("c_part"))
+        met = few.join(rest, "key").where("part <> c_part").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+        large = placed.where(F.col("n") > PAIR_BUCKET)
+        sizes = staged(large.groupBy("key").agg(F.count_if(F.col("part") != F.col("hub_part")).alias("apart")).where("apart > 0"), "sizes")
+        blocks_all = F.greatest(F.lit(1), F.ceil(F.col("n") / COMPARED)).cast("int")
         blocks_out = F.greatest(F.lit(1), F.ceil(F.col("apart") / COMPARED)).cast("int")
-        some = outside.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("node"), blocks_out).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks_all - 1)))
-        full = placed.join(sizes, "key").withColumn("y", F.pmod(F.xxhash64("node"), blocks_all).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks_out - 1)))
+        some = large.where("part <> hub_part").join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("node"), blocks_out).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks_all - 1)))
+        full = large.join(sizes, "key").withColumn("y", F.pmod(F.xxhash64("node"), blocks_all).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks_out - 1)))
         some, full = (staged(x.select(*group, "node", "part").join(prints, "node"), "compared") for x in (some, full))
         joins = some.groupBy(*group).cogroup(full.groupBy(*group)).applyInArrow(comparison(most), "a long, b long").distinct()
-        edges = edges.union(verified(joins))
+        edges = edges.union(verified(joins)).union(verified(possible(met)))
         discard(placed, sizes, some, full)
         parts = connected_components(edges)
 
