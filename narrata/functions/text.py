@@ -10,13 +10,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARK = "\u0001"
-
 # Characters and what they are read as.
 DASHES = [("—", " - "), ("–", " - ")]
 QUOTES = [("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'")]
 ELLIPSIS = [("…", "...")]
 LIGATURES = [("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl")]
+#: The characters of Unicode's white space.
+BLANKS = "\t\n\u000b\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NO_BREAK_SPACE = [(" ", " ")]
 FOOTNOTE_SYMBOLS = "*†‡§¶‖"
 SUPERSCRIPTS = "¹²³⁴⁵⁶⁷⁸⁹⁰"
@@ -32,12 +32,12 @@ def replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def collapse_spaces(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def words(text: Column) -> Column:
@@ -57,24 +57,27 @@ def byte_count(text: Column) -> Column:
 
 
 def replace_matches(text: Column, pattern: str, change: object) -> Column:
-    """Each match of the pattern changed by a Column function; the text must not hold U+0001."""
-    parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
-    return F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, change(x)).otherwise(x)), "")
+    """Each match of the pattern changed by a Column function."""
+    changed = F.array_append(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change), F.lit(""))
+    return F.array_join(F.zip_with(F.split(text, pattern), changed, lambda between, match: F.concat(between, match)), "")
 
 
 def fix_spaced_capitals(text: Column) -> Column:
-    """'A H OUSE' -> 'Ahouse': three or more spaced capitals lose their spaces, and all but the first become small."""
+    """'A H OUSE' -> 'Ahouse': three or more spaced capitals lose their spaces, and all but the first become small.
+
+    The repeated part is possessive, which Java matches in a loop; a part that it may give back takes a call for each letter.
+    """
 
     def joined(x: Column) -> Column:
         letters = F.replace(x, F.lit(" "), F.lit(""))
         return F.concat(F.substring(letters, 1, 1), F.lower(F.substring(letters, 2, 1 << 30)))
 
-    return replace_matches(text, r"(?U)\b([A-Z]\s+){2,}[A-Z]+\b", joined)
+    return replace_matches(text, r"(?U)\b(?:[A-Z]\s+(?=[A-Z]++\b)){2,}+[A-Z]+\b", joined)
 
 
 def fix_spaced_capitals_title(text: Column) -> Column:
     """'T H E' -> 'The': three or more single spaced capitals become one word with a capital."""
-    return replace_matches(text, r"(?U)\b[A-Z]\s+[A-Z]\s+[A-Z](?:\s+[A-Z])*\b", lambda x: F.initcap(F.replace(x, F.lit(" "), F.lit(""))))
+    return replace_matches(text, r"(?U)\b[A-Z]\s+[A-Z]\s+[A-Z](?:\s+[A-Z]\b)*+\b", lambda x: F.initcap(F.replace(x, F.lit(" "), F.lit(""))))
 
 
 def remove_footnote_markers(text: Column) -> Column:

@@ -53,35 +53,53 @@ def json_ld_scripts(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
 
 
-# Fixed values.
+# How lines begin that aren't part of an article, and what makes a line real, short or a menu.
 BAD_PREFIXES = ["share this article", "read more", "related articles", "follow us"]
+BLOB_WORDS = 5
+REAL_LENGTH, REAL_STOPS = 60, 0.01
+SHORT_LENGTH, SHORT_WORDS = 45, 4
+MENU_WORDS, MENU_WORD, MENU_CAPITALS, MENU_TITLE, MENU_LENGTH = 5, 16, 0.4, 0.8, 140
+
+_NAME = r"[A-Za-z][A-Za-z0-9+\-]*+(?=\s)"
+#: Plain words from the start up to the last wide gap between them. All repeats are possessive, which Java matches in a loop.
+_BLOB = rf"\A(?:{_NAME}(?:\s(?!\s){_NAME})*+\s{{2,}})++"
+
+
+def _line(raw: Column) -> Column:
+    line = X.strip(raw)
+    stops = F.regexp_count(line, F.lit("[.,;:!?]")) / F.greatest(F.length(line), F.lit(1))
+    bad = F.exists(F.array(*map(F.lit, BAD_PREFIXES)), lambda p: F.startswith(F.lower(line), p))
+    return F.struct(line.alias("line"), X.words(line).alias("words"), stops.alias("stops"), (bad & (line != "")).alias("bad"))
+
+
+def _is_real(x: Column) -> Column:
+    """A line with which an article can begin."""
+    return (x["line"] != "") & ~x["bad"] & ((F.length(x["line"]) >= REAL_LENGTH) | (x["stops"] >= REAL_STOPS))
+
+
+def _is_short(x: Column) -> Column:
+    return (F.length(x["line"]) < SHORT_LENGTH) & (x["stops"] < REAL_STOPS) & (F.size(x["words"]) <= SHORT_WORDS)
+
+
+def _is_menu(x: Column) -> Column:
+    n = F.size(x["words"])
+    capitals = F.size(F.filter(x["words"], lambda w: w.rlike(r"(?U)\p{Lu}") & ~w.rlike(r"(?U)\p{Ll}"))) / n
+    title = F.size(F.filter(x["words"], lambda w: w.rlike(r"(?U)^\p{Lu}"))) / n
+    named = (capitals > MENU_CAPITALS) | ((title > MENU_TITLE) & (F.length(x["line"]) <= MENU_LENGTH))
+    return (n >= MENU_WORDS) & F.forall(x["words"], lambda w: F.length(w) <= MENU_WORD) & (x["stops"] < REAL_STOPS) & named
 
 
 def clean_web_text(text: Column) -> Column:
-    """Lines without navigation: leading blobs, known prefixes, short lines before the first real paragraph, and lines of
-    many short capitalised words go. One fold over the lines of a row, so nothing is shuffled."""
+    """Lines without navigation: leading blobs, known prefixes, short lines before the first real one, and lines of many
+    short capitalised words go. Each line is looked at once, and nothing is shuffled."""
     t = F.replace(text, F.lit("\r"), F.lit("\n"))
-    t = F.regexp_replace(t, r"\A[A-Za-z][A-Za-z0-9+\-]*(?:\s+[A-Za-z][A-Za-z0-9+\-]*){4,}\s{2,}", "")
+    blob = F.regexp_extract(t, _BLOB, 0)
+    t = F.when(F.size(X.words(blob)) >= BLOB_WORDS, F.substring(t, F.length(blob) + 1, F.length(t))).otherwise(t)
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
-    none = F.array().cast("array<string>")
-
-    def step(acc: Column, raw: Column) -> Column:
-        line = X.strip(raw)
-        tokens = X.words(line)
-        n = F.size(tokens)
-        stops = F.regexp_count(line, F.lit("[.,;:!?]")) / F.greatest(F.length(line), F.lit(1))
-        bad = F.exists(F.array(*map(F.lit, BAD_PREFIXES)), lambda p: F.startswith(F.lower(line), p))
-        lead = ~acc["seen"] & (F.length(line) < 45) & (stops < 0.01) & (n <= 4)
-        seen = acc["seen"] | (~lead & ((F.length(line) >= 60) | (stops >= 0.01)))
-        upper = F.size(F.filter(tokens, lambda w: w.rlike(r"(?U)\p{Lu}") & ~w.rlike(r"(?U)\p{Ll}"))) / n
-        title = F.size(F.filter(tokens, lambda w: w.rlike(r"(?U)^\p{Lu}"))) / n
-        nav = (n >= 5) & F.forall(tokens, lambda w: F.length(w) <= 16) & (stops < 0.01) & ((upper > 0.4) | ((title > 0.8) & (F.length(line) <= 140)))
-        keep = lambda x: F.concat(acc["lines"], F.array(x))
-        return F.struct(
-            F.when(line == "", acc["seen"]).when(bad, acc["seen"]).otherwise(seen).alias("seen"),
-            F.when(line == "", keep(F.lit(""))).when(bad | lead | nav, acc["lines"]).otherwise(keep(line)).alias("lines"),
-        )
-
-    start = F.struct(F.lit(False).alias("seen"), none.alias("lines"))
-    lines = F.aggregate(F.split(t, "\n"), start, step, lambda acc: acc["lines"])
-    return X.strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+
+    def kept(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, _is_real), F.lit(True))  # from 1, 0 if there is none
+        return X.let(first, lambda start: F.filter(lines, lambda x, i: (x["line"] == "") | ~(x["bad"] | ((start == 0) | (i + 1 < start)) & _is_short(x) | _is_menu(x))))
+
+    lines = X.let(F.transform(F.split(t, "\n"), _line), kept)
+    return X.strip(F.regexp_replace(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), r"\n{3,}", "\n\n"))

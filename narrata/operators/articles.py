@@ -27,19 +27,24 @@ class Node:
     def __init__(self, name: str, attributes: dict[str, str], parent: Node | None):
         self.name, self.attributes, self.parent, self.parts = name, attributes, parent, []
 
-    def walk(self) -> Iterator[Node]:
-        for p in self.parts:
-            if isinstance(p, Node):
+    def _inside(self, enters: Callable[[Node], bool]) -> Iterator[Node | str]:
+        """Everything inside in document order, however deep; elements that `enters` refuses are left out whole."""
+        ahead = [iter(self.parts)]
+        while ahead:
+            p = next(ahead[-1], None)
+            if p is None:
+                ahead.pop()
+            elif isinstance(p, str):
+                yield p
+            elif enters(p):
                 yield p
-                yield from p.walk()
+                ahead.append(iter(p.parts))
+
+    def walk(self) -> Iterator[Node]:
+        return (p for p in self._inside(lambda _: True) if isinstance(p, Node))
 
     def texts(self) -> Iterator[str]:
-        for p in self.parts:
-            if isinstance(p, Node):
-                if p.name not in UNREAD:
-                    yield from p.texts()
-            elif p.strip():
-                yield p.strip()
+        return (p.strip() for p in self._inside(lambda n: n.name not in UNREAD) if isinstance(p, str) and p.strip())
 
     def text(self, joint: str) -> str:
         return joint.join(self.texts())
@@ -144,16 +149,17 @@ def body_of(root: Node) -> str:
 
 
 def article_bodies(value: object) -> Iterator[str]:
-    """All articleBody texts of a JSON value, however deep."""
-    if isinstance(value, list):
-        for x in value:
-            yield from article_bodies(x)
-    elif isinstance(value, dict):
-        found = value.get("articleBody")
-        if isinstance(found, str) and found.strip():
-            yield found.strip()
-        for x in value.values():
-            yield from article_bodies(x)
+    """All articleBody texts of a JSON value, in its order."""
+    ahead = [value]
+    while ahead:
+        x = ahead.pop()
+        if isinstance(x, dict):
+            found = x.get("articleBody")
+            if isinstance(found, str) and found.strip():
+                yield found.strip()
+            x = list(x.values())
+        if isinstance(x, list):
+            ahead += reversed(x)
 
 
 def linked_data_body(scripts: list[str]) -> str:
@@ -161,7 +167,7 @@ def linked_data_body(scripts: list[str]) -> str:
     for s in scripts:
         try:
             out += article_bodies(json.loads(s))
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested beyond what its reader follows
             continue
     return "\n\n".join(out)
 
@@ -183,6 +189,18 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", html_col: str =
     return asked.mapInArrow(run, f"{id_col} {id_type}, " + ", ".join(f"{n} string" for n in names))
 
 
+def linked_data(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, body) of each page: the article texts of its linked data, empty if there are none."""
+    id_type = pages.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [linked_data_body(scripts or []) for scripts in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string())], names=[id_col, "body"])
+
+    return pages.select(id_col, V.json_ld_scripts(F.col(html_col)).alias("scripts")).mapInArrow(run, f"{id_col} {id_type}, body string")
+
+
 def article_table(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Articles with their bodies cleaned of navigation, and the words that are left."""
     a = extract_articles(pages, id_col).withColumn("content", V.clean_web_text(F.col("body")))

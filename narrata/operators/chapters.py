@@ -71,9 +71,9 @@ def in_ranges(pages: DataFrame, ranges: DataFrame, most: int = 10_000) -> DataFr
     """Pages in the given inclusive ranges (chapter_id, title, start_page, end_page; pages from 1) of every book.
 
     The ranges are a list that someone wrote; they are broadcast if there are at most `most`, else spread out by page
-    and joined on it.
+    and joined on it, with the same result. A range that ends before it starts holds no page.
     """
-    listed = ranges.where("start_page IS NOT NULL")
+    listed = ranges.where("start_page <= end_page")
     if listed.limit(most + 1).count() <= most:
         return pages.join(F.broadcast(listed), (F.col("page_num") + 1).between(F.col("start_page"), F.col("end_page")))
     by_page = listed.withColumn("page_num", F.explode(F.sequence(F.col("start_page") - 1, F.col("end_page") - 1)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.operators import articles as A
+from narrata.plans import text_queries as TQ
 from narrata.sources.tables import table
 
 
@@ -16,10 +17,11 @@ def t34_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t35_linked_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies of linked data, which are put in the place of the pages' own."""
-    data = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"x":{"articleBody":"Body of '), F.col("page_id").cast("string"), F.lit('"}},{"articleBody":" "}]}</script><script type="application/ld+json">{bad</script>'))
-    made = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<html><head>"), data, F.lit("</head><title>T</title></html>")).alias("html"))
-    return A.extract_articles(made).select("page_id", "title", "body")
+    """Each page's whole html as the article of linked data in that page, read back, behind an empty one and before a broken one."""
+    own = F.replace(F.to_json(F.struct(F.col("html").alias("articleBody"))), F.lit("</"), F.lit("<\\/"))
+    data = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"articleBody":" "},{"x":'), own, F.lit('}]}</script><script type="application/ld+json">{bad</script>'))
+    made = table(spark, sf_dir, "pages").select("page_id", F.concat(data, "html").alias("html"))
+    return A.linked_data(made).select("page_id", F.length("body").cast("long").alias("n_chars"), F.md5("body").alias("digest"))
 
 
 def t18_article_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +32,5 @@ def t18_article_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (t34_articles, t35_linked_data, t18_article_table)}
 ORACLE_SQL = {
-    "t35_linked_data": "select page_id, 'T' as title, 'Body of ' || page_id as body from pages",
+    "t35_linked_data": "select page_id, length(t) as n_chars, md5(t) as digest from (select page_id, " + TQ.strip_sql("html") + " as t from pages)",
 }

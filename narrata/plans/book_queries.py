@@ -42,9 +42,9 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.assemble(C.group_pages(pages(spark, sf_dir)))
 
 
-def chunk_sql(text: str, size: int, extra: str = "") -> str:
+def chunk_sql(text: str, size: int, extra: str = "", key: str = "doc_id", source: str = "documents") -> str:
     """CTEs: packed(doc_id, chunk_idx, text) by whole sentences up to so many words."""
-    return f"""recursive src as (select doc_id, {text} as t{extra} from documents),
+    return f"""recursive src as (select {key} as doc_id, {text} as t{extra} from {source}),
 sents as (select doc_id, generate_subscripts(s, 1) as pos, unnest(s) as sent from (select doc_id, {TQ.SPLIT.format(t="t")} as s from src where {TQ.strip_sql("t")} <> '')),
 sized as (select *, {N_WORDS.format("sent")} as n from sents),
 fold as (select doc_id, pos, n as run, 0 as chunk_idx from sized where pos = 1

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from narrata.functions import text as X
 from narrata.functions import web as V
+from narrata.operators import chunking as K
 from narrata.operators import cost as P
 from narrata.operators import manifests as M
 from narrata.operators import summary as S
 from narrata.operators import timeline as L
 from narrata.plans import text_queries as TQ
-from narrata.plans.book_queries import CHAPTERS_SQL, N_WORDS, chapters
+from narrata.plans.book_queries import CHAPTERS_SQL, N_WORDS, chapters, chunk_sql
 from narrata.sources.tables import table
 
 QUERIES: dict = {}
@@ -123,12 +124,20 @@ def u01_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.segments_of_book(chapters(spark, sf_dir), books).select("book_id", "seq", "segment_id", "title", F.length("text").cast("long").alias("chars"))
 
 
-@query(f"with {CHAPTERS_SQL}, rows as (select book_id, chapter_seq, 0 as chunk_idx, title || '.' as text from chapters union all select book_id, chapter_seq, 1, left(content, 40) from chapters) select book_id, chapter_seq, chunk_idx, text, case chunk_idx when 1 then 2.5 else 1.0 end::double as pause from rows")
+_OF_CHAPTERS = chunk_sql(TQ.collapse_sql("content"), 150, key="book_id * 1000000 + chapter_seq", source="chapters").removeprefix("recursive ")
+
+
+@query(
+    f"""with recursive {CHAPTERS_SQL}, {_OF_CHAPTERS}, rows as (select book_id, chapter_seq, 0 as chunk_idx, title || '.' as text from chapters
+  union all select doc_id // 1000000, cast(doc_id % 1000000 as int), chunk_idx + 1, text from packed)
+select book_id, chapter_seq, cast(chunk_idx as int) as chunk_idx, md5(text) as digest,
+  case when chunk_idx = max(chunk_idx) over (partition by book_id, chapter_seq) then 2.5 when chunk_idx = 0 then 1.0 else 0.0 end::double as pause from rows"""
+)
 def u02_announced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chapters with their titles in front."""
+    """The chunks of whole chapters with their titles in front."""
     ch = chapters(spark, sf_dir)
-    chunks = ch.select("book_id", "chapter_seq", F.lit(0).alias("chunk_idx"), F.left("content", F.lit(40)).alias("text"))
-    return L.announced(chunks, ch)
+    chunks = K.chunk_words_simple(ch.select("book_id", "chapter_seq", F.col("content").alias("text")), 150)
+    return L.announced(chunks, ch).select("book_id", "chapter_seq", "chunk_idx", F.md5("text").alias("digest"), "pause")
 
 
 @query(f"with {CHAPTERS_SQL} select book_id, chapter_seq, round(0.1 + 0.8 * i / n, 9) as known, round(0.15 + 0.75 * (1 - 1.0::double / (i + 2)), 9) as unknown from (select *, row_number() over (partition by book_id order by chapter_seq) - 1 as i, count(*) over (partition by book_id) as n from chapters)")
@@ -155,13 +164,13 @@ def s18_tts_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.select("doc_id", r.alias("r")).select("doc_id", "r.model", "r.voice", F.md5("r.input").alias("input"), "r.instructions")
 
 
-@query("select doc_id, case when doc_id % 4 = 3 and doc_id % 5 <> 0 then 'ocr_cleanup' when doc_id % 4 = 3 then 'other' else ['ocr_cleanup', 'tts_optimization', 'light_touch'][doc_id % 4 + 1] end as preset, case when doc_id % 5 = 0 then 'Own' else ['Clean it', 'Say it', 'Touch it', 'Clean it'][doc_id % 4 + 1] end as prompt from documents")
+@query("select doc_id, case when doc_id % 4 = 3 and doc_id % 5 <> 0 then 'ocr_cleanup' when doc_id % 4 = 3 then 'other' else ['ocr_cleanup', 'tts_optimization', 'light_touch'][doc_id % 4 + 1] end as preset, case when doc_id % 5 = 0 then 'Own' else ['Clean it', 'Say it', 'Touch it', 'Clean it'][doc_id % 4 + 1] end as prompt, md5(text) as digest from documents")
 def s19_clean_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaning requests: a known preset, an unknown one, or a prompt of one's own."""
     presets = spark.createDataFrame([("ocr_cleanup", "Clean it"), ("tts_optimization", "Say it"), ("light_touch", "Touch it")], "preset string, prompt string")
     names = F.array(*map(F.lit, ["ocr_cleanup", "tts_optimization", "light_touch", "other"]))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.get(names, (F.col("doc_id") % 4).cast("int")).alias("preset"), F.when(F.col("doc_id") % 5 == 0, "Own").alias("custom_prompt"))
-    return M.clean_requests(docs, presets, ["doc_id"]).select("doc_id", "preset", "prompt")
+    return M.clean_requests(docs, presets, ["doc_id"]).select("doc_id", "preset", "prompt", F.md5("text").alias("digest"))
 
 
 @query("select doc_id as book_id, md5('List the speakers.' || chr(10) || chr(10) || left(text, 10000)) as digest from documents")
@@ -240,10 +249,30 @@ def t17_markdown_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WEB = [(". ", ".\nRead more here\n"), (" the ", "\nHome About\n"), (" de ", "\nALL BIG WORDS ARE HERE NOW\n\n\n\n")]
 
 
-@query()
+_STOPS = "length(regexp_replace({l}, '[^.,;:!?]', '', 'g')) / greatest(length({l}), 1)"
+_SHARE = "len(list_filter({l}.w, lambda w: {test})) / greatest(len({l}.w), 1)"
+_MENU = (
+    f"(len(x.w) >= {V.MENU_WORDS} and len(list_filter(x.w, lambda w: length(w) > {V.MENU_WORD})) = 0 and x.stops < {V.REAL_STOPS} and ("
+    + _SHARE.format(l="x", test="regexp_matches(w, '\\p{Lu}') and not regexp_matches(w, '\\p{Ll}')")
+    + f" > {V.MENU_CAPITALS} or "
+    + _SHARE.format(l="x", test="regexp_matches(w, '^\\p{Lu}')")
+    + f" > {V.MENU_TITLE} and length(x.l) <= {V.MENU_LENGTH}))"
+)
+_BAD = " or ".join(f"starts_with(lower(l), '{p}')" for p in V.BAD_PREFIXES)
+_TIDY = "regexp_replace(regexp_replace(regexp_replace(replace({t}, chr(13), chr(10)), '^[A-Za-z][A-Za-z0-9+\\-]*(?:\\s+[A-Za-z][A-Za-z0-9+\\-]*){4,}\\s{2,}', ''), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
+
+
+@query(
+    f"""with tidy as (select doc_id, string_split({_TIDY.replace("{t}", TQ.injected_sql(_WEB))}, chr(10)) as ls from documents),
+facts as (select doc_id, list_transform(list_transform(ls, lambda r: {TQ.strip_sql("r")}), lambda l: {{'l': l, 'w': list_filter(regexp_split_to_array(l, '\\s+'), lambda w: w <> ''), 'stops': {_STOPS.format(l="l")}, 'bad': {_BAD}}}) as f from tidy),
+seen as (select doc_id, f, list_position(list_transform(f, lambda x: x.l <> '' and not x.bad and (length(x.l) >= {V.REAL_LENGTH} or x.stops >= {V.REAL_STOPS})), true) as start from facts),
+kept as (select doc_id, list_filter(f, lambda x, i: x.l = '' or not (x.bad or ((coalesce(start, 0) = 0 or i < start) and length(x.l) < {V.SHORT_LENGTH} and x.stops < {V.REAL_STOPS} and len(x.w) <= {V.SHORT_WORDS}) or {_MENU})) as k from seen)
+select doc_id, length(t) as n_chars, md5(t) as digest from (select doc_id, {TQ.strip_sql("regexp_replace(array_to_string(list_transform(k, lambda x: x.l), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')")} as t from kept)"""
+)
 def t18_clean_web_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with navigation lines put in, without them (also W10); tested against a plain rendering."""
-    return table(spark, sf_dir, "documents").select("doc_id", V.clean_web_text(TQ.injected(_WEB)).alias("text"))
+    """Documents with navigation lines put in, without them (also W10)."""
+    done = table(spark, sf_dir, "documents").select("doc_id", V.clean_web_text(TQ.injected(_WEB)).alias("t"))
+    return done.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 
 _LONG = f"list_filter(list_transform({TQ.SPLIT.format(t='text')}, lambda s: {TQ.strip_sql('s')}), lambda s: length(s) >= 30)"

@@ -19,3 +19,11 @@ def test_table(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string")
     rows = {r.page_id: r for r in A.article_table(df).collect()}
     assert rows[1].title == "Meta title" and rows[1].word_count == 90 and rows[2].content == ""
+
+
+def test_deep_pages_and_data():
+    html = "<body>" + "<li>x" * 5000 + "<article>" + "<div>" * 3000 + LONG
+    root = A.tree_of(html)
+    assert A.body_of(root) == LONG and A.title_of(root) == "Untitled"
+    deep = '{"a":' * 900 + '{"articleBody":"in"}' + "}" * 900
+    assert A.linked_data_body([deep, "[" * 100_000, '{"articleBody":"next"}']) == "in\n\nnext"

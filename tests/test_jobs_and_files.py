@@ -114,3 +114,25 @@ def test_drop_folder_stream(spark, tmp_path):
         to_parquet(rows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == n
         (tmp_path / "in" / "b.txt").write_text("two")
+
+
+def test_ranges_give_the_same_pages_either_way(spark):
+    from narrata.operators import chapters as C
+
+    pages = spark.range(6).selectExpr("1L as book_id", "cast(id as int) as page_num", "'t' as text")
+    ranges = spark.createDataFrame([("a", "A", 2, 3), ("b", "B", 4, 2), ("c", "C", 5, 5), ("d", "D", None, None), ("e", "E", 6, None)], "chapter_id string, title string, start_page int, end_page int")
+    both = [sorted((r.chapter_id, r.page_num) for r in C.in_ranges(pages, ranges, most).collect()) for most in (10, 0)]
+    assert both[0] == both[1] == [("a", 1), ("a", 2), ("c", 4)]
+
+
+def test_cleaning_requests_keep_every_chunk(spark):
+    from narrata.operators import manifests as M
+
+    chunks = spark.createDataFrame([(1, "x", "p", None), (2, "y", "none", None), (3, "z", "none", "own")], "i int, text string, preset string, custom_prompt string")
+    for presets, want in (
+        ([("p", "P")], [(1, "P"), (2, None), (3, "own")]),
+        ([("p", "P"), ("p", "Q"), ("ocr_cleanup", "S"), ("ocr_cleanup", "T")], [(1, "P"), (2, "S"), (3, "own")]),
+        ([], [(1, None), (2, None), (3, "own")]),
+    ):
+        got = M.clean_requests(chunks, spark.createDataFrame(presets, "preset string, prompt string"), ["i"]).collect()
+        assert sorted((r.i, r.prompt) for r in got) == want
