@@ -231,20 +231,23 @@ def compile_patterns(patterns: list[Pattern], anywhere: bool, reverse: bool = Fa
     return Dfa(order[part][moves[chosen]].astype(np.int32), accepts[chosen], byte_class)
 
 
-def longest(table: list[list[int]], accepts: list[int], dead: int, data: bytes, start: int) -> int:
-    """End of the longest match that begins at start, or -1."""
+def longest(table: list[list[int]], accepts: list[int], dead: int, data: bytes, start: int, pattern: int = 0) -> int:
+    """End of the longest match of the pattern that begins at start, or -1."""
     state, best = 0, -1
     for i in range(start, len(data)):
         state = table[state][data[i]]
         if state == dead:
             break
-        if accepts[state]:
+        if accepts[state] >> pattern & 1:
             best = i + 1
     return best
 
 
 class Scanner:
-    """Finds which texts hold matches by one pass over their bytes, many lanes side by side."""
+    """Finds where matches begin by one pass over the bytes of all texts from the end, many lanes side by side.
+
+    The automaton must be that of the patterns read from their end, with anywhere.
+    """
 
     def __init__(self, dfa: Dfa, lanes: int = 2048):
         self.lanes, width = lanes, dfa.moves.shape[1]
@@ -257,15 +260,14 @@ class Scanner:
             raise ValueError("no byte resets the automaton, so texts can't be told apart")
         self.gap = bytes([int(np.argmax(self.reset))])
 
-    def matches(self, texts: list[bytes]) -> list[int]:
-        """For each text the bits of the patterns that match in it.
+    def begins(self, texts: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each text with matches the ascending places where some begin, and the bits of their patterns.
 
         The texts are joined by a byte that resets the automaton, and cut into lanes just behind such bytes, so every
         lane starts in the start state; a lane much longer than others (no such byte for long) is walked alone.
         """
-        found = [0] * len(texts)
-        data = np.frombuffer(self.gap.join(texts) + self.gap, np.uint8)
-        ends = np.cumsum([len(t) + 1 for t in texts])
+        joined = np.frombuffer(self.gap.join(texts) + self.gap, np.uint8)
+        data = joined[::-1]
         cuts = np.flatnonzero(self.reset[data]) + 1
         step = max(256, len(data) // self.lanes)
         wanted = np.searchsorted(cuts, np.arange(step, len(data), step))
@@ -275,11 +277,13 @@ class Scanner:
         long = sizes > 4 * step
         spots: list[tuple[np.ndarray, np.ndarray]] = []
         for a, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True):
-            state = 0
+            state, at, masks = 0, [], []
             for i, c in enumerate(classes[a : a + n].tolist(), a):
                 state = self.flat[state + c]
                 if self.hit[state]:
-                    spots.append((np.array([i]), np.array([self.accept[state]])))
+                    at.append(i)
+                    masks.append(self.accept[state])
+            spots.append((np.array(at, np.int64), np.array(masks, np.int64)))
         starts, sizes = starts[~long], sizes[~long]
         if len(starts):
             order = np.argsort(-sizes, kind="stable")
@@ -293,7 +297,13 @@ class Scanner:
                 if at.any():
                     rows = np.flatnonzero(at)
                     spots.append((starts[rows] + j, self.accept[state[rows]]))
-        for places, masks in spots:
-            for text, mask in zip(np.searchsorted(ends, places, side="right").tolist(), masks.tolist(), strict=True):
-                found[text] |= mask
-        return found
+        places = len(data) - 1 - np.concatenate([np.zeros(0, np.int64), *(p for p, _ in spots)])
+        masks = np.concatenate([np.zeros(0, np.int64), *(m for _, m in spots)])
+        if not len(places):
+            return {}
+        order = np.argsort(places, kind="stable")
+        places, masks = places[order], masks[order]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        owner = np.searchsorted(ends, places, side="right")
+        found, first = np.unique(owner, return_index=True)
+        return {t: (places[a:b] - (ends[t] - len(texts[t]) - 1), masks[a:b]) for t, a, b in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(places)], strict=True)}

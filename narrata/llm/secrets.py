@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,68 +46,56 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
-@dataclass
-class _Single:
-    """One rule's machines: where matches begin (read backwards), how far they go, and how far the head goes."""
+Walk = tuple[list[list[int]], list[int], int]
 
-    begins: tuple[list[list[int]], list[int]]
-    whole: tuple[list[list[int]], list[int], int]
-    head: tuple[list[list[int]], list[int], int] | None
 
-
-def _walked(dfa: Dfa) -> tuple[list[list[int]], list[int], int]:
+def _walk(dfa: Dfa) -> Walk:
     return dfa.by_byte(), dfa.accepts.tolist(), dfa.dead
 
 
 @lru_cache(maxsize=4)
-def compiled(rules: tuple[Rule, ...]) -> tuple[Scanner, list[_Single]]:
-    """The combined scanner and each rule's own machines, built once in a worker."""
+def compiled(rules: tuple[Rule, ...]) -> tuple[Scanner, Walk, list[Walk | None]]:
+    """Built once in a worker: one automaton of all rules that finds where matches begin, one of all rules that tells from there
+    how far they go, and those of the heads."""
     patterns = [Pattern(r.pattern, r.ignore_case) for r in rules]
-    singles = []
-    for rule, pattern in zip(rules, patterns, strict=True):
-        back = compile_patterns([pattern], anywhere=True, reverse=True)
-        head = _walked(compile_patterns([Pattern(rule.head, rule.ignore_case)], anywhere=False)) if rule.head else None
-        singles.append(_Single((back.by_byte(), back.accepts.tolist()), _walked(compile_patterns([pattern], anywhere=False)), head))
-    return Scanner(compile_patterns(patterns, anywhere=True)), singles
-
-
-def spans_of(data: bytes, rule: Rule, single: _Single) -> list[tuple[int, int]]:
-    """Byte spans of the rule's leftmost-longest matches without overlap, short ones dropped."""
-    table, accepts = single.begins
-    state, begins = 0, []
-    for i in range(len(data) - 1, -1, -1):
-        state = table[state][data[i]]
-        if accepts[state]:
-            begins.append(i)
-    found, free = [], 0
-    for start in reversed(begins):
-        if start >= free:
-            free = longest(*single.whole, data, start)
-            measured = longest(*single.head, data, start) if single.head else start
-            if free - measured >= rule.least:
-                found.append((start, free))
-    return found
+    heads = [_walk(compile_patterns([Pattern(r.head, r.ignore_case)], anywhere=False)) if r.head else None for r in rules]
+    return Scanner(compile_patterns(patterns, anywhere=True, reverse=True)), _walk(compile_patterns(patterns, anywhere=False)), heads
 
 
 def scan_texts(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
-    """For each text the (start, rule number, end) in code points, in order."""
-    scanner, singles = compiled(rules)
+    """For each text the (start, rule number, end) in code points, in order: leftmost-longest matches of each rule without
+    overlap, short ones dropped.
+
+    One pass of the combined automaton over the bytes gives all places where a match of any rule begins; only the bytes of
+    the matches themselves are then read again to their ends.
+    """
+    scanner, whole, heads = compiled(rules)
     coded = [t.encode("utf-8", "surrogatepass") for t in texts]
-    out = []
-    for text, data, bits in zip(texts, coded, scanner.matches(coded), strict=True):
-        spans = [(a, k, b) for k, rule in enumerate(rules) if bits >> k & 1 for a, b in spans_of(data, rule, singles[k])]
-        if len(data) != len(text):
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    for t, (places, masks) in scanner.begins(coded).items():
+        data, spans = coded[t], out[t]
+        for k, rule in enumerate(rules):
+            starts = places[masks >> k & 1 == 1]
+            i = 0
+            while i < len(starts):
+                start = int(starts[i])
+                end = longest(*whole, data, start, k)
+                measured = longest(*heads[k], data, start) if heads[k] else start
+                if end - measured >= rule.least:
+                    spans.append((start, k, end))
+                i = int(np.searchsorted(starts, end))
+        if len(data) != len(texts[t]):
             at = {p: len(data[:p].decode("utf-8", "surrogatepass")) for a, _, b in spans for p in (a, b)}
-            spans = [(at[a], k, at[b]) for a, k, b in spans]
-        out.append(sorted(spans))
+            spans[:] = [(at[a], k, at[b]) for a, k, b in spans]
+        spans.sort()
     return out
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, spans array<struct<kind, start, end>>) per row: all rules' matches by start, then in the rules' order.
 
-    Starts and ends are code points, the end is exclusive. All rules are scanned in one pass over the bytes; only texts
-    with a match are then read again to fix the spans. Cases: a null text counts as an empty one; rows that repeat each
+    Starts and ends are code points, the end is exclusive. All rules are scanned in one pass over the bytes; only
+    matches are then read again to their ends. Cases: a null text counts as an empty one; rows that repeat each
     get a row; an empty table gives no rows; other columns are ignored.
     """
     id_type = docs.schema[id_col].dataType.simpleString()

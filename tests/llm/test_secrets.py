@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -65,5 +66,10 @@ def test_tables_and_masks(spark, sf, odd_docs, no_docs):
     assert S.scan_secrets(odd_docs).count() == odd_docs.count() and S.scan_secrets(no_docs).count() == 0
     rows = {r.doc_id: r for r in queries.op7_secret_scan(spark, sf).collect()}
     for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
-        want = brute(d.text)
+        want, row = brute(d.text), rows[d.doc_id]
+        shown = ",".join(f"{S.RULES[k].kind}:{a}:{b}" for a, k, b in want)
+        spans = [s.split(":") for s in row.spans.split(",") if s]
+        assert row.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert ",".join(":".join(s) for s in spans if s[0] in ("assign", "access", "hex")) == shown
+        assert spans == sorted(spans, key=lambda s: (int(s[1]), [r.kind for r in S.RULES].index(s[0])))
         assert [rows[d.doc_id].n_assign, rows[d.doc_id].n_access, rows[d.doc_id].n_hex] == [sum(k == i for _, k, _ in want) for i in range(3)]
