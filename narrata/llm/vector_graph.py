@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,26 +147,47 @@ def add_reverse(points: np.ndarray, edges: np.ndarray, new: np.ndarray, alpha: f
             edges[t[~fits]] = robust_prune(points, ids[~fits], far[~fits], degree, alpha)
 
 
-def _rows(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten()
+def _rows(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
     return np.asarray(flat, dtype=flat.type.to_pandas_dtype()).reshape(-1, dim)
 
 
+def frame_of(points: np.ndarray) -> tuple[np.ndarray, float]:
+    """A centre and a spread of the points, in double precision: by them distances fit into single precision whatever the size
+    of the components."""
+    centre = np.median(points.astype(np.float64), axis=0)
+    apart = np.abs(points - centre)
+    apart = apart[(apart > 0) & np.isfinite(apart)]
+    return centre, float(np.median(apart)) if len(apart) else 1.0
+
+
+def framed(points: np.ndarray, centre: np.ndarray, spread: float) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.clip((points.astype(np.float64) - centre) / spread, -1e15, 1e15).astype(np.float32)
+
+
+def points_per_shard(n: int) -> int:
+    """5,000 up to a million points, then more, so that queries go to at most some hundred shards, up to what a task holds with
+    ease; from 20 million points on the number of shards grows instead."""
+    return min(100_000, max(5_000, math.ceil(n / 200)))
+
+
 def sound(vector: Column) -> Column:
     """Whether a vector takes part: not null, empty or zero, without null or non-finite components."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shard_size: int = 5000, block: int = 2048, degree: int = 24, width: int = 48, beam: int = 96, alpha: float = 1.2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shard_size: int | None = None, degree: int = 24, width: int = 48, beam: int = 96, alpha: float = 1.2, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of all other rows by Euclidean distance, ties to smaller ids.
 
     is_query is a condition on the id column. Rows with equal vectors are one point of a graph, which holds the smallest
     k + 1 of their ids, as more can't be in a result; they are ranked with partial limits before the shuffle, so a
-    vector that very many rows share is no large group. Points are dealt into shards of about shard_size by their hash;
-    a shard's graph is built in one task of bounded size and written. Queries go in blocks of about `block` to every
-    shard of their dimension, where a beam search of width `beam` proposes candidates whose distances are then computed
-    in double precision from the original vectors; the shards' k best are merged.
+    vector that very many rows share is no large group. Points are dealt into shards of about shard_size (by default
+    points_per_shard) by their hash; a shard's graph is built in a task of its own, of bounded size, and written. Each graph
+    then meets the queries once, in one task: behind the graph they come as a stream, of which a few hundred at a time are
+    searched with a beam of width `beam`. The distances of what it finds are computed in double precision from the
+    original vectors, and the shards' k best are merged.
 
     Cases: rows without id, or whose vector is null, empty, zero or holds null or non-finite components, take no part;
     of rows that repeat an id the one with the smallest vector counts; vectors of different dimensions never meet; with
@@ -171,51 +195,62 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shard_size: int =
     """
     named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.col("vec_id").isNotNull() & sound(F.col("v")))
     single = staged(named.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "vectors")
-    kind = "double" if "double" in single.schema["v"].dataType.simpleString() else "float"
+    vector_type = single.schema["v"].dataType.simpleString()
+    kind = np.float64 if "double" in vector_type else np.float32
     first = Window.partitionBy("dim", "v").orderBy("vec_id")
     points = staged(single.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("dim", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "points")
-    shards = {r.dim: math.ceil(r.n / shard_size) for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each dimension in use
-    if not shards:
+    counts = {r.dim: r.n for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each dimension in use
+    if not counts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    per_dim = F.create_map(*(F.lit(x) for pair in shards.items() for x in pair))
-
-    def build(table: pa.Table) -> pa.Table:
-        dim = table["dim"][0].as_py()
-        x = _rows(table["v"], dim)
-        edges, entry = build_graph(x.astype(np.float32), degree, width, alpha)
-        return pa.table({"dim": [dim], "shard": [table["shard"][0].as_py()], "entry": [entry], "points": [x.tobytes()], "edges": [edges.tobytes()], "ids": pa.array([table["ids"].to_pylist()], pa.list_(pa.list_(pa.int64())))}, schema=pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("entry", pa.int32()), ("points", pa.binary()), ("edges", pa.binary()), ("ids", pa.list_(pa.list_(pa.int64())))]))
-
-    sharded = points.withColumn("shard", F.pmod(F.xxhash64("v"), per_dim[F.col("dim")]).cast("int"))
-    graphs = staged(sharded.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, entry int, points binary, edges binary, ids array<array<long>>"), "graphs")
-
-    queries = single.where(is_query)
-    blocks = max(1, math.ceil(queries.count() / block))
-    sent = queries.select("vec_id", "v", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), per_dim[F.col("dim")] - 1)).alias("shard"))
-    copies = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def search(asked: pa.Table, graph: pa.Table) -> pa.Table:
-        if not len(asked) or not len(graph):
-            return result.empty_table()
-        dim, entry = graph["dim"][0].as_py(), graph["entry"][0].as_py()
-        x = np.frombuffer(graph["points"][0].as_py(), np.float64 if kind == "double" else np.float32).reshape(-1, dim)
-        edges = np.frombuffer(graph["edges"][0].as_py(), np.int32).reshape(len(x), -1)
-        ids = graph["ids"][0].as_py()
-        q = _rows(asked["v"], dim)
-        small = x.astype(np.float32)
-        rows: list[list] = [[], [], []]
-        for start in range(0, len(q), BATCH):
-            part = q[start : start + BATCH]
-            found, _ = beam_search(small, edges, entry, part.astype(np.float32), max(beam, k + 1))
-            exact = np.sqrt(squared(part.astype(np.float64), x[np.maximum(found, 0)].astype(np.float64)))
-            for own, near, far in zip(asked["vec_id"][start : start + BATCH].to_pylist(), found.tolist(), exact.tolist(), strict=True):
-                best = sorted((d, i) for p, d in zip(near, far, strict=True) if p >= 0 for i in ids[p] if i != own)[:k]
-                rows[0] += [own] * len(best)
-                rows[1] += [i for _, i in best]
-                rows[2] += [d for d, _ in best]
-        return pa.table(rows, schema=result)
-
-    keys = ["dim", "shard", "block"]
-    found = sent.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double")
+    shards = {dim: math.ceil(n / (shard_size or points_per_shard(n))) for dim, n in counts.items()}
+    starts = dict(zip(shards, np.cumsum([0, *shards.values()]).tolist(), strict=False))
+    total = sum(shards.values())
+
+    def of_dim(table: dict[int, int]) -> Column:
+        return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[F.col("dim")]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))  # a shard's points
+        for shard in np.unique(rows["shard"]).tolist():
+            own = rows.filter(pa.compute.equal(rows["shard"], shard))
+            x = _rows(own["v"], own["dim"][0].as_py())
+            edges, entry = build_graph(framed(x, *frame_of(x)), degree, width, alpha)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([entry], pa.int32()), pa.array([x.tobytes()], pa.binary()), pa.array([edges.tobytes()], pa.binary()), pa.array([own["ids"].to_pylist()], pa.list_(pa.list_(pa.int64())))], names=["shard", "dim", "entry", "points", "edges", "ids"])
+
+    sharded = points.withColumn("shard", (of_dim(starts) + F.pmod(F.xxhash64("v"), of_dim(shards))).cast("int"))
+    graphs = sharded.repartitionById(total, F.col("shard")).select("shard", "dim", "v", "ids").mapInArrow(build, "shard int, dim int, entry int, points binary, edges binary, ids array<array<long>>")
+    graphs = staged(graphs, "graphs")
+
+    here = F.explode(F.sequence(of_dim(starts), of_dim(starts) + of_dim(shards) - 1))
+    asked = single.where(is_query).select("vec_id", "v", here.alias("shard"))
+    stream = graphs.unionByName(asked, allowMissingColumns=True).repartitionById(total, F.col("shard")).sortWithinPartitions("shard", F.col("vec_id").asc_nulls_first())
+    columns = ["shard", "dim", "entry", "points", "edges", "ids", "vec_id", "v"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            graph_rows = np.flatnonzero(np.asarray(batch.column(6).is_null()))
+            for start, end in itertools.pairwise(np.unique([0, *graph_rows, *(graph_rows + 1), len(batch)]).tolist()):
+                part = batch.slice(start, end - start)
+                if part.column(6)[0].as_py() is None:
+                    dim, entry, raw, raw_edges, ids = (part.column(c)[0].as_py() for c in (1, 2, 3, 4, 5))
+                    x = np.frombuffer(raw, kind).reshape(-1, dim)
+                    edges = np.frombuffer(raw_edges, np.int32).reshape(len(x), -1)
+                    frame = frame_of(x)
+                    small = framed(x, *frame)
+                    continue
+                for at in range(0, len(part), BATCH):
+                    some = part.slice(at, BATCH)
+                    q = _rows(some.column(7), dim)
+                    found, _ = beam_search(small, edges, entry, framed(q, *frame), max(beam, k + 1))
+                    exact = np.sqrt(squared(q.astype(np.float64), x[np.maximum(found, 0)].astype(np.float64)))
+                    rows: list[list] = [[], [], []]
+                    for own, near, far in zip(some.column(6).to_pylist(), found.tolist(), exact.tolist(), strict=True):
+                        best = sorted((d, i) for p, d in zip(near, far, strict=True) if p >= 0 for i in ids[p] if i != own)[:k]
+                        rows[0] += [own] * len(best)
+                        rows[1] += [i for _, i in best]
+                        rows[2] += [d for d, _ in best]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    found = stream.select(columns).mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

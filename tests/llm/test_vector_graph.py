@@ -47,3 +47,17 @@ def test_graph_has_bounded_degree_and_reaches_all():
                 seen.add(int(t))
                 todo.append(int(t))
     assert edges.shape == (400, 12) and len(seen) > 380
+
+
+def test_components_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    for scale in (1e-30, 1e25):
+        rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(600, 6)) * scale + 5 * scale)]
+        rows.append((701, [scale * 1e12] * 6))
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = {}
+        for r in V.nearest(df, F.col("vec_id") % 100 == 0, k=10, shard_size=200).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        want = brute(rows, 10, 100)
+        assert set(got) == set(want)
+        assert sum(len(got[q] & {i for _, i in want[q]}) for q in got) >= 0.97 * 10 * len(want)
