@@ -21,8 +21,6 @@ WEAK = 2
 PAIR_BUCKET = 8
 #: Texts of so few shingles are proposed at any distance, as theirs scatter more than the formula says.
 FEW = 16
-#: In a large bucket, partners in another component that a text is first verified against.
-NEAREST = 4
 COMPARED = 2048
 
 
@@ -116,10 +114,9 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     Fingerprints are joined on blocks, which proposes pairs; those whose Hamming distance and numbers of shingles leave
     the similarity possible are verified by the Jaccard similarity of their shingle sets, and only pairs that have it
     are links. Texts with equal sets are first counted as one. Only links between different components can change the
-    result, so each set is first verified against one partner, the first of the buckets that it shares most of; then, in
-    buckets that still hold several components, against the bucket's first; and then those outside the first's
-    component against all of the bucket in other components: in buckets of over PAIR_BUCKET sets block by block, first the
-    NEAREST of each component and then all that are still apart. No proposed link that joins components is lost, and a
+    result, so each set is first verified against one partner, the first of the buckets that it shares most of; then against
+    one such partner in another component; then, in buckets that still hold several components, against the bucket's first; and then those outside the first's
+    component against all of the bucket in other components, in buckets of over PAIR_BUCKET sets block by block. No proposed link that joins components is lost, and a
     group of near copies doesn't verify its pairs. Cases: texts without words are one group; rows that repeat an id each get a row; a null id is chosen only where
     a component has no other; an empty table gives no rows; other columns are ignored.
     """
@@ -191,10 +188,18 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
         of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_part"))
         return staged(of_node.join(of_hub, "hub", "left").withColumn("hub_part", F.coalesce("hub_part", "hub")), "placed")
 
-    often = shared.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
-    most_often = often.groupBy("node").agg(F.max(F.struct("times", (-F.col("hub")).alias("first"))).alias("best"))
-    edges = verified(possible(most_often.select((-F.col("best.first")).alias("a"), F.col("node").alias("b"))))
+    def most_shared(rows: DataFrame) -> DataFrame:
+        """For each node the first of the most of its buckets among the rows."""
+        often = rows.groupBy("node", "hub").agg(F.count("*").alias("times"))
+        best = often.groupBy("node").agg(F.max(F.struct("times", (-F.col("hub")).alias("first"))).alias("best"))
+        return best.select((-F.col("best.first")).alias("a"), F.col("node").alias("b"))
+
+    edges = verified(possible(most_shared(shared.where("node <> hub"))))
+    parts = connected_components(edges)
+    placed = placed_now()
+    edges = edges.union(verified(possible(most_shared(placed.where("part <> hub_part")))))
     parts = connected_components(edges)
+    discard(placed)
     placed = placed_now()
     edges = edges.union(verified(possible(placed.where("part <> hub_part").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())))
     parts = connected_components(edges)
@@ -202,47 +207,37 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     group = ["key", "x", "y"]
 
-    def comparison(most: int | None) -> object:
-        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-            a, b = (np.column_stack([np.asarray(t[c], np.int64) for c in lanes]).view(np.uint64) if len(t) else np.zeros((0, cut.lanes), np.uint64) for t in (left, right))
-            (na, pa_, ma), (nb, pb, mb) = ([np.asarray(t[c], np.int64) for c in ("node", "part", "m")] for t in (left, right))
-            out = [np.zeros((0, 2), np.int64)]
-            for i in range(0, len(a), 32):
-                apart = np.bitwise_count(a[i : i + 32, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
-                less, more = np.minimum(ma[i : i + 32, None], mb), np.maximum(ma[i : i + 32, None], mb)
-                r, c = np.nonzero(((apart <= limit) | (less <= FEW)) & (less >= similarity * more - 1e-9) & (pa_[i : i + 32, None] != pb[None, :]))
-                if most is not None and len(r):
-                    order = np.lexsort((apart[r, c], pb[c], r))
-                    r, c = r[order], c[order]
-                    first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (pb[c[1:]] != pb[c[:-1]])])
-                    place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
-                    r, c = r[place < most], c[place < most]
-                out.append(np.sort(np.column_stack([na[i + r], nb[c]]), axis=1))
-            found = np.concatenate(out)
-            return pa.table([found[:, 0], found[:, 1]], schema=schema)
-
-        return compare
-
-    for most in (NEAREST, None):
-        placed = placed_now()
-        outside = placed.where("part <> hub_part AND n > 2")
-        if outside.isEmpty():
-            discard(placed)
-            break
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = (np.column_stack([np.asarray(t[c], np.int64) for c in lanes]).view(np.uint64) if len(t) else np.zeros((0, cut.lanes), np.uint64) for t in (left, right))
+        (na, pa_, ma), (nb, pb, mb) = ([np.asarray(t[c], np.int64) for c in ("node", "part", "m")] for t in (left, right))
+        out = [np.zeros((0, 2), np.int64)]
+        for i in range(0, len(a), 32):
+            apart = np.bitwise_count(a[i : i + 32, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+            less, more = np.minimum(ma[i : i + 32, None], mb), np.maximum(ma[i : i + 32, None], mb)
+            r, c = np.nonzero(((apart <= limit) | (less <= FEW)) & (less >= similarity * more - 1e-9) & (pa_[i : i + 32, None] != pb[None, :]))
+            out.append(np.sort(np.column_stack([na[i + r], nb[c]]), axis=1))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.table([found[:, 0], found[:, 1]], schema=schema)
+
+    placed = placed_now()
+    outside = placed.where("part <> hub_part AND n > 2")
+    if not outside.isEmpty():
         few = outside.where(F.col("n") <= PAIR_BUCKET).select("key", "node", "part")
         rest = placed.where((F.col("n") <= PAIR_BUCKET) & (F.col("node") != F.col("hub"))).select("key", F.col("node").alias("c"), F.col("part").alias("c_part"))
         met = few.join(rest, "key").where("part <> c_part").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         large = placed.where(F.col("n") > PAIR_BUCKET)
-        sizes = staged(large.groupBy("key").agg(F.count_if(F.col("part") != F.col("hub_part")).alias("apart")).where("apart > 0"), "sizes")
+        sizes = large.groupBy("key").agg(F.count_if(F.col("part") != F.col("hub_part")).alias("apart")).where("apart > 0")
+        sized = staged(large.join(sizes, "key"), "large")
         blocks_all = F.greatest(F.lit(1), F.ceil(F.col("n") / COMPARED)).cast("int")
         blocks_out = F.greatest(F.lit(1), F.ceil(F.col("apart") / COMPARED)).cast("int")
-        some = large.where("part <> hub_part").join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("node"), blocks_out).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks_all - 1)))
-        full = large.join(sizes, "key").withColumn("y", F.pmod(F.xxhash64("node"), blocks_all).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks_out - 1)))
+        some = sized.where("part <> hub_part").withColumn("x", F.pmod(F.xxhash64("node"), blocks_out).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks_all - 1)))
+        full = sized.withColumn("y", F.pmod(F.xxhash64("node"), blocks_all).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks_out - 1)))
         some, full = (staged(x.select(*group, "node", "part").join(prints, "node"), "compared") for x in (some, full))
-        joins = some.groupBy(*group).cogroup(full.groupBy(*group)).applyInArrow(comparison(most), "a long, b long").distinct()
-        edges = edges.union(verified(joins)).union(verified(possible(met)))
-        discard(placed, sizes, some, full)
+        joins = some.groupBy(*group).cogroup(full.groupBy(*group)).applyInArrow(compare, "a long, b long")
+        edges = edges.union(verified(possible(met).union(joins).distinct()))
+        discard(sized, some, full)
         parts = connected_components(edges)
+    discard(placed)
 
     return rows.select("id", "text_hash", "digest"), heads.join(parts, "node", "left").select("digest", "node", "head", F.coalesce("component", "node").alias("part"))
 
