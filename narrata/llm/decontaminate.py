@@ -23,7 +23,7 @@ TASK_WORDS = 6_000_000
 #: A passage is two blocks of this many words, and starts at every block.
 BLOCK = 16
 #: Words whose columns a worker keeps.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 250_000
 #: Numbers in a table of cosines.
 COSINES = 1 << 22
 #: Rows of candidates that are broadcast at most.
