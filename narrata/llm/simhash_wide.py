@@ -161,7 +161,8 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     heads = rows.groupBy("digest").agg(first.alias("head"), F.min("text_hash").alias("text_hash"), F.min("m").alias("m"), *(F.min(c).alias(c) for c in lanes), F.min("keys").alias("keys"))
     heads = staged(heads.orderBy("head").withColumn("node", F.monotonically_increasing_id()), "heads")
     prints = heads.select("node", "m", *lanes)
-    keyed = heads.select("node", F.explode("keys").alias("key"))
+    # Nearly all keys occur once, so nothing can be combined before the shuffle: counts and join read one and the same.
+    keyed = heads.select("node", F.explode("keys").alias("key")).repartition("key")
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
     shared = staged(keyed.join(crowded, "key"), "blocks")
     other = [f"g{i}" for i in range(cut.lanes)]
