@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import decontaminate, html_text, quality, ring, secrets, sentencepiece_bpe, simhash, toxicity, vector_graph, warc
+from narrata.llm import decontaminate, html_text, quality, ring, secrets, sentencepiece_bpe, simhash, toxicity, vector_graph, warc, whitening
 from narrata.llm.common import hashed_fold, table
 
 
@@ -91,7 +91,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic_words", F.to_json("spans").alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_vector_graph, op3_decontamination, op4_warc, op5_sentencepiece, op6_ring_shards, op7_secret_scan, op8_quality, op9_simhash_near_dedup, op10_toxicity)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitening components of every usable vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(vectors, whitening.fit_whitening(vectors, components=4)).withColumnRenamed("id", "vec_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_vector_graph, op3_decontamination, op4_warc, op5_sentencepiece, op6_ring_shards, op7_secret_scan, op8_quality, op9_simhash_near_dedup, op10_toxicity, op13_whitening)}
 
 #: The other operators' results can't be written in SQL; they are tested against brute force, libraries or held-out labels.
 ORACLE_SQL: dict[str, str] = {
