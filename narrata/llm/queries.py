@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from narrata.llm import decontaminate, html_text, prefix_trie, quality, ring, secrets, sentencepiece_bpe, simhash, toxicity, vector_graph, warc, whitening
+from narrata.llm import decontaminate, hmm_lm, html_text, prefix_trie, quality, ring, secrets, sentencepiece_bpe, simhash, toxicity, vector_graph, warc, whitening
 from narrata.llm.common import hashed_fold, table
 
 
@@ -96,6 +96,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by single words and by the hidden Markov model; a fifth of the ids is held out."""
+    return hmm_lm.hmm_scores(table(spark, sf_dir, "documents"), folds=5, held_out=1).withColumnRenamed("id", "doc_id")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four whitening components of every usable vector."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -107,7 +112,7 @@ _CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transf
   [ascii(d)::bigint + 4294967296, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: case when b >= 0 then xor(a, b - 4294967296)
   else xor(a >> 1, (a & 1) * 3988292384) end), 4294967295)"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_vector_graph, op3_decontamination, op4_warc, op5_sentencepiece, op6_ring_shards, op7_secret_scan, op8_quality, op9_simhash_near_dedup, op10_toxicity, op11_prefix_trie, op13_whitening)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_vector_graph, op3_decontamination, op4_warc, op5_sentencepiece, op6_ring_shards, op7_secret_scan, op8_quality, op9_simhash_near_dedup, op10_toxicity, op11_prefix_trie, op12_hmm_scores, op13_whitening)}
 
 #: The other operators' results can't be written in SQL; they are tested against brute force, libraries or held-out labels.
 ORACLE_SQL: dict[str, str] = {
