@@ -120,7 +120,9 @@ def drop_small_numbers(text: Column) -> Column:
 
 
 def fix_hyphenation(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)(\w+)-\n(\w+)", "$1$2")
+    """A word cut at the end of a line is joined. A match starts only where a word does, and runs are never given back, so
+    each character is read once."""
+    return F.regexp_replace(text, r"(?U)(?<!\w)(\w++)-\n(\w++)", "$1$2")
 
 
 def drop_running_headers(text: Column, header: str, shorter_than: int = 30) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from narrata.operators.ordered import numbered
+
 # Fixed values.
 STATUSES = ["pending", "running", "paused", "completed", "failed", "cancelled"]
 ACTIVE = ["pending", "running", "paused"]
@@ -105,8 +107,8 @@ def resolve_templates(payloads: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key; upserts are unions read through this."""
-    last = F.max_by(F.struct(*rows.columns), F.col(order))
+    """The last row of each key, of ties the greatest row; upserts are unions read through this."""
+    last = F.max(F.struct(F.col(order).alias("__order"), F.struct(*rows.columns).alias("r")))["r"]
     return rows.groupBy(*keys).agg(last.alias("r")).select("r.*")
 
 
@@ -183,33 +185,97 @@ def next_state(status: str | None, progress: float, op: str, value: float | None
     return RESULTS[op], 1.0 if op == "complete" else progress, True
 
 
-def fold_events(events: DataFrame) -> DataFrame:
+#: Events of a block of a job's log, and blocks of a block of the next level.
+LOG_BLOCK = 64
+#: A job before it was created has no status.
+STARTS: list[str | None] = [None, *STATUSES]
+
+
+def _moved(a: Column, e: Column) -> Column:
+    """The state after event e, progress null where no event has set it since the start of the block."""
+    status, op = a["status"], e["op"]
+    allowed = F.when(op == "create", status.isNull())
+    for name, states in GUARDS.items():
+        allowed = allowed.when(op == name, F.coalesce(status.isin(states), F.lit(False)))
+    allowed = F.coalesce(allowed, F.lit(False))
+    becomes = F.when(op == "create", F.lit("pending"))
+    for name, state in RESULTS.items():
+        becomes = becomes.when(op == name, F.lit(state))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(e["progress"], F.lit(0.0))))
+    moved = F.when(op == "progress", clamped).when(op == "complete", F.lit(1.0)).when(op == "create", F.lit(0.0)).otherwise(a["progress"])
+    return F.struct(
+        F.when(allowed, F.coalesce(becomes, status)).otherwise(status).alias("status"),
+        F.when(allowed, moved).otherwise(a["progress"]).alias("progress"),
+        (a["accepted"] + allowed.cast("long")).alias("accepted"),
+        (a["rejected"] + (~allowed).cast("long")).alias("rejected"),
+    )
+
+
+def _start(status: str | None) -> Column:
+    zero = F.lit(0).cast("long")
+    return F.struct(F.lit(status).cast("string").alias("status"), F.lit(None).cast("double").alias("progress"), zero.alias("accepted"), zero.alias("rejected"))
+
+
+def _then(a: Column, table: Column) -> Column:
+    """The state a followed by the block whose transitions the table has: associative, so blocks combine in any grouping."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, STATUSES)), a["status"]), F.lit(0)) + 1
+    b = F.element_at(table, place.cast("int"))
+    return F.struct(
+        b["status"].alias("status"),
+        F.coalesce(b["progress"], a["progress"]).alias("progress"),
+        (a["accepted"] + b["accepted"]).alias("accepted"),
+        (a["rejected"] + b["rejected"]).alias("rejected"),
+    )
+
+
+def transition_tables(events: DataFrame, block: int = LOG_BLOCK) -> DataFrame:
+    """(job_id, session_id, transitions): for each status a job may start with, what its events make of it.
+
+    transitions has a struct (status, progress, accepted, rejected) for each of STARTS; progress is null where no event sets
+    it. Logs are cut into blocks of `block` events in the order (ts, seq), each of which becomes a table; tables are combined
+    `block` at a time until a job has one, so a job with a third of all events is no larger group than others.
+    """
+    slim = events.select("job_id", "session_id", "ts", "seq", "op", "progress")
+    placed = numbered(slim, ["job_id", "session_id"], ["ts", "seq", "op", "progress"])
+    whole = F.array(*map(_start, STARTS))
+    keys = ["job_id", "session_id"]
+
+    def grouped(rows: DataFrame, at: str, item: Column) -> DataFrame:
+        return rows.groupBy(*keys, F.floor(F.col(at) / block).alias("k")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+    found = grouped(placed, "place", F.struct("place", "op", "progress"))
+    tables = found.select(*keys, "k", F.aggregate("items", whole, lambda acc, e: F.transform(acc, lambda a: _moved(a, e))).alias("transitions"))
+    longest = placed.agg(F.max("place")).first()[0] or 0
+    while longest >= block:
+        longest //= block
+        found = grouped(tables, "k", F.struct("k", "transitions"))
+        tables = found.select(*keys, "k", F.aggregate("items", whole, lambda acc, t: F.transform(acc, lambda a: _then(a, t["transitions"]))).alias("transitions"))
+    return tables.drop("k")
+
+
+def after_transitions(tables: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(job_id, session_id, status, progress, accepted, rejected) of jobs after transition_tables(); before has such rows of
+    jobs as they were, others start without status."""
+    keys = ["job_id", "session_id"]
+    if before is None:
+        s = F.element_at("transitions", 1)
+        state = tables.select(*keys, s.alias("s"))
+    else:
+        old = before.select(*keys, F.struct("status", "progress", F.col("accepted").cast("long").alias("accepted"), F.col("rejected").cast("long").alias("rejected")).alias("old"))
+        joined = tables.join(old, keys, "full")
+        start = F.coalesce("old", _start(None))
+        state = joined.select(*keys, F.when(F.col("transitions").isNull(), F.col("old")).otherwise(_then(start, F.col("transitions"))).alias("s"))
+    return state.select(*keys, "s.status", F.coalesce("s.progress", F.lit(0.0)).alias("progress"), F.col("s.accepted").cast("int").alias("accepted"), F.col("s.rejected").cast("int").alias("rejected"))
+
+
+def fold_events(events: DataFrame, block: int = LOG_BLOCK) -> DataFrame:
     """(job_id, session_id, status, progress, accepted, rejected) after all events (job_id, session_id, ts, seq, op, progress).
 
-    The log of a job is folded in the order (ts, seq) inside the JVM; jobs that were never created have a null status.
+    Events count in the order (ts, seq), nulls first; those of a job that was never created are rejected, and its status stays
+    null, as does the effect of unknown or null operations; a null job_id or session_id is a key of its own; an empty log
+    gives no rows.
     """
-    log = F.array_sort(F.collect_list(F.struct("ts", "seq", "op", "progress")))
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0.0).alias("progress"), F.lit(0).alias("accepted"), F.lit(0).alias("rejected"))
-
-    def step(acc: Column, e: Column) -> Column:
-        status, op = acc["status"], e["op"]
-        allowed = F.when(op == "create", status.isNull())
-        for name, states in GUARDS.items():
-            allowed = allowed.when(op == name, F.coalesce(status.isin(states), F.lit(False)))
-        allowed = F.coalesce(allowed, F.lit(False))
-        becomes = F.when(op == "create", F.lit("pending"))
-        for name, state in RESULTS.items():
-            becomes = becomes.when(op == name, F.lit(state))
-        moved = F.when(op == "progress", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(e["progress"], F.lit(0.0))))).when(op == "complete", F.lit(1.0)).otherwise(acc["progress"])
-        return F.struct(
-            F.when(allowed, F.coalesce(becomes, status)).otherwise(status).alias("status"),
-            F.when(allowed, moved).otherwise(acc["progress"]).alias("progress"),
-            (acc["accepted"] + allowed.cast("int")).alias("accepted"),
-            (acc["rejected"] + (~allowed).cast("int")).alias("rejected"),
-        )
-
-    folded = events.groupBy("job_id", "session_id").agg(log.alias("log")).select("job_id", "session_id", F.aggregate("log", start, step).alias("s"))
-    return folded.select("job_id", "session_id", "s.status", "s.progress", "s.accepted", "s.rejected")
+    return after_transitions(transition_tables(events, block))
 
 
 def throttled(events: DataFrame) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.plans import job_queries as JQ
+from narrata.sources.shared import new_folder
 from narrata.sources.tables import EVENT_OPS
 from narrata.streaming import jobs as S
 
@@ -16,12 +14,6 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the session names, or a temporary one on a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = spark.read.parquet(f"{sf_dir}/events.parquet")
     raw = S.stream_table(spark, f"{sf_dir}/events.parquet*", stored.schema)
@@ -38,7 +30,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def finished(spark: SparkSession, rows: DataFrame, mode: str = "update") -> DataFrame:
     """All rows that the stream emits until its input is used up."""
-    folder = shared_folder(spark)
+    folder = new_folder(spark, "stream")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/part={batch_id}")
