@@ -85,7 +85,11 @@ def scan_texts(texts: list[str], rules: tuple[Rule, ...] = RULES) -> list[list[t
                     spans.append((start, k, end))
                 i = int(np.searchsorted(starts, end))
         if len(data) != len(texts[t]):
-            at = {p: len(data[:p].decode("utf-8", "surrogatepass")) for a, _, b in spans for p in (a, b)}
+            leads = np.frombuffer(data, np.uint8) & 0xC0 != 0x80  # a code point has one byte that begins it
+            at, before, count = {}, 0, 0
+            for p in sorted({p for a, _, b in spans for p in (a, b)}):
+                count += int(np.count_nonzero(leads[before:p]))
+                at[p], before = count, p
             spans[:] = [(at[a], k, at[b]) for a, k, b in spans]
         spans.sort()
     return out

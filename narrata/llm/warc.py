@@ -94,12 +94,12 @@ class WarcReader(DataSourceReader):
         found = system.get_file_info(path)
         if found.type == fs.FileType.File:
             return [WarcFile(self.path)]
-        manifest = f"{path}/{MANIFEST}"
-        if system.get_file_info(manifest).type == fs.FileType.File:
-            with system.open_input_stream(manifest, compression=None) as f:
-                names = f.read().decode().split()
-        else:
-            names = sorted(x.base_name for x in system.get_file_info(fs.FileSelector(path)) if re.search(r"\.warc(\.gz)?$", x.base_name))
+        listed = sorted(x.base_name for x in system.get_file_info(fs.FileSelector(path)))
+        manifests = [n for n in listed if n.startswith(MANIFEST)]
+        names = [] if manifests else [n for n in listed if re.search(r"\.warc(\.gz)?$", n)]
+        for manifest in manifests:
+            with system.open_input_stream(f"{path}/{manifest}", compression=None) as f:
+                names += f.read().decode().split()
         return [WarcFile(f"{self.path}/{n}") for n in names]
 
     def wanted(self, header: dict[str, str]) -> bool:
@@ -267,9 +267,9 @@ def gzip_records(stream: Buffered) -> Iterator[tuple[dict[str, str], Callable[[]
 
 
 def payload_of(header: dict[str, str], block: bytes) -> bytes:
-    """An HTTP message's body, or the block itself."""
+    """An HTTP message's body, empty where the message ends before its blank line; other blocks whole."""
     if header.get("content-type", "").startswith("application/http"):
-        return block[block.index(b"\r\n\r\n") + 4 :]
+        return block.partition(b"\r\n\r\n")[2]
     return block
 
 
@@ -308,10 +308,14 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files of its own; only those of tasks that the job committed are named in the manifest."""
+    """Each task writes files of its own; only those of tasks that the job committed are named in the job's manifest.
 
-    def __init__(self, options: dict[str, str]):
+    A job appends a manifest of its own and leaves those of others; with overwrite the files before it go after its commit.
+    """
+
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
         self.path = options["path"].rstrip("/")
+        self.overwrite = overwrite
         self.limit = int(options.get("maxfilebytes", 256_000_000))
         self.level = int(options.get("level", 3))
 
@@ -339,8 +343,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         system, path = _open(self.path)
         system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path}/{MANIFEST}", compression=None) as f:
-            f.write("\n".join(n for m in messages if m for n in m.names).encode())
+        before = [x.base_name for x in system.get_file_info(fs.FileSelector(path))] if self.overwrite else []
+        own = {n for m in messages if m for n in m.names}
+        with system.open_output_stream(f"{path}/{MANIFEST}-{uuid.uuid4().hex}", compression=None) as f:
+            f.write("\n".join(sorted(own)).encode())
+        old = [n for n in before if n not in own and (n.startswith(MANIFEST) or re.search(r"\.warc(\.gz)?$", n))]
+        for n in sorted(old, key=lambda n: not n.startswith(MANIFEST)):  # manifests first, so that no reader misses a file
+            system.delete_file(f"{path}/{n}")
 
     def abort(self, messages: list) -> None:
         system, path = _open(self.path)
@@ -363,7 +372,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -73,3 +74,12 @@ def test_tables_and_masks(spark, sf, odd_docs, no_docs):
         assert ",".join(":".join(s) for s in spans if s[0] in ("assign", "access", "hex")) == shown
         assert spans == sorted(spans, key=lambda s: (int(s[1]), [r.kind for r in S.RULES].index(s[0])))
         assert [rows[d.doc_id].n_assign, rows[d.doc_id].n_access, rows[d.doc_id].n_hex] == [sum(k == i for _, k, _ in want) for i in range(3)]
+
+
+def test_places_in_long_texts_beyond_ascii():
+    one = "é𝄞 password = abcdef12 ü"
+    began = time.process_time()
+    spans = S.scan_texts([one * 20_000])[0]
+    assert time.process_time() - began < 8
+    first = S.scan_texts([one])[0]
+    assert len(spans) == 20_000 * len(first) and spans[-1][0] == first[-1][0] + 19_999 * len(one)

@@ -55,3 +55,27 @@ def test_pushed_filters_leave_blocks_unread():
     reader = W.WarcReader({"path": "/x"})
     left = list(reader.pushFilters([W.EqualTo(("record_type",), "revisit"), W.EqualTo(("payload",), b"")]))
     assert len(left) == 1 and not reader.wanted({"warc-type": "response"}) and reader.wanted({"warc-type": "revisit"})
+
+
+def test_appends_are_all_read_and_overwrite_replaces(spark, tmp_path):
+    W.register(spark)
+    path = str(tmp_path / "w")
+    pages = lambda *ids: spark.createDataFrame([(i, f"http://x/{i}", "t" * 150 + str(i)) for i in ids], "page_id long, url string, html string")
+    W.write_archive(pages(1, 2), path)
+    W.write_archive(pages(3), path)
+    assert sorted(r.page_id for r in W.archived(spark, path).collect()) == [1, 2, 3]
+    rows = spark.read.format("warc").load(path)
+    kept = rows.where("page_id = 3")
+    assert kept.count() == 1
+
+
+def test_damaged_messages():
+    assert W.payload_of({"content-type": "application/http; msgtype=response"}, b"HTTP/1.1 200 OK\r\nA: b") == b""
+    assert W.payload_of({"content-type": "application/http"}, b"HTTP/1.1 200 OK\r\n\r\nbody\r\n\r\nmore") == b"body\r\n\r\nmore"
+
+
+def test_overwrite_takes_the_place_of_all_before(spark, tmp_path):
+    path = str(tmp_path / "w")
+    W.write_archive(spark.createDataFrame([(1, "u", "t")], "page_id long, url string, html string"), path)
+    W.WarcWriter({"path": path}, overwrite=True).commit([W.Written([])])
+    assert W.archived(spark, path).count() == 0 and not list(tmp_path.glob("w/*.warc*"))
