@@ -64,19 +64,22 @@ class _Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.open: dict[str, int] = {}  # how many elements of each name are open
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.parts.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_endtag(self, tag: str) -> None:
-        node: Node | None = self.at
-        while node is not None and node.name != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
+        if self.open.get(tag):  # each element that is left here is left once
+            closed = False
+            while not closed:
+                closed = self.at.name == tag
+                self.open[self.at.name] -= 1
+                self.at = self.at.parent
 
     def handle_data(self, data: str) -> None:
         self.at.parts.append(data)
@@ -92,15 +95,16 @@ def tree_of(html: str) -> Node:
 def select(root: Node, tests: str) -> Node | None:
     """The first element, in document order, that fits the last of the tests inside ones that fit the others."""
     *outer, last = tests.split(" ")
-    for node in root.walk():
-        if node.fits(last):
-            up, left = node.parent, list(outer)
-            while left and up is not None:
-                if up.fits(left[-1]):
-                    left.pop()
-                up = up.parent
-            if not left:
+    ahead = [(iter(root.parts), 0)]  # of each open element: what is left of it, and how many of the others fit so far
+    while ahead:
+        parts, met = ahead[-1]
+        node = next(parts, None)
+        if node is None:
+            ahead.pop()
+        elif isinstance(node, Node):
+            if met == len(outer) and node.fits(last):
                 return node
+            ahead.append((iter(node.parts), met + (met < len(outer) and node.fits(outer[met]))))
     return None
 
 

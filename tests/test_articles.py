@@ -1,3 +1,5 @@
+import time
+
 from narrata.operators import articles as A
 
 LONG = " ".join(f"word{i}" for i in range(90))
@@ -27,3 +29,17 @@ def test_deep_pages_and_data():
     assert A.body_of(root) == LONG and A.title_of(root) == "Untitled"
     deep = '{"a":' * 900 + '{"articleBody":"in"}' + "}" * 900
     assert A.linked_data_body([deep, "[" * 100_000, '{"articleBody":"next"}']) == "in\n\nnext"
+
+
+def test_time_of_deep_pages_and_stray_ends_grows_with_their_length():
+    began = time.process_time()
+    root = A.tree_of("<div><h1>" * 100_000)
+    assert A.select(root, "article h1") is None and A.select(root, "div h1").name == "h1"
+    root = A.tree_of("<li>" * 100_000 + "</x>" * 100_000 + "end")
+    assert A.select(root, "li").name == "li"
+    assert time.process_time() - began < 8
+
+
+def test_outer_tests_in_order():
+    root = A.tree_of("<main><article><p class='a'>x</p></article><h1>1</h1></main><article><div><h1>2</h1></div></article>")
+    assert A.select(root, "article h1").text("") == "2" and A.select(root, "main article .a").text("") == "x" and A.select(root, "article main p") is None
