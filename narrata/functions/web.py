@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import html
+import json
+from html.entities import html5 as entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from narrata.functions import text as X
 
-# Character references that pages use, apart from numbers.
-REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&")]
+#: A character reference, and the longest of the names that need no semicolon.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+LONGEST_OPEN = 6
 
 
 def normalize_url(url: Column) -> Column:
@@ -22,17 +27,39 @@ def url_host(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^https?://([^/:?#]+)", 1), F.lit(""))
 
 
+def _code_point(number: Column) -> Column:
+    """The character of a number as pages mean it: those of a Windows code page for 128 to 159, nothing for characters that no
+    text holds, a sign for numbers that are none."""
+    named = {n: html.unescape(f"&#{n};") for n in [0, 13, *range(0x80, 0xA0)]}
+    special = F.from_json(F.lit(json.dumps({str(n): c for n, c in named.items()})), "map<string,string>")
+    odd = number.isNull() | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    gone = number.between(1, 8) | number.between(14, 31) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (number == 11) | (number.bitwiseAND(0xFFFE) == 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    return F.coalesce(F.element_at(special, number.cast("string")), F.when(odd, "\ufffd").when(gone, "").otherwise(plain))
+
+
 def unescape(text: Column) -> Column:
-    """Decimal references and the named ones that pages use."""
-    numbers = X.replace_matches(text, r"&#\d{1,6};", lambda m: F.char(F.regexp_extract(m, r"\d+", 0).cast("int")))
-    return X.replace_all(numbers, REFERENCES)
+    """All character references of HTML decoded: decimal and hexadecimal ones, and the named ones of the standard's table, of
+    which some need no semicolon and then the longest counts. A name that isn't in the table stays as it is."""
+    table = F.from_json(F.lit(json.dumps(entities)), "map<string,string>")
+
+    def decoded(m: Column) -> Column:
+        digits = F.regexp_extract(m, r"^&#([0-9]+)", 1)
+        hexes = F.regexp_extract(m, r"^&#[xX]([0-9a-fA-F]+)", 1)
+        code = lambda d, base, most: F.when(F.length(F.ltrim(d, F.lit("0"))) > most, F.lit(0x110000)).otherwise(F.conv(d, base, 10).cast("long")).cast("long")
+        name = F.substring(m, 2, 64)
+        opens = [F.when(F.length(name) >= k, F.concat(F.element_at(table, F.left(name, F.lit(k))), F.substring(name, k + 1, 1 << 30))) for k in range(LONGEST_OPEN, 1, -1)]
+        named = F.coalesce(F.element_at(table, name), *opens, m)
+        return F.when(digits != "", _code_point(code(digits, 10, 7))).when(hexes != "", _code_point(code(hexes, 16, 6))).otherwise(named)
+
+    return F.when(F.contains(text, F.lit("&")), X.replace_matches(text, REFERENCE, decoded)).otherwise(text)
 
 
-def html_to_text(html: Column, head: bool = True) -> Column:
+def html_to_text(page: Column, head: bool = True) -> Column:
     """Markup as spaces, without styles and scripts (head=False: and the page's head), references decoded, spaces collapsed."""
-    kept = html if head else F.regexp_replace(html, r"(?is)<head[^>]*>.*?</head>", " ")
+    kept = page if head else F.regexp_replace(page, r"(?is)<head[^>]*>.*?</head>", " ")
     bare = F.regexp_replace(F.regexp_replace(kept, r"(?is)<(style|script)[^>]*>.*?</\1>", " "), r"<[^>]+>", " ")
-    return X.collapse_spaces(X.replace_all(bare, REFERENCES))
+    return X.collapse_spaces(unescape(bare))
 
 
 def markdown_to_text(md: Column) -> Column:
@@ -49,8 +76,8 @@ def markdown_to_text(md: Column) -> Column:
     return X.keep_lines(text, lambda l: ~((F.regexp_count(l, F.lit(r"\|")) >= 3) | l.rlike(r"^\s*\|.*\|\s*$") | l.rlike(r"^\s*[:\-|\s]+$")))
 
 
-def json_ld_scripts(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
+def json_ld_scripts(page: Column) -> Column:
+    return F.regexp_extract_all(page, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
 
 
 # How lines begin that aren't part of an article, and what makes a line real, short or a menu.

@@ -181,8 +181,9 @@ def chunk_words_simple(df: DataFrame, size: int = 1500, text_col: str = "text")
     return chunked(df, lambda t: by_sentences(t, size), text_col)
 
 
-def chunk_tokens(df: DataFrame, limit: int = 1500, text_col: str = "text") -> DataFrame:
-    return chunked(df, lambda t: by_tokens(t, limit), text_col)
+def chunk_tokens(df: DataFrame, limit: int = 1500, text_col: str = "text", tokens: Callable[[str], int] = _n_tokens) -> DataFrame:
+    """Chunks of up to `limit` tokens by any measure of a text, as that of functions.vocabulary; four characters a token without one."""
+    return chunked(df, lambda t: by_tokens(t, limit, tokens), text_col)
 
 
 def chunk_bytes(df: DataFrame, limit: int = 4096, text_col: str = "text") -> DataFrame:

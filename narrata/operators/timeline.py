@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from narrata.functions import text as X
+from narrata.operators.ordered import numbered
 
 
 def timeline(segments: DataFrame) -> DataFrame:
@@ -107,9 +108,15 @@ def to_concat_manifest(segments: DataFrame, path_col: str = "path") -> DataFrame
 
 
 def output_names(rows: DataFrame, base_col: str, order: str, suffix: str) -> DataFrame:
-    """Adds output_name: the base name, or with _2, _3 and so on where it came before."""
-    n = F.row_number().over(Window.partitionBy(base_col).orderBy(order))
-    return rows.withColumn("output_name", F.concat(F.col(base_col), F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(suffix)))
+    """Adds output_name: the base name, or with _2, _3 and so on where it came before, in the order of `order`.
+
+    Names are numbered in ranges, so one that most rows have is many tasks. A null base name gives a null; rows of one name
+    and order are numbered in any order; an empty table stays empty.
+    """
+    place = f"{base_col}__place"
+    n = F.col(place)
+    named = numbered(rows, [base_col], [order], place)
+    return named.withColumn("output_name", F.concat(F.col(base_col), F.when(n > 0, F.concat(F.lit("_"), (n + 1).cast("string"))).otherwise(""), F.lit(suffix))).drop(place)
 
 
 def staged_progress(i: Column, n: Column | None, low: float, span: float) -> Column:

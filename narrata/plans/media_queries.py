@@ -12,6 +12,7 @@ from narrata.operators import cost as P
 from narrata.operators import manifests as M
 from narrata.operators import summary as S
 from narrata.operators import timeline as L
+from narrata.operators.page_text import page_texts
 from narrata.plans import text_queries as TQ
 from narrata.plans.book_queries import CHAPTERS_SQL, N_WORDS, chapters, chunk_sql
 from narrata.sources.tables import table
@@ -206,12 +207,16 @@ def x03_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.md5(F.when(F.col("ok"), F.col("output")).otherwise(F.expr("substring(output, 2)"))).alias("digest"), "ok")
 
 
+# The references that the given pages hold, by the standard's table; the library decodes all.
+_REFERENCES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
 def _bare_sql(html: str) -> str:
     bare = html
     for tag in ("style", "script"):
         bare = f"regexp_replace({bare}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
     bare = f"regexp_replace({bare}, '<[^>]+>', ' ', 'g')"
-    return TQ.collapse_sql(TQ.replace_sql(bare, V.REFERENCES))
+    return TQ.collapse_sql(TQ.replace_sql(bare, _REFERENCES))
 
 
 @query(f"select page_id, length(t) as n_chars, md5(t) as digest from (select page_id, {_bare_sql('html')} as t from pages)")
@@ -229,6 +234,12 @@ def t16_html_body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", V.html_to_text(F.col("html"), head=False).alias("t")).select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 
+@query(f"select page_id, length(t) as n_chars, md5(t) as digest from (select page_id, {_bare_sql(_NO_HEAD)} as t from pages)")
+def t16_page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the pages' elements."""
+    return page_texts(table(spark, sf_dir, "pages")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 _MD = [(" the ", " [a](http://x) [b](y) ![i](z) "), (" of ", "\n## H `c` **d**\n* e\n"), (" de ", "\n| a | b | c |\n")]
 _MD_STEPS = [("\\)\\s*\\[", ")\\n["), ("!\\[[^\\]]*\\]\\([^)]*\\)", ""), ("\\[([^\\]]+)\\]\\([^)]+\\)", "\\1"), ("(?m)^#{1,6}\\s*", ""), ("(?m)^\\s*[-*+]\\s+", "- "), ("`{1,3}|\\*\\*|__", "")]
 

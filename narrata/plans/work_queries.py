@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.functions.cleaners import Cleaners
+from narrata.functions.vocabulary import Vocabulary, estimated_chunks, measured
 from narrata.operators import patches as P
+from narrata.operators import voices as V
 from narrata.operators.progress import Progress, StreamProgress
 from narrata.plans.stream_queries import event_stream, finished
 from narrata.sources.profiles import resolve_settings
@@ -177,3 +179,43 @@ def s09_nested_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = "settings."
     plain = [f"{s}conversion.chunk_size", f"{s}conversion.chapter_pause", f"{s}text_cleaning.remove_footnotes", f"{s}output.format", f"{s}output.embed_cover", f"{s}memory.low_memory_threshold"]
     return settings.select("book_id", f"{s}intro_text", joined(f"{s}chapters.include"), joined(f"{s}chapters.exclude"), *plain, F.col(f"{s}memory").isNotNull().alias("has_memory"))
+
+
+_VOICES = """with c as (select cast(user_id % 40 as varchar) as voice_id, event_id as seq, event_type = 'error' as gone, event_type || '.wav' as audio_filename from events),
+now as (select voice_id, max(seq) as seq, arg_max(gone, seq) as gone, arg_max(audio_filename, seq) as audio_filename from c group by 1)"""
+
+
+def _voice_log(events: DataFrame) -> DataFrame:
+    """Events as changes of forty voices: errors delete."""
+    op = F.when(F.col("event_type") == "error", "delete").otherwise("upsert")
+    name = F.concat(F.lit("voice "), F.col("event_id").cast("string"))
+    return events.select((F.col("user_id") % 40).cast("string").alias("voice_id"), F.col("event_id").alias("seq"), op.alias("op"), name.alias("name"), F.concat("event_type", F.lit(".wav")).alias("audio_filename"), F.lit(None).cast("string").alias("ref_text"), F.col("ts").cast("timestamp").alias("created_at"))
+
+
+@query(_VOICES + " select voice_id, seq, 'voice ' || seq as name, audio_filename from now where not gone")
+def s16_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The voice library after a snapshot of half the changes and the log of the others."""
+    log = _voice_log(table(spark, sf_dir, "events"))
+    early = F.col("seq") % 3 == 0
+    snapshot = V.compacted(None, log.where(early), settled=-1)
+    return V.voices(snapshot, log.where(~early)).select("voice_id", "seq", "name", "audio_filename")
+
+
+@query(_VOICES + """, r as (select c_custkey as request_id, case c_custkey % 5 when 0 then '../x' when 1 then 'v' || c_custkey else cast(c_custkey % 40 as varchar) end as voice_id from customer)
+select request_id, case when r.voice_id = '../x' then 'invalid' when n.voice_id is null then 'not_found' else 'ok' end as outcome, n.audio_filename from r left join (select * from now where not gone) n using (voice_id)""")
+def s16_voice_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests to delete voices come to."""
+    key = F.col("c_custkey")
+    voice = F.when(key % 5 == 0, "../x").when(key % 5 == 1, F.concat(F.lit("v"), key.cast("string"))).otherwise((key % 40).cast("string"))
+    requests = table(spark, sf_dir, "customer").select(key.alias("request_id"), voice.alias("voice_id"))
+    return V.delete_outcomes(requests, V.voices(None, _voice_log(table(spark, sf_dir, "events")))).select("request_id", "outcome", "audio_filename")
+
+
+@query()
+def t22_vocabulary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and chunks of every document by the longest entries of a vocabulary, which holds the word beginnings of the
+    benchmark."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("w"))
+    entries = [r.w for r in words.select(F.left("w", F.lit(4)).alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(1000).collect()]
+    n = measured(F.col("text"), Vocabulary([*entries, *(f" {e}" for e in entries)]).count)
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_tokens")).withColumn("n_chunks", estimated_chunks(F.col("n_tokens"), 1500))
