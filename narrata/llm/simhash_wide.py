@@ -208,7 +208,15 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     group = ["key", "x", "y"]
 
+    def first_shared(apart: np.ndarray) -> np.ndarray:
+        """The first block whose bits don't differ, for each row of differing bits (lanes); the number of blocks if none."""
+        bits = np.unpackbits(apart.astype(">u8").view(np.uint8).reshape(len(apart), -1), axis=1)
+        same = ~bits[:, : cut.count * cut.width].reshape(-1, cut.count, cut.width).any(axis=2)
+        return np.where(same.any(axis=1), same.argmax(axis=1), cut.count)
+
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Pairs of a bucket. Two that agree on an earlier block meet in its bucket too, so they are left to that one."""
+        block = left["key"][0].as_py() >> cut.width if len(left) else 0
         a, b = (np.column_stack([np.asarray(t[c], np.int64) for c in lanes]).view(np.uint64) if len(t) else np.zeros((0, cut.lanes), np.uint64) for t in (left, right))
         (na, pa_, ma), (nb, pb, mb) = ([np.asarray(t[c], np.int64) for c in ("node", "part", "m")] for t in (left, right))
         out = [np.zeros((0, 2), np.int64)]
@@ -216,7 +224,10 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
             apart = np.bitwise_count(a[i : i + 32, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
             less, more = np.minimum(ma[i : i + 32, None], mb), np.maximum(ma[i : i + 32, None], mb)
             r, c = np.nonzero(((apart <= limit) | (less <= FEW)) & (less >= similarity * more - 1e-9) & (pa_[i : i + 32, None] != pb[None, :]))
-            out.append(np.sort(np.column_stack([na[i + r], nb[c]]), axis=1))
+            for j in range(0, len(r), 8192):
+                x, y = i + r[j : j + 8192], c[j : j + 8192]
+                here = first_shared(a[x] ^ b[y]) >= block
+                out.append(np.sort(np.column_stack([na[x[here]], nb[y[here]]]), axis=1))
         found = np.unique(np.concatenate(out), axis=0)
         return pa.table([found[:, 0], found[:, 1]], schema=schema)
 
