@@ -357,19 +357,19 @@ def a04_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c02_chunk_words_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks up to 12 words with long sentences cut at clauses; tested against a plain rendering."""
+    """Chunks up to 12 words with long sentences cut at clauses."""
     return K.chunk_words_clauses(table(spark, sf_dir, "documents").select("doc_id", "text"), 12)
 
 
 @query()
 def c04_chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks up to 60 tokens; tested against a plain rendering."""
+    """Chunks up to 60 tokens."""
     return K.chunk_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), 60)
 
 
 @query()
 def c05_chunk_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks up to 4,096 bytes; tested against a plain rendering."""
+    """Chunks up to 4,096 bytes."""
     return K.chunk_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 4096)
 
 
@@ -388,7 +388,7 @@ def c06_chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c08_rechunk_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third chunk of 400 words cut again at half the size for each attempt; tested against a plain rendering."""
+    """Every third chunk of 400 words cut again at half the size for each attempt."""
     c = K.chunk_words_simple(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
     failed = c.where((F.col("doc_id") + F.col("chunk_idx")) % 3 == 0).withColumn("attempt", (F.col("doc_id") % 3 + 1).cast("int"))
     return K.rechunk_failed(failed, 400, 50)
@@ -396,5 +396,5 @@ def c08_rechunk_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c09_highlight_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks up to 50 words and 200 characters; tested against a plain rendering."""
+    """Chunks up to 50 words and 200 characters."""
     return K.chunk_words(table(spark, sf_dir, "documents").select("doc_id", "text"), 50, 200)
