@@ -195,15 +195,25 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
         best = often.groupBy("node").agg(F.max(F.struct("times", (-F.col("hub")).alias("first"))).alias("best"))
         return best.select((-F.col("best.first")).alias("a"), F.col("node").alias("b"))
 
-    edges = verified(possible(most_shared(shared.where("node <> hub"))))
-    parts = connected_components(edges)
+    def grown(parts: DataFrame, links: DataFrame) -> DataFrame:
+        """(node, component) with the links added: only components that they join are followed, by their smallest nodes."""
+        for end in ("a", "b"):
+            of_end = parts.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+            links = links.join(of_end, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+        links = staged(links, "joined")
+        joined = connected_components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("of_a").alias("component")), F.struct(F.col("b").alias("node"), F.col("of_b").alias("component")))).alias("e")).select("e.*")
+        to = joined.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        whole = staged(parts.union(ends).distinct().join(to, "component", "left").select("node", F.coalesce("above", "component").alias("component")), "grown")
+        discard(links)
+        return whole
+
+    parts = connected_components(verified(possible(most_shared(shared.where("node <> hub")))))
     placed = placed_now()
-    edges = edges.union(verified(possible(most_shared(placed.where("part <> hub_part")))))
-    parts = connected_components(edges)
+    parts = grown(parts, verified(possible(most_shared(placed.where("part <> hub_part")))))
     discard(placed)
     placed = placed_now()
-    edges = edges.union(verified(possible(placed.where("part <> hub_part").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())))
-    parts = connected_components(edges)
+    parts = grown(parts, verified(possible(placed.where("part <> hub_part").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())))
     discard(placed)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     group = ["key", "x", "y"]
@@ -246,9 +256,8 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
         full = sized.withColumn("y", F.pmod(F.xxhash64("node"), blocks_all).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks_out - 1)))
         some, full = (staged(x.select(*group, "node", "part").join(prints, "node"), "compared") for x in (some, full))
         joins = some.groupBy(*group).cogroup(full.groupBy(*group)).applyInArrow(compare, "a long, b long")
-        edges = edges.union(verified(possible(met).union(joins).distinct()))
+        parts = grown(parts, verified(possible(met).union(joins).distinct()))
         discard(sized, some, full)
-        parts = connected_components(edges)
     discard(placed)
 
     return rows.select("id", "text_hash", "digest"), heads.join(parts, "node", "left").select("digest", "node", "head", F.coalesce("component", "node").alias("part"))
