@@ -61,3 +61,17 @@ def test_components_of_any_size(spark):
         want = brute(rows, 10, 100)
         assert set(got) == set(want)
         assert sum(len(got[q] & {i for _, i in want[q]}) for q in got) >= 0.97 * 10 * len(want)
+
+
+def test_rows_that_repeat_an_id_are_rows(spark):
+    rows = [(100, [1.0, 0.0]), (100, [4.0, 0.0]), (100, [4.0, 0.0]), (7, [2.0, 0.0]), (7, [9.0, 0.0]), (8, [4.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in V.nearest(df, F.col("vec_id") % 100 == 0, k=3).collect() if r.query_id == 100)
+    near_one = [(1, 7, 1.0), (2, 8, 3.0), (3, 100, 3.0)]
+    near_four = [(1, 8, 0.0), (2, 7, 2.0), (3, 100, 3.0)]
+    assert got == sorted(near_one + near_four)
+
+
+def test_shards_do_not_depend_on_the_table_and_are_bounded_in_bytes():
+    assert V.points_per_shard(64) == V.points_per_shard(4096) == 5_000 and V.points_per_shard(100_000) == 320
+    assert V.beam_of(5, 96) == V.beam_of(5_000, 96) == 96 and V.beam_of(20_000, 96) == 384
