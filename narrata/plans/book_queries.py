@@ -355,7 +355,18 @@ def a04_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.avg("words").alias("mean_words"))
 
 
-@query()
+@query(
+    f"""with recursive sents as (select doc_id, generate_subscripts(s, 1) as place, unnest(s) as sent from (select doc_id, {TQ.SPLIT.format(t="text")} as s from documents where {TQ.strip_sql("text")} <> '')),
+long as (select *, {N_WORDS.format("sent")} > 12 as is_long from sents),
+cut as (select doc_id, place, is_long, generate_subscripts(p, 1) as k, unnest(p) as part from (select *, case when is_long then regexp_split_to_array(sent, '[,;:]') else [sent] end as p from long)),
+sized as (select doc_id, part, is_long and k = 1 as begins, {N_WORDS.format("part")} as n, row_number() over (partition by doc_id order by place, k) as pos from cut),
+fold as (select doc_id, pos, n as run, 0 as grp from sized where pos = 1
+  union all select s.doc_id, s.pos, case when s.begins or f.run + s.n > 12 then s.n else f.run + s.n end, case when s.begins or f.run + s.n > 12 then f.grp + 1 else f.grp end
+  from fold f join sized s on s.doc_id = f.doc_id and s.pos = f.pos + 1),
+packed as (select f.doc_id, f.grp, string_agg(s.part, ' ' order by s.pos) as joined from fold f join sized s using (doc_id, pos) group by 1, 2),
+kept as (select doc_id, grp, {TQ.strip_sql("joined")} as text from packed)
+select doc_id, cast(row_number() over (partition by doc_id order by grp) - 1 as int) as chunk_idx, text from kept where text <> ''"""
+)
 def c02_chunk_words_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks up to 12 words with long sentences cut at clauses."""
     return K.chunk_words_clauses(table(spark, sf_dir, "documents").select("doc_id", "text"), 12)
@@ -386,7 +397,16 @@ def c06_chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.chunk_paragraphs(docs)
 
 
-@query()
+@query(
+    f"""with {chunk_sql(TQ.collapse_sql('text'), 400)},
+failed as (select doc_id, chunk_idx as parent_idx, cast(doc_id % 3 + 1 as int) as attempt, {TQ.SPLIT.format(t="text")} as s from packed where (doc_id + chunk_idx) % 3 = 0),
+again as (select doc_id, parent_idx, attempt, generate_subscripts(s, 1) as pos, unnest(s) as sent from failed),
+counted as (select *, {N_WORDS.format("sent")} as n, [200, 100, 50][attempt] as most from again),
+refold as (select doc_id, parent_idx, pos, n as run, 0 as chunk_idx from counted where pos = 1
+  union all select s.doc_id, s.parent_idx, s.pos, case when f.run + s.n > s.most then s.n else f.run + s.n end, case when f.run + s.n > s.most then f.chunk_idx + 1 else f.chunk_idx end
+  from refold f join counted s on s.doc_id = f.doc_id and s.parent_idx = f.parent_idx and s.pos = f.pos + 1)
+select f.doc_id, s.attempt, f.parent_idx, f.chunk_idx, string_agg(s.sent, ' ' order by s.pos) as text from refold f join counted s using (doc_id, parent_idx, pos) group by 1, 2, 3, 4"""
+)
 def c08_rechunk_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third chunk of 400 words cut again at half the size for each attempt."""
     c = K.chunk_words_simple(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
@@ -394,7 +414,18 @@ def c08_rechunk_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.rechunk_failed(failed, 400, 50)
 
 
-@query()
+@query(
+    f"""with recursive sents as (select doc_id, generate_subscripts(s, 1) as place, unnest(s) as sent from (select doc_id, {TQ.SPLIT.format(t="text")} as s from documents where {TQ.strip_sql("text")} <> '')),
+cut as (select doc_id, place, length(sent) > 200 as is_long, generate_subscripts(p, 1) as k, unnest(p) as part from (select *, case when length(sent) > 200 then list_filter(regexp_split_to_array(sent, '\\s+'), lambda w: w <> '') else [sent] end as p from sents)),
+sized as (select *, row_number() over (partition by doc_id order by place, k) as pos, case when is_long then 0 else {N_WORDS.format("part")} end as n, length(part) + 1 as size from cut),
+flagged as (select *, is_long and k = 1 or coalesce(is_long <> lag(is_long) over (partition by doc_id order by pos), true) as begins from sized),
+fold as (select doc_id, pos, n as run, size as chars, 0 as grp from flagged where pos = 1
+  union all select s.doc_id, s.pos, case when fresh then s.n else s.run + s.n end, case when fresh then s.size else s.chars + s.size end, s.grp + cast(fresh as int)
+  from (select s.*, f.run, f.chars, f.grp, s.begins or f.run + s.n > 50 or f.chars + s.size > case when s.is_long then 201 else 200 end as fresh from fold f join flagged s on s.doc_id = f.doc_id and s.pos = f.pos + 1) s),
+packed as (select f.doc_id, f.grp, string_agg(s.part, ' ' order by s.pos) as joined from fold f join flagged s using (doc_id, pos) group by 1, 2),
+kept as (select doc_id, grp, {TQ.strip_sql("joined")} as text from packed)
+select doc_id, cast(row_number() over (partition by doc_id order by grp) - 1 as int) as chunk_idx, text from kept where text <> ''"""
+)
 def c09_highlight_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks up to 50 words and 200 characters."""
     return K.chunk_words(table(spark, sf_dir, "documents").select("doc_id", "text"), 50, 200)
