@@ -372,13 +372,51 @@ def c02_chunk_words_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.chunk_words_clauses(table(spark, sf_dir, "documents").select("doc_id", "text"), 12)
 
 
-@query()
+def nested_sql(limit: int, joint: int) -> str:
+    """CTEs: packed(doc_id, chunk_idx, text) of units(doc_id, a, b, c, level, u, n), in the order of a, b, c, whose sizes n
+    and joints fill chunks to the limit. Wholes are of level 0, pieces of a whole a of level 1, words of its piece b of
+    level 2; chunks never mix levels, wholes or pieces."""
+    return f"""placed as (select *, row_number() over w as pos, coalesce(level <> lag(level) over w or level > 0 and a <> lag(a) over w or level = 2 and b <> lag(b) over w, true) as begins
+  from units window w as (partition by doc_id order by a, b, c)),
+fold as (select doc_id, pos, n as run, 0 as chunk_idx from placed where pos = 1
+  union all select doc_id, pos, case when fresh then n else run + n + {joint} end, chunk_idx + cast(fresh as int)
+  from (select s.doc_id, s.pos, s.n, f.run, f.chunk_idx, s.begins or f.run + s.n + {joint} > {limit} as fresh from fold f join placed s on s.doc_id = f.doc_id and s.pos = f.pos + 1)),
+packed as (select f.doc_id, f.chunk_idx, case when max(s.level) = 0 then string_agg(s.u, chr(10) order by s.pos) else string_agg(s.u, ' ' order by s.pos) end as lined, string_agg(s.u, ' ' order by s.pos) as text
+  from fold f join placed s using (doc_id, pos) group by 1, 2)"""
+
+
+_N_TOKENS = "cast(ceil(length({}) / 4.0) as int)"
+_MARKED = "string_split(regexp_replace(sent, '({})\\s*', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(
+    f"""with recursive flat as (select doc_id, string_split(regexp_replace({TQ.collapse_sql("text")}, '([.!?]) ([A-Z"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) as s from documents),
+sents as (select doc_id, generate_subscripts(s, 1) as a, unnest(s) as sent from flat),
+parted as (select doc_id, a, case when {_N_TOKENS.format("sent")} <= 60 then [sent] when len({_MARKED.format("[;:—–]")}) > 1 then {_MARKED.format("[;:—–]")} else {_MARKED.format(",")} end as p, {_N_TOKENS.format("sent")} > 60 as is_long from sents where sent <> ''),
+parts as (select doc_id, a, is_long, generate_subscripts(p, 1) as b, unnest(p) as part from parted),
+worded as (select *, is_long and {_N_TOKENS.format("part")} > 60 as in_words from parts),
+pieces as (select doc_id, a, b, case when in_words then 2 when is_long then 1 else 0 end as level, case when in_words then list_filter(string_split(part, ' '), lambda w: w <> '') else [part] end as w from worded),
+spread as (select doc_id, a, b, level, generate_subscripts(w, 1) as c, unnest(w) as u from pieces),
+units as (select *, case when level = 2 then {_N_TOKENS.format("u || ' '")} else {_N_TOKENS.format("u")} end as n from spread),
+{nested_sql(60, 0)} select doc_id, chunk_idx, text from packed"""
+)
 def c04_chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks up to 60 tokens."""
     return K.chunk_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), 60)
 
 
-@query()
+@query(
+    f"""with recursive src as (select doc_id, {TQ.strip_sql("text")} as t from documents),
+lines as (select doc_id, generate_subscripts(l, 1) as a, unnest(l) as line from (select doc_id, string_split(t, chr(10)) as l from src where strlen(t) > 4096)),
+paras as (select doc_id, a, {TQ.strip_sql("line")} as para from lines),
+parted as (select doc_id, a, strlen(para) > 4096 as is_long, case when strlen(para) > 4096 then string_split(regexp_replace(para, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) else [para] end as p from paras where para <> ''),
+parts as (select doc_id, a, is_long, generate_subscripts(p, 1) as b, unnest(p) as part from parted),
+stripped as (select * replace ({TQ.strip_sql("part")} as part) from parts),
+pieces as (select doc_id, a, b, case when strlen(part) > 4096 then 2 when is_long then 1 else 0 end as level, case when strlen(part) > 4096 then list_filter(regexp_split_to_array(part, '\\s+'), lambda w: w <> '') else [part] end as w from stripped where part <> ''),
+spread as (select doc_id, a, b, level, generate_subscripts(w, 1) as c, unnest(w) as u from pieces),
+units as (select *, strlen(u) as n from spread),
+{nested_sql(4096, 1)} select doc_id, chunk_idx, lined as text from packed union all select doc_id, 0, t from src where strlen(t) <= 4096"""
+)
 def c05_chunk_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks up to 4,096 bytes."""
     return K.chunk_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), 4096)
