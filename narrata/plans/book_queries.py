@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from narrata.functions import quality as Q
 from narrata.functions import text as X
+from narrata.functions.gates import preview_of, preview_rejected
 from narrata.operators import chapters as C
 from narrata.operators import chunking as K
 from narrata.operators import cost as P
@@ -271,7 +272,7 @@ def f09_url_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select doc_id, length(text) > 500 as rejected, left(text, 500) as preview from documents")
 def f11_preview_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts over 500 characters have no preview of their own; the first 500 are shown."""
-    return table(spark, sf_dir, "documents").select("doc_id", (F.length("text") > 500).alias("rejected"), F.left("text", F.lit(500)).alias("preview"))
+    return table(spark, sf_dir, "documents").select("doc_id", preview_rejected(F.col("text")).alias("rejected"), preview_of(F.col("text")).alias("preview"))
 
 
 @query(_CH + "select book_id, chapter_seq, chapter_id <> 'chapter_002' as kept, cast(coalesce(sum(case when chapter_id <> 'chapter_002' then word_count end) over (partition by book_id order by chapter_seq), 0) as bigint) as running_words from chapters")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrata.functions import text as X
+from narrata.functions.gates import session_path
 from narrata.operators import casting as G
 from narrata.operators import chunking as K
 from narrata.operators import jobs as J
@@ -59,8 +60,7 @@ def f15_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f16_session_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders of well-formed session ids."""
     s = F.concat(F.lit("user-"), F.col("user_id").cast("string"), F.when(F.col("user_id") % 2 == 0, "-session").otherwise("!"))
-    ok = s.rlike(r"^[a-zA-Z0-9\-]{12,36}$")
-    return table(spark, sf_dir, "events").select("user_id", F.when(ok, F.concat_ws("/", F.lit("sessions"), s)).alias("path")).distinct()
+    return table(spark, sf_dir, "events").select("user_id", session_path(s, "sessions").alias("path")).distinct()
 
 
 _STATS = ", ".join(f"count(*) filter (status = '{s}') as {s}" for s in J.STATUSES) + ", count(*) filter (status in ('pending', 'running', 'paused')) as total_active"

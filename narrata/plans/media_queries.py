@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from narrata.functions import text as X
 from narrata.functions import web as V
+from narrata.functions.gates import article_status
 from narrata.operators import chunking as K
 from narrata.operators import cost as P
 from narrata.operators import manifests as M
@@ -323,9 +324,8 @@ def t39_speech_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(done).alias("digest"))
 
 
-@query(f"select page_id, case when strlen(html) > 4000 then 'too_large' when n < 40 then 'rejected' when n < 120 then 'fallback' else 'ok' end as status from (select page_id, html, {N_WORDS.format(_bare_sql(_NO_HEAD))} as n from pages)")
+@query(f"select page_id, case when strlen(html) > 12582912 then 'too_large' when n < 40 then 'rejected' when n < 120 then 'fallback' else 'ok' end as status from (select page_id, html, {N_WORDS.format(_bare_sql(_NO_HEAD))} as n from pages)")
 def f10_article_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles that are too large, too short, or in need of another source."""
     n = X.word_count(V.html_to_text(F.col("html"), head=False))
-    status = F.when(F.octet_length("html") > 4000, "too_large").when(n < 40, "rejected").when(n < 120, "fallback").otherwise("ok")
-    return table(spark, sf_dir, "pages").select("page_id", status.alias("status"))
+    return table(spark, sf_dir, "pages").select("page_id", article_status(F.col("html"), n).alias("status"))
