@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import SLICE_BYTES, SUMS, Recent, partial_sum, releasing, slices, staged, texts_of, tree_sum
+from narrata.llm.common import SLICE_BYTES, SUMS, new_name, partial_sum, Recent, releasing, slices, staged, texts_of, tree_sum
 
 WORD = re.compile(r"[^\W_]+")
 #: Words are hashed to this many columns of the term matrix.
@@ -361,7 +361,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.45, leas
     Rows are told apart by id and text, so a row that shares its id, or a missing one, with a row that goes stays.
     """
     found = staged(_leaks(docs, benchmark, cosine, least, answer_least, rank, items_at_once, id_col, text_col, item_col, item_text_col).select("id", "text_hash").distinct(), "leaked")
-    digest = "__text_hash"
+    digest = new_name(docs, "text_hash")
     named = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return named.join(found, named[id_col].eqNullSafe(found["id"]) & (named[digest] == found["text_hash"]), "left_anti").drop(digest)
 

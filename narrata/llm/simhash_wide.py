@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import discard, releasing, slices, staged, texts_of
+from narrata.llm.common import discard, new_name, releasing, slices, staged, texts_of
 from narrata.llm.graph import connected_components
 
 #: Bits of each block that are tried both ways.
@@ -26,7 +26,11 @@ COMPARED = 2048
 
 @dataclass(frozen=True)
 class Blocks:
-    """A fingerprint is cut into `count` blocks of `width` bits; it has as many bits as these need."""
+    """A fingerprint is cut into `count` blocks of `width` bits; it has as many bits as these need.
+
+    Two unlike texts share a block's key by chance once in 2^width, so a corpus of many times 2^width texts needs wider blocks;
+    these agree less often, so there must be more of them: see `of_width`.
+    """
 
     width: int
     count: int
@@ -35,12 +39,14 @@ class Blocks:
     def lanes(self) -> int:
         return -(-self.width * self.count // 64)
 
+    @staticmethod
+    def of_width(width: int) -> Blocks:
+        """As many blocks of this width as find about the same share of near copies at every width."""
+        return Blocks(width, round(44 * 1.17 ** (width - 26)))
+
 
-def blocks_for(texts: int) -> Blocks:
-    """Blocks for so many texts. Two unlike texts share a block's key by chance once in 2^width, so the width grows with the
-    number of texts and buckets stay small; wider blocks agree less often, so their number grows along with it."""
-    width = min(48, max(26, (max(1, texts) - 1).bit_length() + 3))
-    return Blocks(width, round(44 * 1.17 ** (width - 26)))
+#: For up to some hundred million texts: a bucket holds one or two of them by chance at 2^26 texts.
+DEFAULT_BLOCKS = Blocks.of_width(26)
 
 
 def shingle_set(text: str, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -108,7 +114,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def wide_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def wide_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", blocks: Blocks = DEFAULT_BLOCKS) -> DataFrame:
     """(id, component_id) per row of docs: the smallest id that can be reached over links of `similarity` or more.
 
     Fingerprints are joined on blocks, which proposes pairs; those whose Hamming distance and numbers of shingles leave
@@ -120,13 +126,13 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     group of near copies doesn't verify its pairs. Cases: texts without words are one group; rows that repeat an id each get a row; a null id is chosen only where
     a component has no other; an empty table gives no rows; other columns are ignored.
     """
-    rows, heads = _grouped(docs, words, similarity, id_col, text_col)
+    rows, heads = _grouped(docs, words, similarity, id_col, text_col, blocks)
     least = heads.select(F.col("node").alias("part"), F.col("head.id").alias("component_id"))
     named = heads.select("digest", "part").join(least, "part").select("digest", "component_id")
     return rows.select("id", "digest").join(named, "digest").select("id", "component_id")
 
 
-def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str, cut: Blocks) -> tuple[DataFrame, DataFrame]:
     """Rows (id, text_hash, digest), and for each digest of a shingle set (digest, node, head, part).
 
     head is the set's first row, by (id is null, id, text_hash). Nodes are numbered in the order of their heads, so the
@@ -134,7 +140,6 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    cut = blocks_for(docs.count())
     lanes = [f"f{i}" for i in range(cut.lanes)]
     key_type, key_kind = ("int", np.int32) if cut.count << cut.width <= 1 << 31 else ("long", np.int64)
 
@@ -263,18 +268,18 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     return rows.select("id", "text_hash", "digest"), heads.join(parts, "node", "left").select("digest", "node", "head", F.coalesce("component", "node").alias("part"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", blocks: Blocks = DEFAULT_BLOCKS) -> DataFrame:
     """The rows of docs that stay, one of each group of near copies: the one with the smallest id.
 
     Rows are told apart by id and text, so different texts under one id, or without any, are documents of their own; of
     rows equal in both one stays. Of a group's rows one without id stays only where there is no other. Null and empty texts
     are one group; an empty table gives no rows; all columns stay as they are, whatever their names.
     """
-    rows, heads = _grouped(docs, words, similarity, id_col, text_col)
+    rows, heads = _grouped(docs, words, similarity, id_col, text_col, blocks)
     stay = heads.where("node = part").select("digest", "head")
     met = rows.join(stay, "digest", "left").withColumn("stays", F.col("head.id").eqNullSafe(F.col("id")) & (F.col("head.text_hash") == F.col("text_hash")))
     marks = staged(met.groupBy("id", "text_hash").agg(F.coalesce(F.bool_or("stays"), F.lit(False)).alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1"), "marks")
-    key, digest = "__id", "__text_hash"
+    key, digest = (new_name(docs, n) for n in ("id", "text_hash"))
     named = docs.withColumns({key: F.col(id_col), digest: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
 
     def same(marked: DataFrame) -> Column:

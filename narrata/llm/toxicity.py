@@ -269,7 +269,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores below threshold, in one pass without a shuffle; all of them without a model."""
+    """The rows of docs whose text scores below threshold, in one pass without a shuffle; all of them without a model.
+
+    Cases: a null text scores as an empty one; rows that repeat stay or go alike; an empty table gives no rows; all columns stay as
+    they are, whatever their names.
+    """
     if model is None:
         return docs
 
