@@ -6,13 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from narrata.llm import decontaminate, secrets, sentencepiece_bpe, simhash_wide, toxicity
-from narrata.llm.common import staged, table
+from narrata.llm.common import release_memory, staged, table
 from narrata.llm.queries import piece_model
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is 0.7 or more; the model learns from the labels of documents in docs."""
-    return toxicity.drop_toxic(docs, toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"), folds=3, held_out=1), 0.7)
+    model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"), folds=3, held_out=1)
+    release_memory()  # what the driver held of the labelled documents
+    return toxicity.drop_toxic(docs, model, 0.7)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def release_memory() -> None:
+    """Gives this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in some C libraries
+    if trim:
+        trim(0)
+
+
 def releasing(run: Run) -> Run:
     """run, after whose end the worker gives free memory back to the system: workers are used again by later stages, whose
     peak would come on top of what this one leaves."""
@@ -74,11 +83,7 @@ def releasing(run: Run) -> Run:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only in some C libraries
-            if trim:
-                trim(0)
+            release_memory()
 
     return wrapped
 

@@ -34,3 +34,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if same:
             discard(both)
             return parents.withColumnRenamed("parent", "component")
+
+
+def forest_roots(parents: DataFrame) -> DataFrame:
+    """(node, component) for every node of a forest parents(node, parent) in which each node has one row at most, with a smaller
+    parent; component is the root of the node's tree, a root's own included.
+
+    Each round replaces a node's parent by that one's parent, so the rounds grow as the logarithm of the depth, with one join
+    each; its side of parents is unique, so a root of very many nodes is harmless. An empty table gives an empty result.
+    """
+    roots = parents.select(F.col("parent").alias("node"), "parent")
+    at = staged(parents.select("node", "parent").union(roots).groupBy("node").agg(F.min("parent").alias("parent")), "forest")
+    while True:
+        up = at.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+        higher = staged(at.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") < F.col("parent")).alias("moved")), "forest")
+        discard(at)
+        at = higher
+        if at.where("moved").isEmpty():
+            return at.select("node", F.col("parent").alias("component"))

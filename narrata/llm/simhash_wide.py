@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrata.llm.common import discard, new_name, releasing, slices, staged, texts_of
-from narrata.llm.graph import connected_components
+from narrata.llm.graph import connected_components, forest_roots
 
 #: Bits of each block that are tried both ways.
 WEAK = 2
@@ -213,7 +213,8 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
         discard(links)
         return whole
 
-    parts = connected_components(verified(possible(most_shared(shared.where("node <> hub")))))
+    # each node is verified against one smaller one, so these links are a forest
+    parts = forest_roots(verified(possible(most_shared(shared.where("node <> hub")))).select(F.col("b").alias("node"), F.col("a").alias("parent")))
     placed = placed_now()
     parts = grown(parts, verified(possible(most_shared(placed.where("part <> hub_part")))))
     discard(placed)

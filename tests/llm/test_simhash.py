@@ -7,7 +7,7 @@ import xxhash
 from narrata.llm import queries
 from narrata.llm import simhash as H
 from narrata.llm import simhash_wide as W
-from narrata.llm.graph import connected_components
+from narrata.llm.graph import connected_components, forest_roots
 
 
 def plain_fingerprint(text, words=3):
@@ -78,6 +78,15 @@ def test_long_chain_is_one_component(spark):
     assert {r.component for r in connected_components(df).collect()} == {0}
 
 
+def test_roots_of_a_forest(spark):
+    rnd = random.Random(3)
+    parent = {n: n - 1 if n < 70 else rnd.randrange(n) if n % 9 else 5 for n in range(1, 400) if n not in (90, 200)}  # a chain, a hot node, three trees
+    root = groups(range(400), parent.items())
+    got = {r.node: r.component for r in forest_roots(spark.createDataFrame(list(parent.items()), "node long, parent long")).collect()}
+    assert got == {n: root[n] for n in parent.keys() | set(parent.values())}
+    assert forest_roots(spark.createDataFrame([], "node long, parent long")).count() == 0
+
+
 def test_wide_groups_of_near_copies(spark, odd_docs, no_docs, monkeypatch):
     rnd = random.Random(7)
     vocab = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(4000)]
