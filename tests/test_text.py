@@ -54,6 +54,14 @@ def test_labels(spark):
     assert [tuple(r) for r in rows] == [("$0.0010", "01:02:03,456"), ("$0.500", "00:00:00,000"), ("$12.00", "00:00:59,999")]
 
 
+def test_costs_round_by_their_exact_value(spark):
+    """0.00085 is a little less than it looks as a double, 0.0625 and 2.125 are ties."""
+    costs = [0.00085, 50 * 0.000017, 0.0625, 2.125, 2.375, 1.005, 12345678.125, 0.0, 0.9999, 0.0099999]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(costs)] + [(99, None)], "i int, usd double")
+    rows = [r.c for r in df.select("i", X.format_cost(F.col("usd")).alias("c")).orderBy("i").collect()]
+    assert rows == [f"${c:.{4 if c < 0.01 else 3 if c < 1 else 2}f}" for c in costs] + [None]
+
+
 def test_quality_and_headings(spark):
     assert values(spark, Q.text_quality, ["", "the and is in", "@@@@ ####"])[:2] == [0.0, 1.0]
     heads = values(spark, Q.page_heading, ["Chapter One\nx", "x\ny\nz\nPreface", "CHAPTER 4", "Part II: The sea\n", "Introduction to it", ""])
