@@ -25,6 +25,16 @@ def test_references_equal_the_standards(spark):
     assert spark.createDataFrame([(None,)], "t string").select(W.unescape(F.col("t"))).first()[0] is None
 
 
+def test_references_that_a_cut_left_open(spark):
+    """Only whole references are decoded where that is asked for, alike by patterns and by elements."""
+    texts = ["<h1>and&amp;&amp</h1><p>b", "&am", "&copy;&copy &#65;&#65 &#x42;&#x42", "&notit; &not; &unknown; & &amp;amp", "q&middot", ""]
+    want = ["and&&amp b", "&am", "©&copy A&#65 B&#x42", "&notit; ¬ &unknown; & &amp", "q&middot", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id int, html string")
+    assert [r.t for r in df.select("page_id", W.html_to_text(F.col("html"), unclosed=False).alias("t")).orderBy("page_id").collect()] == want
+    assert [r.text for r in page_texts(df, unclosed=False).orderBy("page_id").collect()] == want
+    assert page_text("a&amp</p>b") == "a& b"
+
+
 def test_pages_by_elements(spark):
     page = "<html><head><title>T</title><script>if (a < b) {}</script></head><body><p>One<b>two</b>&eacute;&#x1F600;<style>p > a {}</style>\n three&nbsp;four<br>five<p>a < b &amp;lt; c</body>"
     assert page_text(page) == "One two é😀 three four five a < b &lt; c"
