@@ -57,8 +57,9 @@ def summary_block(title: Column, text: Column) -> Column:
     return X.let(long_sentences(text), block)
 
 
-def speech_text(edited: Column, summarise: Column, title: Column, author: Column, published: Column, body: Column) -> Column:
-    """What is read of an article: an edited text, else its summary or the whole, cleaned; null where nothing is left."""
+def speech_text(edited: Column, summarise: Column, title: Column, author: Column, published: Column, body: Column, ascii: bool = False) -> Column:
+    """What is read of an article: an edited text, else its summary or the whole, cleaned (ascii: spaced capitals by the words of
+    ASCII); null where nothing is left."""
     whole = F.when(summarise, summary_block(title, body)).otherwise(X.full_reading(title, author, published, body))
     chosen = F.when(X.strip(edited) != "", edited).otherwise(whole)
-    return F.nullif(X.format_for_audio(X.apply_text_cleaning(chosen)), F.lit(""))
+    return F.nullif(X.format_for_audio(X.apply_text_cleaning(chosen, ascii=ascii)), F.lit(""))

@@ -69,7 +69,7 @@ def flagship_book_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     lines = F.ceil(F.size(F.split("text", "\n")) / 20).cast("long")
     books = docs.select("lang", lines.alias("chapters")).groupBy("lang").agg(F.count("*").alias("books"), F.sum("chapters").alias("chapters"))
-    cleaned = docs.select("lang", X.apply_text_cleaning(F.col("text")).alias("text"))
+    cleaned = docs.select("lang", X.apply_text_cleaning(F.col("text"), ascii=True).alias("text"))
     sized = K.with_metadata(K.chunk_words_simple(cleaned, 150)).withColumn("model", F.lit("gpt-4o-mini-tts"))
     costs = P.priced(sized, "per_1k").groupBy("lang", "usd_per_char").agg(F.count("*").alias("chunks"), F.sum("words").alias("words"), F.sum("chars").alias("chars"))
     out = books.join(costs, "lang", "left")

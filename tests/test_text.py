@@ -85,6 +85,17 @@ def test_web_text(spark):
     assert values(spark, V.clean_web_text, [t for t, _ in WEB]) == [want for _, want in WEB]
 
 
+def test_spaced_capitals_of_ascii(spark):
+    """With ascii the words end where those of the SQL do, so at a letter with an accent too."""
+    texts = ["rie A B C D R\u00e9 \u00e8l", "\u00e9A B C x", "A B C_ D E F", "A\u00a0B C D E", "A\nB C D\n E FG", "A B CD \u00c9", "A B", "a A B C1 D", None]
+    first = lambda m: m[0].replace(" ", "")[:1] + m[0].replace(" ", "")[1:].lower()
+    for function, pattern in ((X.fix_spaced_capitals, r"\b(?:[A-Z]\s+){2,}[A-Z]+\b"), (X.fix_spaced_capitals_title, r"\b[A-Z]\s+[A-Z]\s+[A-Z](?:\s+[A-Z])*\b")):
+        assert values(spark, lambda t, f=function: f(t, ascii=True), texts) == [None if t is None else re.sub(pattern, first, t, flags=re.A) for t in texts]
+        assert values(spark, lambda t, f=function: f(t, ascii=True), ["A B " * 20_000 + "\u00e9x"]) == [("ab" * 20_000).capitalize() + " \u00e9x"]
+    assert values(spark, lambda t: X.apply_text_cleaning(t, ascii=True), [texts[0]]) == ["rie Abcdr\u00e9 \u00e8l"]
+    assert values(spark, X.fix_spaced_capitals, [texts[0]]) == ["rie Abcd R\u00e9 \u00e8l"]
+
+
 def test_long_texts_end_no_worker(spark):
     """Repeats in patterns must not take a call for each word, and marks of any kind may stand in a text."""
     plain = "word " * 200_000
