@@ -22,6 +22,8 @@ PAIR_BUCKET = 8
 #: Texts of so few shingles are proposed at any distance, as theirs scatter more than the formula says.
 FEW = 16
 COMPARED = 2048
+#: Bits of a set's parity: as powers of two, four to eight for each shingle within these.
+LEAST_PARITY, MOST_PARITY = 6, 16
 
 
 @dataclass(frozen=True)
@@ -90,6 +92,48 @@ def radius(similarity: float, bits: int) -> int:
     return round(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
 
 
+def parity(h: np.ndarray) -> bytes:
+    """For each value of the hashes' low bits whether an odd number of the set's hashes has it.
+
+    Where the parities of two sets differ, one set holds a hash that the other doesn't, so they differ in as many bits as the
+    sets differ in shingles at most; shingles that both hold cancel out, however many there are.
+    """
+    level = min(MOST_PARITY, max(LEAST_PARITY, (4 * len(h) - 1).bit_length()))
+    odd = np.bincount((h & np.uint64((1 << level) - 1)).astype(np.int64), minlength=1 << level) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """The parities of a table's rows, of one size or another; one is made smaller by adding its halves."""
+
+    def __init__(self, raw: list[bytes]):
+        self.level = np.array([(8 * len(r)).bit_length() - 1 for r in raw], np.int64)
+        self.raw, self.made = raw, {}
+
+    def of_level(self, level: int) -> np.ndarray:
+        """A row of 64-bit words for each parity of this size or more, zeros for others."""
+        if level not in self.made:
+            out = np.zeros((len(self.raw), 1 << level - 6), np.uint64)
+            for own in np.unique(self.level[self.level >= level]):
+                at = np.flatnonzero(self.level == own)
+                words = np.frombuffer(b"".join([self.raw[i] for i in at]), np.uint64).reshape(len(at), -1, out.shape[1])
+                out[at] = np.bitwise_xor.reduce(words, axis=1)
+            self.made[level] = out
+        return self.made[level]
+
+
+def differ_by(a: Parities, b: Parities, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each pair of rows x of a and y of b, in how many shingles their sets differ at least."""
+    level, least = np.minimum(a.level[x], b.level[y]), np.zeros(len(x), np.int64)
+    for k in np.unique(level):
+        at, left, right = np.flatnonzero(level == k), a.of_level(k), b.of_level(k)
+        step = max(1, (1 << 20) // left.shape[1])
+        for i in range(0, len(at), step):
+            some = at[i : i + step]
+            least[some] = np.bitwise_count(left[x[some]] ^ right[y[some]]).sum(axis=1, dtype=np.int64)
+    return least
+
+
 def _differing(a: list[Column], b: list[Column]) -> Column:
     total = F.lit(0)
     for x, y in zip(a, b, strict=True):
@@ -122,7 +166,8 @@ def wide_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     are links. Texts with equal sets are first counted as one. Only links between different components can change the
     result, so each set is first verified against one partner, the first of the buckets that it shares most of; then against
     one such partner in another component; then, in buckets that still hold several components, against the bucket's first; and then those outside the first's
-    component against all of the bucket in other components, in buckets of over PAIR_BUCKET sets block by block. No proposed link that joins components is lost, and a
+    component against all of the bucket in other components, in buckets of over PAIR_BUCKET sets block by block, where pairs whose
+    parities show that they are less similar go before they become rows. No proposed link that joins components is lost, and a
     group of near copies doesn't verify its pairs. Cases: texts without words are one group; rows that repeat an id each get a row; a null id is chosen only where
     a component has no other; an empty table gives no rows; other columns are ignored.
     """
@@ -152,7 +197,7 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
             digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
             keys = np.concatenate([np.zeros(0, key_kind), *(k.astype(key_kind) for _, k in found)])
             ends = np.cumsum([0, *(len(k) for _, k in found)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), digests, pa.array([len(h) for h in sets], pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in fps.T), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["id", "text_hash", "digest", "m", *lanes, "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), digests, pa.array([len(h) for h in sets], pa.int32()), pa.array([parity(h) for h in sets], pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in fps.T), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], names=["id", "text_hash", "digest", "m", "parity", *lanes, "keys"])
 
     @releasing
     def read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +205,10 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in texts_of(batch, "text")], pa.binary())], names=["node", "shingles"])
 
     limit = radius(similarity, 64 * cut.lanes)
-    rows = given.mapInArrow(run, f"id {id_type}, text_hash long, digest binary, m int, {', '.join(f'{c} long' for c in lanes)}, keys array<{key_type}>")
+    rows = given.mapInArrow(run, f"id {id_type}, text_hash long, digest binary, m int, parity binary, {', '.join(f'{c} long' for c in lanes)}, keys array<{key_type}>")
     rows = staged(rows, "sketches")
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash"))
-    heads = rows.groupBy("digest").agg(first.alias("head"), F.min("text_hash").alias("text_hash"), F.min("m").alias("m"), *(F.min(c).alias(c) for c in lanes), F.min("keys").alias("keys"))
+    heads = rows.groupBy("digest").agg(first.alias("head"), F.min("text_hash").alias("text_hash"), F.min("m").alias("m"), F.min("parity").alias("parity"), *(F.min(c).alias(c) for c in lanes), F.min("keys").alias("keys"))
     heads = staged(heads.orderBy("head").withColumn("node", F.monotonically_increasing_id()), "heads")
     prints = heads.select("node", "m", *lanes)
     # Nearly all keys occur once, so nothing can be combined before the shuffle: counts and join read one and the same.
@@ -235,6 +280,7 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
         block = left["key"][0].as_py() >> cut.width if len(left) else 0
         a, b = (np.column_stack([np.asarray(t[c], np.int64) for c in lanes]).view(np.uint64) if len(t) else np.zeros((0, cut.lanes), np.uint64) for t in (left, right))
         (na, pa_, ma), (nb, pb, mb) = ([np.asarray(t[c], np.int64) for c in ("node", "part", "m")] for t in (left, right))
+        odd_a, odd_b = (Parities(t["parity"].to_pylist() if len(t) else []) for t in (left, right))
         out = [np.zeros((0, 2), np.int64)]
         for i in range(0, len(a), 32):
             apart = np.bitwise_count(a[i : i + 32, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
@@ -242,6 +288,10 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
             r, c = np.nonzero(((apart <= limit) | (less <= FEW)) & (less >= similarity * more - 1e-9) & (pa_[i : i + 32, None] != pb[None, :]))
             for j in range(0, len(r), 8192):
                 x, y = i + r[j : j + 8192], c[j : j + 8192]
+                may = differ_by(odd_a, odd_b, x, y) <= (ma[x] + mb[y]) * (1 - similarity) / (1 + similarity) + 1e-6
+                if not may.any():
+                    continue
+                x, y = x[may], y[may]
                 here = first_shared(a[x] ^ b[y]) >= block
                 out.append(np.sort(np.column_stack([na[x[here]], nb[y[here]]]), axis=1))
         found = np.unique(np.concatenate(out), axis=0)
@@ -260,7 +310,7 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
         blocks_out = F.greatest(F.lit(1), F.ceil(F.col("apart") / COMPARED)).cast("int")
         some = sized.where("part <> hub_part").withColumn("x", F.pmod(F.xxhash64("node"), blocks_out).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks_all - 1)))
         full = sized.withColumn("y", F.pmod(F.xxhash64("node"), blocks_all).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks_out - 1)))
-        some, full = (staged(x.select(*group, "node", "part").join(prints, "node"), "compared") for x in (some, full))
+        some, full = (staged(x.select(*group, "node", "part").join(heads.select("node", "m", "parity", *lanes), "node"), "compared") for x in (some, full))
         joins = some.groupBy(*group).cogroup(full.groupBy(*group)).applyInArrow(compare, "a long, b long")
         parts = grown(parts, verified(possible(met).union(joins).distinct()))
         discard(sized, some, full)

@@ -113,6 +113,27 @@ def test_wide_groups_of_near_copies(spark, odd_docs, no_docs, monkeypatch):
     assert W.keep_one(no_docs).count() == 0
 
 
+def test_parities_tell_a_difference_and_never_more():
+    """Of sets of any sizes no more is told than they differ in, and of near copies under the similarity enough to refuse them."""
+    rnd = np.random.default_rng(5)
+    sets = []
+    for m in (1, 3, 16, 17, 100, 146, 300, 5000, 40_000):
+        h = rnd.integers(0, 1 << 63, m, dtype=np.uint64) * np.uint64(2) + rnd.integers(0, 2, m, dtype=np.uint64)
+        sets += [np.unique(h), np.unique(h[: m - m // 6]), np.unique(np.concatenate([h[m // 6 :], h[: m // 6] ^ np.uint64(0x9E3779B97F4A7C15)]))]
+    marks = W.Parities([W.parity(h) for h in sets])
+    x, y = np.meshgrid(np.arange(len(sets)), np.arange(len(sets)))
+    x, y = x.ravel(), y.ravel()
+    told = W.differ_by(marks, marks, x, y)
+    real = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)])
+    assert (told <= real).all() and (told[x == y] == 0).all()
+    copies = [rnd.permutation(sets[15])[:122] for _ in range(60)]  # of 146 shingles 122, so two have about 102 in common: 0.72
+    near = W.Parities([W.parity(h) for h in copies])
+    x, y = np.triu_indices(60, 1)
+    inter = np.array([len(np.intersect1d(copies[i], copies[j])) for i, j in zip(x, y, strict=True)])
+    refused = W.differ_by(near, near, x, y) > 244 * 0.2 / 1.8 + 1e-6
+    assert not refused[inter / (244 - inter) >= 0.8].any() and refused.mean() > 0.9
+
+
 def test_radius_follows_the_similarity():
     assert W.radius(0.9, 768) < W.radius(0.8, 768) < 768 / 2
     for width in (16, 26, 33, 43):
