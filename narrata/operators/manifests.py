@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrata.operators.batches import in_slices
+
 # Fixed values.
 INSTRUCTED_MODELS = ["gpt-4o-mini-tts"]
 VOICES = ["alloy", "ash", "ballad", "coral", "echo", "fable", "nova", "onyx", "sage", "shimmer", "verse"]
@@ -59,12 +61,11 @@ def apply_hook(rows: DataFrame, hook: Callable[[str], str | None], keys: list[st
             return text, False, f"{type(e).__name__}: {e}"
         return (text if reply is None else reply), True, None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            got = [one(t) for t in frame[text_col]]
-            out = frame[keys].copy()
-            out["output"], out["ok"], out["error"] = [g[0] for g in got], [g[1] for g in got], [g[2] for g in got]
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [one(t) for t in batch.column(len(keys)).to_pylist()]
+            out = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.bool_(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *out], names=[*keys, "output", "ok", "error"])
 
     fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, text_col).mapInPandas(run, f"{fields}, output string, ok boolean, error string")
+    return rows.select(*keys, F.col(text_col).cast("string").alias(text_col)).mapInArrow(in_slices(run, len(keys)), f"{fields}, output string, ok boolean, error string")
