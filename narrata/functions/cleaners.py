@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from narrata.functions import text as X
+from narrata.operators.batches import release_memory
+
+#: Rows that vectorised cleaners get at once at most.
+ROWS = 1000
 
 
 class Cleaners:
     """Named cleaners. Those of the library's own chain are there from the start, under their functions' names.
 
     column() adds a function of a Column, which stays in the JVM; vectorised() one of a pandas Series of strings, which gets
-    each batch's rows that name it at once. A name is taken once.
+    the rows that name it of up to ROWS at once. A name is taken once.
     """
 
     def __init__(self) -> None:
@@ -70,7 +74,7 @@ class Cleaners:
         """One vectorised function for all Python cleaners: each chain of a batch runs over its rows together."""
         cleaners = dict(self.in_python)
 
-        def run(texts: pd.Series, chains: pd.Series) -> pd.Series:
+        def cleaned(texts: pd.Series, chains: pd.Series) -> pd.Series:
             out = texts.copy()
             named = chains.map(lambda c: () if c is None else tuple(c))
             for chain in named[texts.notna()].unique():
@@ -81,4 +85,12 @@ class Cleaners:
                 out[rows] = reduce(lambda s, n: cleaners[n](s), chain, out[rows])
             return out
 
+        def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for texts, chains in parts:
+                pieces = [cleaned(texts[i : i + ROWS], chains[i : i + ROWS]) for i in range(0, len(texts), ROWS)]
+                yield pd.concat(pieces) if pieces else texts
+                del texts, chains, pieces
+                release_memory()
+
+        run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
         return F.pandas_udf(run, StringType())
