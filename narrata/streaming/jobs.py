@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -13,9 +13,15 @@ from narrata.operators.jobs import next_state
 
 STATE_SCHEMA = "status string, progress double, accepted int, rejected int"
 OUT_SCHEMA = "job_id string, session_id long, seq long, before string, status string, progress double, accepted int, rejected int"
+OUT = Row(*(f.split()[0] for f in OUT_SCHEMA.split(", ")))
 EVENT_COLUMNS = ["job_id", "session_id", "ts", "seq", "op", "progress"]
 
 
+def _place(event: Row) -> tuple:
+    """Events without a time, or a number, come last."""
+    return event["ts"] is None, event["ts"] or 0, event["seq"] is None, event["seq"] or 0
+
+
 class JobMachine(StatefulProcessor):
     """Applies a job's events in the order (ts, seq) inside each batch and emits the job's state after the batch.
 
@@ -28,19 +34,19 @@ class JobMachine(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("job", STATE_SCHEMA, self.ttl_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "seq"])
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:
+        events = sorted(rows, key=_place)
         old = self.state.get() if self.state.exists() else None
         status, progress, accepted, rejected = (old[0], old[1], old[2], old[3]) if old else (None, 0.0, 0, 0)
         before, seq = status, None
-        for op, value, n in zip(events["op"], events["progress"], events["seq"], strict=True):
+        for e in events:
             if self.until_end and status in ("completed", "failed"):
                 continue
-            status, progress, good = next_state(status, progress, op, None if pd.isna(value) else float(value))
-            accepted, rejected, seq = accepted + good, rejected + (not good), int(n)
+            status, progress, good = next_state(status, progress, e["op"], None if e["progress"] is None or math.isnan(e["progress"]) else float(e["progress"]))
+            accepted, rejected, seq = accepted + good, rejected + (not good), int(e["seq"])
         self.state.update((status, float(progress), int(accepted), int(rejected)))
         if seq is not None:
-            yield pd.DataFrame([[*key, seq, before, status, progress, accepted, rejected]], columns=[f.split()[0] for f in OUT_SCHEMA.split(", ")])
+            yield OUT(*key, seq, before, status, float(progress), int(accepted), int(rejected))
 
     def close(self) -> None:
         pass
@@ -50,7 +56,7 @@ def job_states(events: DataFrame, ttl_ms: int | None = None, until_end: bool = F
     """The state of each job after each batch of its events, with the state before it."""
     keyed = events.select(*EVENT_COLUMNS).groupBy("job_id", "session_id")
     mode = "ProcessingTime" if ttl_ms else "None"
-    return keyed.transformWithStateInPandas(JobMachine(ttl_ms, until_end), outputStructType=OUT_SCHEMA, outputMode="update", timeMode=mode)
+    return keyed.transformWithState(JobMachine(ttl_ms, until_end), outputStructType=OUT_SCHEMA, outputMode="update", timeMode=mode)
 
 
 def stat_deltas(states: DataFrame) -> DataFrame:

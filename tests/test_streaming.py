@@ -1,5 +1,6 @@
 """Streams over small logs that come in several files."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from narrata.operators import jobs as J
@@ -35,6 +36,25 @@ def test_states_and_live_counts(spark, tmp_path):
     assert {(r.session_id, r.status): r.n for r in live} == {(1, "failed"): 1, (1, "paused"): 1, (2, "pending"): 1}
 
 
+def test_machine_takes_rows_and_orders_them():
+    """Rows in any order, without a time last, and a progress that is none or no number."""
+    row = Row("ts", "seq", "op", "progress")
+
+    class Value:
+        kept = None
+        exists = lambda self: self.kept is not None
+        get = lambda self: self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    machine = S.JobMachine()
+    machine.state = Value()
+    first = [row(None, 9, "complete", None), row(3, 4, "progress", float("nan")), row(1, 2, "start", None), row(1, 1, "create", None)]
+    assert list(machine.handleInputRows(("a", 1), iter(first), None)) == [S.OUT("a", 1, 9, None, "completed", 1.0, 4, 0)]
+    assert list(machine.handleInputRows(("a", 1), iter([row(5, 10, "create", None)]), None)) == [S.OUT("a", 1, 10, "completed", "completed", 1.0, 4, 1)]
+
+
 def test_fan_out(spark, tmp_path):
     S.fan_out(log_stream(spark, tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "all" / "*")).count() == len(LOG)
