@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,6 +14,9 @@ HOUR_MS = 3_600_000
 #: How long a thing of each kind lives after its last touch.
 LIFETIMES_MS = {"job": 30 * 24 * HOUR_MS, "session": 90 * 24 * HOUR_MS, "file": 24 * HOUR_MS, "cache": 30 * 24 * HOUR_MS}
 OUT_SCHEMA = "kind string, id string, touched_ms long, expired_ms long, touches long"
+OUT = Row(*(c.split()[0] for c in OUT_SCHEMA.split(", ")))
+#: Touches that are joined to lives at once.
+AT_ONCE = 10_000
 
 
 def _lifetime(lifetimes: dict[str, int]) -> Column:
@@ -30,7 +34,7 @@ class Expiry(StatefulProcessor):
 
     A touch before the end moves the timer; a touch at or after the end, which may come in the same batch before the timer
     could go off, emits the ended life and starts another. Lives are kept as (first touch, last touch, touches): a batch's rows
-    may come in any order and in any frames, and only those of one thing are looked at.
+    may come in any order, and only AT_ONCE touches of one thing and its lives are held.
     """
 
     def __init__(self, lifetimes: dict[str, int]):
@@ -40,22 +44,18 @@ class Expiry(StatefulProcessor):
         self.handle = handle
         self.life = handle.getValueState("life", "touched long, touches long")
 
-    def _row(self, key: tuple, touched: int, touches: int) -> list:
-        return [key[0], key[1], touched, touched + self.lifetimes[key[0]], touches]
+    def _row(self, key: tuple, touched: int, touches: int) -> Row:
+        return OUT(key[0], key[1], touched, touched + self.lifetimes[key[0]], touches)
 
-    def _frame(self, rows: list[list]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT_SCHEMA.split(", ")])
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         span = self.lifetimes[key[0]]
         lives: list[list[int]] = []  # (first, last, touches), in order, none reaching the next
         if self.life.exists():
             touched, touches = self.life.get()
             lives.append([touched, touched, touches])
             self.handle.deleteTimer(touched + span)
-        for frame in rows:
-            for at, n in frame["at_ms"].value_counts().sort_index().items():
-                lives.append([int(at), int(at), int(n)])
+        while some := Counter(r["at_ms"] for r in islice(rows, AT_ONCE)):
+            lives += [[at, at, n] for at, n in some.items()]
             lives.sort()
             joined: list[list[int]] = []
             for first, last, n in lives:
@@ -67,14 +67,14 @@ class Expiry(StatefulProcessor):
         ended, (_, touched, touches) = lives[:-1], lives[-1]
         self.life.update((touched, touches))
         self.handle.registerTimer(touched + span)
-        if ended:
-            yield self._frame([self._row(key, last, n) for _, last, n in ended])
+        for _, last, n in ended:
+            yield self._row(key, last, n)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         if self.life.exists():
             touched, touches = self.life.get()
             self.life.clear()
-            yield self._frame([self._row(key, touched, touches)])
+            yield self._row(key, touched, touches)
 
     def close(self) -> None:
         pass
@@ -88,7 +88,7 @@ def expiries(touches: DataFrame, lifetimes: dict[str, int] | None = None, late:
     """
     lifetimes = lifetimes or LIFETIMES_MS
     keyed = timed_touches(touches, lifetimes).withWatermark("at", late).groupBy("kind", "id")
-    return keyed.transformWithStateInPandas(Expiry(lifetimes), outputStructType=OUT_SCHEMA, outputMode="append", timeMode="EventTime")
+    return keyed.transformWithState(Expiry(lifetimes), outputStructType=OUT_SCHEMA, outputMode="append", timeMode="EventTime")
 
 
 def expired_lives(touches: DataFrame, as_of_ms: int | Column | None = None, lifetimes: dict[str, int] | None = None) -> DataFrame:

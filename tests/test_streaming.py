@@ -4,6 +4,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from narrata.operators import jobs as J
+from narrata.streaming import expiry as E
 from narrata.streaming import jobs as S
 
 SCHEMA = "job_id string, session_id long, ts long, seq long, op string, progress double"
@@ -67,3 +68,25 @@ def test_completions_count_once(spark, tmp_path):
     stream = S.stream_table(spark, str(tmp_path / "in"), spark.createDataFrame([], "book_id long, seq int").schema)
     S.to_parquet(S.completions(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_expiry_takes_rows():
+    """Touches in any order, more than are joined at once, and a life that ended inside the batch."""
+    at = Row("at_ms")
+    held, timers = [], []
+
+    class Life:
+        exists = lambda self: bool(held)
+        get = lambda self: held[-1]
+        update = lambda self, value: held.append(value)
+
+    class Handle:
+        registerTimer = lambda self, when: timers.append(when)
+        deleteTimer = lambda self, when: timers.remove(when)
+
+    expiry = E.Expiry({"k": 10})
+    expiry.life, expiry.handle = Life(), Handle()
+    rows = [at(i % 5) for i in range(E.AT_ONCE + 7)] + [at(40), at(30), at(40)]
+    assert list(expiry.handleInputRows(("k", "x"), iter(rows), None)) == [E.OUT("k", "x", 4, 14, E.AT_ONCE + 7), E.OUT("k", "x", 30, 40, 1)]
+    assert held == [(40, 2)] and timers == [50]
+    assert list(expiry.handleInputRows(("k", "x"), iter([at(45)]), None)) == [] and held[-1] == (45, 3) and timers == [55]
