@@ -38,10 +38,10 @@ def voice_error(mode: Column, voice: Column, reference: Column, reference_text:
 def clean_requests(chunks: DataFrame, presets: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, preset, prompt, text): the prompt of the chunk's preset, its own where it brings one, and the standard preset's
     where the name is unknown; null where there is no standard preset. presets is a list (preset, prompt); of prompts of one
-    name the least counts. Every chunk gives one row."""
+    name the least counts. Every chunk gives one row, where it lies: a preset that most chunks name sends no text to one task."""
     known = presets.groupBy("preset").agg(F.min("prompt").alias("prompt"))
     standard = known.where(F.col("preset") == DEFAULT_PRESET).select(F.col("preset").alias("__standard"), F.col("prompt").alias("standard"))  # one row at most
-    named = chunks.join(known, "preset", "left").withColumn("__standard", F.lit(DEFAULT_PRESET)).join(F.broadcast(standard), "__standard", "left")
+    named = chunks.join(F.broadcast(known), "preset", "left").withColumn("__standard", F.lit(DEFAULT_PRESET)).join(F.broadcast(standard), "__standard", "left")
     return named.select(*keys, F.when(F.col("prompt").isNotNull() | F.col("custom_prompt").isNotNull(), F.col("preset")).otherwise(F.lit(DEFAULT_PRESET)).alias("preset"), F.coalesce("custom_prompt", "prompt", "standard").alias("prompt"), "text")
 
 

@@ -42,3 +42,17 @@ def test_hook_and_chunks_over_several_slices(spark):
     assert hooked == {i: (None if i == 5 else 3, True) for i in range(12)}
     chunks = K.chunk_bytes(df, 500_000).groupBy("id").agg(F.count("*").alias("n"), F.max("chunk_idx").alias("last")).collect()
     assert {r.id: r.n for r in chunks} == {i: 1 if i == 5 else 3 if i > 9 else 2 for i in range(12)} and all(r.last == r.n - 1 for r in chunks)
+
+
+def test_clean_requests_shuffle_no_text(spark, sf):
+    """Whatever size Spark takes the presets for, the chunks stay where they are."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        presets = spark.createDataFrame([("ocr_cleanup", "b"), ("ocr_cleanup", "a"), ("x", "c")], "preset string, prompt string")
+        chunks = spark.createDataFrame([(1, "t", "x", None), (2, "u", "?", None), (3, None, "?", "own")], "i int, text string, preset string, custom_prompt string")
+        done = M.clean_requests(chunks, presets, ["i"])
+        assert "SortMergeJoin" not in done._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(map(tuple, done.collect())) == [(1, "x", "c", "t"), (2, "ocr_cleanup", "a", "u"), (3, "?", "own", None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
