@@ -4,6 +4,7 @@ by longest common subsequences."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrata.llm.common import SLICE_BYTES, SUMS, new_name, partial_sum, Recent, releasing, slices, staged, texts_of, tree_sum
+from narrata.llm.common import SLICE_BYTES, SUMS, new_name, partial_sum, releasing, slices, staged, texts_of, tree_sum
 
 WORD = re.compile(r"[^\W_]+")
 #: Words are hashed to this many columns of the term matrix.
@@ -22,10 +23,12 @@ TERMS = 1 << 15
 TASK_WORDS = 6_000_000
 #: A passage is two blocks of this many words, and starts at every block.
 BLOCK = 16
-#: Words whose columns a worker keeps.
-KEPT_WORDS = 250_000
-#: Numbers in a table of cosines.
-COSINES = 1 << 22
+#: Rows of a term that are added by a product of matrices if there are more.
+FEW = 32
+#: Numbers in a table of cosines whose candidates are checked together, and of those that are made at once.
+COSINES, COSINES_IN_CACHE = 1 << 22, 1 << 18
+#: Places in a table of which of the items' words some texts hold.
+PRESENT = 1 << 25
 #: Rows of candidates that are broadcast at most.
 BROADCAST_ROWS = 100_000
 
@@ -47,21 +50,80 @@ def column_of(word: bytes) -> int:
     return crc32(word) % TERMS
 
 
-class Terms:
-    """Columns of words, with a bounded store of those met before."""
+#: As _BLANKED with blanks as zeros, and capitals, of Latin letters beyond ASCII by their second bytes, as small letters.
+_LOWERED = bytes((b + 32 if 0x80 <= b <= 0x9E or chr(b).isupper() and b < 128 else b) if b > 127 or chr(b).isalnum() else 0 for b in range(256))
+_IS_OTHER = np.array([b == 0xC2 or b >= 0xC4 for b in range(256)])
+#: Bytes of a word, from its end, whose shares of its CRC-32 are in tables.
+HASHED = 64
+
+
+def _crc_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of bytes and its place from a word's end their share of crc32 % TERMS, and for each length that of zeros:
+    CRC-32 is linear but for a constant of the length."""
+    zeros = np.array([crc32(bytes(n)) % TERMS for n in range(HASHED + 1)], np.int16)
+    one = np.array([[crc32(bytes([b]) + bytes(k)) % TERMS for b in range(256)] for k in range(HASHED)], np.int16) ^ zeros[1:, None]
+    return (one[::2, :, None] ^ one[1::2, None, :]).reshape(HASHED // 2, 1 << 16), zeros
+
+
+_PAIRS, _ZEROS = _crc_tables()
+#: What is left of the eight bytes before a word's end, of which the last is the highest, if so many are the word's.
+_OWN = np.array([0, *((~0 << 8 * (8 - n)) & (1 << 64) - 1 for n in range(1, 9))], np.uint64)
+
+
+def columns_of(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """column_of() for the words from starts to ends of data, which has eight bytes before the first word."""
+    sizes = ends - starts
+    out = _ZEROS[np.minimum(sizes, HASHED)]
+    before = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place
+    which, at, left = slice(None), ends, sizes
+    for k in range(0, HASHED, 8):
+        eight = (before[at - 8] & _OWN[np.minimum(left, 8)]).view(np.uint16).reshape(-1, 4)
+        share = _PAIRS[k // 2][eight[:, 3]]
+        for i in (1, 2, 3):
+            share ^= _PAIRS[k // 2 + i][eight[:, 3 - i]]
+        out[which] ^= share
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        which = more if k == 0 else which[more]
+        at, left = at[more] - 8, left[more] - 8
+    for i in np.flatnonzero(sizes > HASHED).tolist():
+        out[i] = column_of(data[starts[i] : ends[i]])
+    return out
 
-    def __init__(self) -> None:
-        self.kept = Recent(column_of, KEPT_WORDS)
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The columns of all words of the texts, one text after the other, and each text's number of words."""
-        self.kept.tidy()
-        words: list[bytes] = []
-        ends = []
-        for t in texts:
-            words += words_of(t)
-            ends.append(len(words))
-        return np.fromiter(map(self.kept.__getitem__, words), np.int16, len(words)), np.diff(ends, prepend=0)
+def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of all words of the texts, one text after the other, and each text's number of words; as words_of(), but for
+    all texts of Latin letters at once."""
+    n = len(texts)
+    raw = texts.fill_null("").cast(pa.large_binary())
+    _, offsets, buffer = raw.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + n + 1]
+    data = bytes(8) + (buffer.slice(bounds[0], bounds[-1] - bounds[0]).to_pybytes() if buffer else b"")
+    bounds = bounds - bounds[0] + 8
+    given = np.frombuffer(data, np.uint8)
+    other = _IS_OTHER[given]
+    other[:-1] |= (given[:-1] == 0xC3) & ((given[1:] == 0x97) | (given[1:] == 0xB7))
+    rows = np.unique(np.searchsorted(bounds, np.flatnonzero(other), side="right") - 1)
+    data = data.translate(_LOWERED)
+    inside = np.frombuffer(data, np.uint8) != 0
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cut = bounds[:-1][np.diff(bounds) > 0]  # a text begins
+    first[cut] = inside[cut]
+    last[cut - 1] = inside[cut - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    flat, upto = columns_of(data, starts, ends), np.searchsorted(starts, bounds)
+    sizes = np.diff(upto)
+    if len(rows):
+        parts, done = [], 0
+        for i in rows.tolist():
+            own = np.array([column_of(w) for w in words_of(texts[i].as_py())], np.int16)
+            parts += [flat[done : upto[i]], own]
+            done, sizes[i] = upto[i + 1], len(own)
+        flat = np.concatenate([*parts, flat[done:]])
+    return flat, sizes
 
 
 def passages(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,6 +163,20 @@ def passage_sums(blocks: np.ndarray, paired: np.ndarray) -> np.ndarray:
     return out
 
 
+def term_sums(places: np.ndarray, owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the rows `owner` of values by their places, a row a term."""
+    n = np.bincount(places, minlength=TERMS)
+    starts = np.cumsum(n) - n
+    owner = owner[np.argsort(places.astype(np.int16), kind="stable")]
+    out, ones = np.zeros((TERMS, values.shape[1]), np.float32), np.ones(int(n.max()), np.float32)
+    for k in range(FEW):  # terms with few rows together
+        t = np.flatnonzero((n > k) & (n <= FEW))
+        out[t] += values[owner[starts[t] + k]]
+    for t in np.flatnonzero(n > FEW).tolist():
+        out[t] = ones[: n[t]] @ values[owner[starts[t] : starts[t] + n[t]]]
+    return out
+
+
 def padded(values: np.ndarray) -> np.ndarray:
     return np.vstack([values, np.zeros((1, values.shape[1]))]).astype(np.float32)
 
@@ -154,9 +230,8 @@ def term_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
-        for batch in slices(batches, "text", SLICE_BYTES // 2):
-            flat, sizes = terms(texts_of(batch, "text"))
+        for batch in slices(batches, "text", SLICE_BYTES // 4):
+            flat, sizes = terms_of(batch.column(1))
             offsets = (2 * np.r_[0, np.cumsum(sizes)]).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), packed], names=["id", "text_hash", "n", "terms"])
@@ -175,9 +250,8 @@ def _summed(terms: DataFrame, tasks: int, part: object) -> np.ndarray:
             if len(flat):
                 x = part(flat, sizes).ravel()
                 if total is None:
-                    total = x
-                else:
-                    total += x
+                    total = np.zeros(len(x))
+                total += x
         if total is not None:
             yield partial_sum(total, np.float32)
 
@@ -218,13 +292,9 @@ def latent_space(terms: DataFrame, rank: int = 72, extra: int = 8, skip: int = 8
             around = z.copy()
             around[i + 1] += z[i]  # a block's words are in its own passage and in the one before
             owner, slot = np.nonzero(table < TERMS)
-            places = table[owner, slot]
-            out = np.empty((z.shape[1], TERMS))
-            for k, column in enumerate(np.ascontiguousarray(around.T, np.float64)):
-                out[k] = np.bincount(places, column[owner], TERMS)
-            return out
+            return term_sums(table[owner, slot], owner, around)
 
-        return _summed(terms, tasks, part).reshape(-1, TERMS).T * idf[:, None]
+        return _summed(terms, tasks, part).reshape(TERMS, -1) * idf[:, None]
 
     start = np.random.default_rng(seed).normal(size=(TERMS, rank + extra)) / np.sqrt(TERMS)
     sketch = product(start)
@@ -240,17 +310,28 @@ def latent_space(terms: DataFrame, rank: int = 72, extra: int = 8, skip: int = 8
     return LatentSpace(idf, padded((vectors * idf[:, None] * (singular[0] / singular))[:, first:]), singular)
 
 
-def common_subsequence(a: list, b: list) -> int:
-    """Length of the longest common subsequence, a bit of an integer for each item of a."""
+def places_of(a: list) -> dict:
+    """For each value of a an integer with a bit for each of its places."""
     masks: dict = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for y in b:
-        hit = row & masks.get(y, 0)
+    return masks
+
+
+def common_length(m: int, hits: list[int]) -> int:
+    """Length of the longest common subsequence of m items and others, of which those that are among the m are given by
+    their bits of places_of()."""
+    row = full = (1 << m) - 1
+    for h in hits:
+        hit = row & h
         row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    return m - row.bit_count()
+
+
+def common_subsequence(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a bit of an integer for each item of a."""
+    masks = places_of(a)
+    return common_length(len(a), [masks[y] for y in b if y in masks])
 
 
 @dataclass
@@ -260,34 +341,40 @@ class Item:
     item_id: int
     terms: list
 
+    def __post_init__(self) -> None:
+        self.masks = places_of(self.terms)
+
     def found_in(self, region: list, least: float, answer_least: float) -> float:
         """The share of the item's words that the region has in order, or 0.
 
         `least` of all words must be there, and of its answer, the closing fifth of the item, `answer_least`; a short
         item needs all its words.
         """
-        m = len(self.terms)
-        here = set(region)
-        if sum([x in here for x in self.terms]) < least * m:
+        m, masks = len(self.terms), self.masks
+        at = [i for i, y in enumerate(region) if y in masks]
+        here = set([region[i] for i in at])
+        if sum([masks[x].bit_count() for x in here]) < least * m:
             return 0.0
-        share = common_subsequence(self.terms, region) / m
+        hits = [masks[region[i]] for i in at]
+        share = common_length(m, hits) / m
         if share < (least if m >= 8 else 1.0):
             return 0.0
         # the tightest stretch of a bit over the item's length, so that words strewn over the region don't count
         room = m + max(2, m // 8)
-        best, k = 0.0, 0
-        for start in range(0, max(1, len(region) - room + 1), max(1, m // 8)):
-            got = common_subsequence(self.terms, region[start : start + room]) / m
-            if got > best:
-                best, k = got, start
+        starts = list(range(0, max(1, len(region) - room + 1), max(1, m // 8)))
         if len(region) > room:
-            got = common_subsequence(self.terms, region[-room:]) / m
-            if got > best:
-                best, k = got, len(region) - room
+            starts.append(len(region) - room)
+        best, k = 0, 0
+        for start in starts:
+            low, high = bisect_left(at, start), bisect_left(at, start + room)
+            if high - low > best and (got := common_length(m, hits[low:high])) > best:
+                best, k = got, start
+        if best / m < (least if m >= 8 else 1.0):
+            return 0.0
         answer = self.terms[-max(3, m // 5) :]
-        if best < (least if m >= 8 else 1.0) or common_subsequence(answer, region[k : k + room]) < answer_least * len(answer):
+        if common_subsequence(answer, region[k : k + room]) < answer_least * len(answer):
             return 0.0
-        return best
+        return best / m
 
 
 def words_needed(m: int, least: float) -> int:
@@ -295,6 +382,38 @@ def words_needed(m: int, least: float) -> int:
     return m if m < 8 else next(n for n in range(m + 1) if n / m >= least)
 
 
+class Hopeful:
+    """Which pairs of a text and an item can count: without `least` of the item's words a text has no such subsequence."""
+
+    def __init__(self, items: list[Item], least: float) -> None:
+        self.n = np.array([len(i.terms) for i in items])
+        self.first, self.needed = np.cumsum(self.n) - self.n, least * self.n
+        columns, self.terms = np.unique(np.array([x for i in items for x in i.terms], np.int64), return_inverse=True)
+        self.slot = np.full(TERMS, len(columns))
+        self.slot[columns] = np.arange(len(columns))
+        self.columns = len(columns)
+        self.at_once = max(1, PRESENT // (self.columns + 1))
+
+    def __call__(self, text: np.ndarray, item: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each pair, of which the texts are in order, whether it can count."""
+        pairs, back = np.unique(text * len(self.n) + item, return_inverse=True)
+        out, starts = np.zeros(len(pairs), bool), np.cumsum(sizes) - sizes
+        for a in range(0, len(pairs), self.at_once):
+            t, i = np.divmod(pairs[a : a + self.at_once], len(self.n))
+            row = np.r_[0, np.cumsum(t[1:] != t[:-1])]
+            own = np.full(t[-1] - t[0] + 1, -1)
+            own[t - t[0]] = row
+            word_row = np.repeat(own, sizes[t[0] : t[-1] + 1])
+            words = np.flatnonzero(word_row >= 0)
+            present = np.zeros((row[-1] + 1, self.columns + 1), bool)
+            present[word_row[words], self.slot[flat[starts[t[0]] + words]]] = True
+            n = self.n[i]
+            upto = np.cumsum(n)
+            held = present[np.repeat(row, n), self.terms[np.repeat(self.first[i] - (upto - n), n) + np.arange(upto[-1])]]
+            out[a : a + len(t)] = np.add.reduceat(held, upto - n, dtype=np.int64) >= self.needed[i]
+        return out[back]
+
+
 class Anchors:
     """The rarer half of each item's words, by term: a stretch that has all but `missing` of an item's words has all but that
     many of these, so no stretch that counts is without them, however short the item is."""
@@ -400,9 +519,9 @@ def _search(space: LatentSpace, items: list[Item], cosine: float, least: float,
     by_column = [Item(i.item_id, [column_of(w) for w in i.terms]) for i in items]
     vectors, owner, _ = space.place(np.array([x for i in by_column for x in i.terms], np.int64), np.array([len(i.terms) for i in items], np.int64))
     transposed = np.ascontiguousarray(vectors.T)
-    anchors = Anchors(by_column, space.idf, least)
+    anchors, hopeful = Anchors(by_column, space.idf, least), Hopeful(by_column, least)
     of_item = np.searchsorted(owner, np.arange(len(items) + 1))
-    rows_at_once = max(16, COSINES // len(vectors))
+    rows_at_once, rows_in_cache = (max(16, n // len(vectors)) for n in (COSINES, COSINES_IN_CACHE))
     kind = pa.list_(pa.struct([("item", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("cosine", pa.float64())]))
 
     @releasing
@@ -412,22 +531,22 @@ def _search(space: LatentSpace, items: list[Item], cosine: float, least: float,
             z, text, number = space.place(flat, sizes)
             ends = np.cumsum(sizes)
             offered: dict[tuple[int, int, int, int], float] = {}  # text, item, from, to -> cosine
-            held: dict[int, set[int]] = {}
-            hopeful: dict[tuple[int, int], bool] = {}
             for start in range(0, len(z), rows_at_once):
-                near = z[start : start + rows_at_once] @ transposed
-                at, col = np.nonzero(near >= cosine)
-                pair, where = np.unique((at + start) * len(items) + owner[col], return_index=True)
-                for p, i, c in zip((pair // len(items)).tolist(), (pair % len(items)).tolist(), near[at[where], col[where]].tolist(), strict=True):
+                places, values = [], []
+                for low in range(start, min(len(z), start + rows_at_once), rows_in_cache):
+                    near = (z[low : min(start + rows_at_once, low + rows_in_cache)] @ transposed).ravel()
+                    places.append(np.flatnonzero(near >= cosine))
+                    values.append(near[places[-1]])
+                    places[-1] += (low - start) * len(vectors)
+                at, col = np.divmod(np.concatenate(places), len(vectors))
+                new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (owner[col[1:]] != owner[col[:-1]])]) if len(at) else at
+                passage, item, near = at[new] + start, owner[col[new]], np.concatenate(values)[new]
+                can = np.flatnonzero(hopeful(text[passage], item, flat, sizes))
+                for p, i, c in zip(passage[can].tolist(), item[can].tolist(), near[can].tolist(), strict=True):
                     t = int(text[p])
                     low, m = int(number[p]) * BLOCK, len(items[i].terms)
                     base = int(ends[t] - sizes[t])
-                    if (t, i) not in hopeful:  # a text without that many of the item's words has no such subsequence
-                        if t not in held:
-                            held[t] = set(flat[base : ends[t]].tolist())
-                        hopeful[t, i] = sum([x in held[t] for x in by_column[i].terms]) >= least * m
-                    if hopeful[t, i]:
-                        offered[t, i, base + max(0, low - m), min(int(ends[t]), base + low + 2 * BLOCK + m)] = c
+                    offered[t, i, base + max(0, low - m), min(int(ends[t]), base + low + 2 * BLOCK + m)] = c
             first = np.searchsorted(text, np.arange(len(sizes)))
             for t, i, low, high in anchors.places(flat, sizes):
                 if (t, i, low, high) not in offered:

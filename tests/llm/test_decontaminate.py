@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from narrata.llm import decontaminate as D
 
@@ -26,6 +27,34 @@ def test_words_by_bytes_equal_words_by_letters():
         assert D.words_of(t) == [w.encode() for w in D.WORD.findall(t.lower())]
 
 
+def test_terms_of_all_texts_at_once_equal_those_of_words():
+    rnd = random.Random(4)
+    signs = "abcXYZ019_-.,  \n\0éÉßÿÀÞ÷×—“İσΣж½'"
+    texts = ["".join(rnd.choice(signs[: rnd.choice([8, 16, 26, len(signs)])]) for _ in range(rnd.choice([0, 1, 5, 90]))) for _ in range(600)]
+    texts += ["x" * n for n in (1, 7, 8, 9, 16, 63, 64, 65, 700)] + ["é" * 32 + " b", "", None, "É"]
+    for some in (pa.array(texts), pa.array(texts).slice(200, 300), pa.array(["", None]), pa.array(["×"])):
+        flat, sizes = D.terms_of(some)
+        want = [[D.column_of(w) for w in D.words_of(t or "")] for t in some.to_pylist()]
+        assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == sum(want, [])
+
+
+def test_sums_by_term_and_hopeful_pairs_equal_plain_ones(monkeypatch):
+    rng = np.random.default_rng(6)
+    places, owner, values = np.r_[rng.integers(0, 3, 200), rng.integers(0, 900, 400)], rng.integers(0, 50, 600), rng.normal(size=(50, 4)).astype(np.float32)
+    want = np.zeros((D.TERMS, 4))
+    np.add.at(want, places, values[owner])
+    assert np.allclose(D.term_sums(places, owner, values), want, atol=1e-4)
+
+    monkeypatch.setattr(D, "PRESENT", 400)  # several groups of pairs
+    items = [D.Item(i, rng.integers(0, 40, n).tolist()) for i, n in enumerate((3, 9, 20, 1))]
+    sizes = np.array([30, 0, 12, 60, 5, 25])
+    flat = rng.integers(0, 50, sizes.sum())
+    text, item = (x.ravel() for x in np.meshgrid([0, 2, 2, 3, 5], [3, 0, 1, 2], indexing="ij"))
+    parts = [set(p.tolist()) for p in np.split(flat, np.cumsum(sizes)[:-1])]
+    plain = [sum(x in parts[t] for x in items[i].terms) >= 0.5 * len(items[i].terms) for t, i in zip(text, item, strict=True)]
+    assert D.Hopeful(items, 0.5)(text, item, flat, sizes).tolist() == plain and 0 < sum(plain) < len(plain)
+
+
 def test_planted_passages(spark, odd_docs, no_docs):
     rnd = random.Random(3)
     vocab = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 6))) for _ in range(3000)]
