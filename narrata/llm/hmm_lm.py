@@ -26,6 +26,8 @@ PIECE = 256
 LONG = 4096
 #: Tokens that one step of the recursions works on.
 AT_ONCE = 400_000
+#: A task of a Baum-Welch round should have this many, so that its sums are small beside them.
+TASK_TOKENS = 6_000_000
 #: Tokens that, spread as states are, count beside a column's own, so that rare words don't settle in one state.
 PRIOR = 4.0
 
@@ -168,34 +170,34 @@ def expected(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, begins:
     natural logarithm of the likelihood. begins: which sequences begin a text."""
     order, at, lengths = _ordered(starts, lengths)
     going, k = _going_on(lengths), len(model.start)
-    states = np.where(begins[order][:, None], model.start, model.spread)
-    alphas, emits, total = [], [], 0.0
+    places = np.cumsum(going) - going  # tokens lie step by step
+    where = flat[np.concatenate([at[:m] + t for t, m in enumerate(going)])]
+    emits = model.emit[where]
+    alphas, sums, ones, back = np.empty_like(emits), np.empty(len(where)), np.ones(k), np.ascontiguousarray(model.move.T)
     for t, m in enumerate(going):
-        e = model.emit[flat[at[:m] + t]]
-        a = (alphas[-1][:m] @ model.move if t else states) * e
-        s = a.sum(axis=1)
-        a /= s[:, None]
-        total += float(np.log(s).sum())
-        alphas.append(a)
-        emits.append(e / s[:, None])
+        now = slice(places[t], places[t] + m)
+        a, e = alphas[now], emits[now]
+        if t:
+            np.matmul(alphas[places[t - 1] : places[t - 1] + m], model.move, out=a)
+        else:
+            a[:] = np.where(begins[order][:, None], model.start, model.spread)
+        a *= e
+        s = np.matmul(a, ones, out=sums[now])[:, None]
+        a /= s
+        e /= s
     moves, counts = np.zeros((k, k)), np.zeros((len(model.emit), k))
-    seen, gammas = [], []
-    after = np.ones((0, k))
+    beta = np.ones((0, k))  # of the sequences that go on; ones for the others
     for t in range(len(going) - 1, -1, -1):
-        m = going[t]
-        beta = np.ones((m, k))
-        beta[: len(after)] = after
-        gamma = alphas[t] * beta
-        seen.append(flat[at[:m] + t])
-        gammas.append(gamma)
-        ahead = emits[t] * beta
+        now = slice(places[t], places[t] + going[t])
+        ahead = emits[now]
+        ahead[: len(beta)] *= beta
+        alphas[now][: len(beta)] *= beta  # from here on these are the shares of states
         if t:
-            moves += alphas[t - 1][:m].T @ ahead
-            after = ahead @ model.move.T
-    where, weight = np.concatenate(seen), np.concatenate(gammas)
+            moves += alphas[places[t - 1] : places[t - 1] + going[t]].T @ ahead
+            beta = ahead @ back
     for s in range(k):
-        counts[:, s] = np.bincount(where, weight[:, s], minlength=len(counts))
-    return counts, moves * model.move, gammas[-1][begins[order]].sum(axis=0), total
+        counts[:, s] = np.bincount(where, alphas[:, s], minlength=len(counts))
+    return counts, moves * model.move, alphas[: going[0]][begins[order]].sum(axis=0), float(np.log(sums).sum())
 
 
 def _pieces(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,7 +240,7 @@ def _grouped(texts: Iterator[bytes]) -> Iterator[list[np.ndarray]]:
         yield group
 
 
-def hmm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, states: int = 6, rounds: int = 3, start_docs: int = 2000, start_rounds: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hmm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, states: int = 6, rounds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
 
     Tokens are the words between ASCII white space, A-Z lower-cased, and one end. Texts whose crc32(id) modulo folds isn't
@@ -246,8 +248,7 @@ def hmm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, states: int =
     likelihood under the hidden Markov model: a state emits the end or one of CLASSES classes of words, in which a word has the
     share (c + 0.5) / (N_class + 0.5 (V_class + 1)). Words meet their counts by parts of the corpus: a word has a row for each
     part that holds it, however often, so neither a vocabulary is held whole nor is a frequent word a large group.
-    `rounds` Baum-Welch rounds go over all training texts; they begin with what start_rounds rounds make of start_docs
-    training texts of at most LONG tokens, those with the least hash. Cases: null and empty texts are one end; a
+    All `rounds` Baum-Welch rounds go over all training texts. Cases: null and empty texts are one end; a
     null id counts as the empty text in the fold; rows that repeat an id each get a row; without training texts all words
     are unknown alike; an empty table gives no rows; other columns are ignored, whatever their names.
     """
@@ -289,14 +290,9 @@ def hmm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, states: int =
     discard(parts, words)
 
     train = rows.where("NOT held")
-    # about twice as many as wanted have so small a hash, so no task sends the driver more than its share
-    chance = F.pmod(F.xxhash64("id", "columns"), F.lit(1 << 40))
-    some = train.where((F.col("n_tokens") <= LONG) & (chance < (2 * start_docs << 40) // max(1, ends))).orderBy(chance, "columns").limit(start_docs).select("columns").collect()
     model = _start(states, usual) if ends else Hmm(np.full(states, 1 / states), np.full((states, states), 1 / states), np.repeat(usual[:, None], states, axis=1), np.full(states, 1 / states))
-    for _ in range(start_rounds if some else 0):
-        model = _refitted(sum(_round(g, model) for g in _grouped(r[0] for r in some)), states, usual)
     for _ in range(rounds if ends else 0):
-        model = _refitted(_all_counts(train.select("columns"), model, len(usual) * states + states * states + states + 1), states, usual)
+        model = _refitted(_all_counts(train.select("columns").coalesce(-(-n // TASK_TOKENS)), model, len(usual) * states + states * states + states + 1), states, usual)
 
     @releasing
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,8 +313,9 @@ def hmm_scores(docs: DataFrame, folds: int = 5, held_out: int = 1, states: int =
 
 
 def _start(k: int, usual: np.ndarray) -> Hmm:
-    """States that mostly stay and emit as usual, but for fixed noise that tells them apart."""
-    noise = np.exp(np.random.default_rng(k).normal(size=(len(usual), k)))
+    """States that mostly stay and emit as usual, but for fixed noise that tells them apart; with more noise the first rounds
+    gain less."""
+    noise = np.exp(0.5 * np.random.default_rng(k).normal(size=(len(usual), k)))
     emit = usual[:, None] * noise
     move = np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1)) if k > 1 else np.ones((1, 1))
     return Hmm(np.full(k, 1 / k), move, emit / emit.sum(axis=0), np.full(k, 1 / k))

@@ -141,3 +141,30 @@ def test_query_beats_single_words_on_held_out_texts(spark):
     held = [r for r in rows if r.held_out]
     per_token = lambda c: sum(r[c] for r in held) / sum(r.n_tokens for r in held)
     assert per_token("score") > per_token("base_score") + 0.1
+
+
+def test_every_round_takes_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(H, "TASK_TOKENS", 500)  # several tasks
+    rng = np.random.default_rng(8)
+    docs = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, rng.integers(0, 60)) % 50 + 50 * (i % 2))) for i in range(2500)]
+    docs.append((9001, "tail " * (H.LONG + 5)))  # longer than any text that a start of short ones would take
+    column = lambda w: int.from_bytes(xxhash.xxh3_128_digest(w)[:8], "big", signed=True) % H.CLASSES + 1
+    texts = {i: np.array([*map(column, t.split()), 0], np.uint16) for i, t in docs}
+    train = [x for i, x in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    usual = np.bincount(np.concatenate(train), minlength=H.CLASSES + 1) + 0.5
+    usual /= usual.sum()
+    model = H._start(6, usual)
+    for _ in range(4):
+        model = H._refitted(H._round(train, model), 6, usual)
+    words = Counter(w for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 1 for w in t.split())
+    n, v = Counter(), Counter()
+    for w, c in words.items():
+        n[column(w)] += c
+        v[column(w)] += 1
+    inside = lambda w: math.log10((words[w] + 0.5) / (n[column(w)] + 0.5 * (v[column(w)] + 1)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.id: r.score for r in H.hmm_scores(df, rounds=4).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs[::50] + docs[-1:]:
+        want = plain_log(texts[i], model) / math.log(10) + sum(map(inside, t.split()))
+        assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-3)
