@@ -100,6 +100,13 @@ def test_long_texts_end_no_worker(spark):
     """Repeats in patterns must not take a call for each word, and marks of any kind may stand in a text."""
     plain = "word " * 200_000
     assert values(spark, V.clean_web_text, [plain, "word " * 200_000 + " end. x"]) == [plain.strip(), "end. x"]
+
+
+def test_web_lines_are_stripped_once_and_told_by_their_stops(spark):
+    plan = spark.range(1).select(V.clean_web_text(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") <= 2  # a line, and the whole
+    texts = {"READ MORE x": "", "Share thİs article. Yes": "Share thİs article. Yes", "A real line, with stops.\nHOME ABOUT US NOW GO": "A real line, with stops.", "A real line, with stops.\nA b c d e f": "A real line, with stops.\nA b c d e f", "": ""}
+    assert values(spark, V.clean_web_text, list(texts)) == list(texts.values())
     assert values(spark, X.fix_spaced_capitals, ["A B " * 20_000 + "x"]) == [("ab" * 20_000).capitalize() + " x"]
     assert values(spark, X.fix_spaced_capitals_title, ["A B " * 20_000 + "Xy"]) == [("ab" * 20_000).capitalize() + " Xy"]
     assert values(spark, X.fix_spaced_capitals, ["A B C Dx \x01 E F G\x01", "A B C x", "AA BB CC", None]) == ["Abc Dx \x01 Efg\x01", "Abc x", "AA BB CC", None]
