@@ -32,11 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to a new folder of the shared one and read again: cuts the lineage, and survives lost executors."""
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df written as Parquet to a new folder of the shared one and read again: cuts the lineage, and survives lost executors.
+    Options are those of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

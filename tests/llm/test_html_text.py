@@ -1,5 +1,7 @@
+import random
 import time
 
+import pyarrow as pa
 import pytest
 
 from narrata.llm import html_text as H
@@ -125,3 +127,51 @@ def test_time_of_open_elements_grows_with_the_page(page):
     began = time.process_time()
     H.parse(page)
     assert time.process_time() - began < 8
+
+
+def test_neighbours_of_the_sorted_suffixes_form_intervals():
+    rnd = random.Random(3)
+    for _ in range(200):
+        rows = sorted({(bytes([rnd.randint(0, 6)]) * rnd.choice([3, 4]), rnd.randint(0, 4)) for _ in range(rnd.randint(0, 40))})
+        pages = {}
+        for suffix, page in rows:
+            pages.setdefault(suffix, set()).add(page)
+        cuts = sorted(rnd.choices(range(len(rows) + 1), k=4))
+        found = {}
+        for run in (rows[i:j] for i, j in zip([0, *cuts], [*cuts, len(rows)], strict=True)):  # ranges of the sort
+            at = sorted(rnd.choices(range(len(run) + 1), k=2))
+            batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in b], pa.binary()), pa.array([p for _, p in b], pa.int64())], names=["suffix", "page"]) for b in (run[i:j] for i, j in zip([0, *at], [*at, len(run)], strict=True))]
+            given = [r for out in H.repeats(iter(batches)) for r in out.to_pylist()]
+            assert len({r["suffix"] for r in given}) == len(given) and sum(r["pages"] < 2 for r in given) <= 2
+            for r in given:
+                found[r["suffix"]] = found.get(r["suffix"], 0) + r["pages"]
+        assert {k: n for k, n in found.items() if n > 1} == {k: len(p) for k, p in pages.items() if len(p) > 1}
+
+
+def test_suffixes_sort_by_host_and_token():
+    tokens = "a b a b a c".split()
+    found = H.open_suffixes(b"hosthost", tokens, 2)
+    assert len(found) == 5 and found[0] == found[2] != found[4] and all(k.startswith(b"hosthost") and len(k) == 16 for k in found)
+    assert found[0][:12] == found[4][:12]  # a common prefix of one token
+    assert H.open_suffixes(b"hosthost", ["a"], 2) == []
+    kept = H.block_suffixes(b"hosthost", ["a b c", "a", "a b d", "a b", "a b c"], {4}, 2)
+    assert [k for k, _ in kept] == [0, 2, 3] and len({key for _, key in kept}) == 3 and len({key[:16] for _, key in kept}) == 1
+
+
+def test_notices_in_plain_paragraphs_of_articles_go(spark):
+    notice, shared, short = "please read our terms of use before you leave", "a line of the story that half of the articles tell", "Read on"
+    words = "boats hills seas woods lakes roads towns birds stones clouds rivers fields".split()
+
+    def article(k, lines):
+        return f"<nav>Menu</nav><article><h1>About {words[k]}</h1><p>{words[k]} are what this article tells of and of nothing else" + "".join(f"<p>{x}" for x in lines) + "</article>"
+
+    pages = [(k, f"http://a.example/{k}", article(k, [notice, short] + [shared] * (k % 2) + ["last words"] * (k % 3))) for k in range(12)]
+    pages += [(100 + k, f"http://few.example/{k}", article(k, [notice])) for k in range(9)]
+    pages += [(200 + k, f"http://copies.example/{k}", article(k % 3, [notice])) for k in range(12)]
+    pages += [(300 + k, f"http://some.example/{k}", article(k, [notice] if k < 9 else [])) for k in range(12)]
+    pages.append((400, "http://a.example/400", f"<body><p>{notice}<p>A page of its own</body>"))
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert sorted(got) == sorted(i for i, *_ in pages)
+    whole = {i: " ".join(H.parse(h)[0]) for i, _, h in pages}
+    for i, text in got.items():
+        assert text == (f"{notice} A page of its own" if i == 400 else whole[i].replace(f" {notice}", "") if i < 100 else whole[i])
